@@ -22,10 +22,10 @@ K = 20
 EVERY = 20
 SAMPLE = 20_000
 CELLS = 64
-PROBES = 20
+PROBES = 48
 PARTS = 16
 CODES = 256
-RERANK = 80
+RERANK = 40
 BLOCK = 4096
 STEP = 128
 INDEX = "cell int, ids binary, codes binary, vectors binary"

@@ -67,6 +67,8 @@ class Best:
         self.least = np.full(queries, -np.inf)
 
     def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        able = score >= self.least[q]
+        q, ids, score = q[able], ids[able], score[able]
         q, ids, score = (np.concatenate(x) for x in ((self.q, q), (self.id, ids), (self.score, score)))
         order = np.lexsort((ids, -score, q))
         q, ids, score = q[order], ids[order], score[order]
