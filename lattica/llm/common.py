@@ -16,6 +16,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows per Arrow batch: whole texts travel in them, so they stay small.
 BATCH_ROWS = 512
 _OWN: list[str] = []
+_TABLES: dict[str, None] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -44,21 +45,41 @@ def work_path(spark: SparkSession, tag: str) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends there, and a lost executor
-    costs nothing of it."""
+    costs nothing of it. The table lasts until ``discard`` or the end of the driver."""
     spark = df.sparkSession
     path = work_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if not _TABLES:
+        atexit.register(_clear, spark)
+    _TABLES[path] = None
+    out._lattica_path = path
     release(spark)
     return out
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table that no plan reads any more."""
+def discard(table: DataFrame) -> None:
+    """Delete what ``written`` wrote, once no plan reads it any more."""
+    path = table._lattica_path
+    _delete(table.sparkSession, path)
+    _TABLES.pop(path, None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _clear(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is None:  # the session ended before the driver; local folders can still go
+        for path in _TABLES:
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file:").replace("///", "/"), ignore_errors=True)
+        return
+    for path in list(_TABLES):
+        _delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files of plans that nothing refers to any more go when the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()

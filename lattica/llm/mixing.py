@@ -77,16 +77,16 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def placed(docs: DataFrame, range_rows: int = 100_000, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, source, size, tie) with ``at``: the words before it in its source's permuted order."""
+    """``docs`` (doc_id, tie, source, size, copies) with ``at``: the words before it in its source's permuted order."""
     sized = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "tie"))
     rows = docs.count()
     bits = max(1, int(np.ceil(np.log2(max(2, rows / range_rows)))))
     sized = sized.withColumn("range", F.shiftright("h", 64 - bits))
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
+    sums = sized.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("range_at")).toDF("s", "r", "range_at")
     inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    local = sized.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    local = sized.withColumn("local", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     return local.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).select(
         *docs.columns, (F.col("range_at") + F.col("local")).alias("at")
     )
@@ -97,18 +97,20 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     ``taken`` = size * whole passes + the words of the part taken in the last pass. ``tie`` tells apart rows of one id.
     Null text: size 0. Null source: one source, last in order. Null or repeated ids are rows of their own; rows
-    repeated whole share a place in the order by position, so each still has its own words. Sources
+    repeated whole follow each other, so each has its own words. Sources
     without words have target 0. An empty table gives an empty one. Reruns agree.
     """
     common.prepare(docs.sparkSession)
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")
     )
-    sized = common.written(sized, "sizes")
-    facts = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    # Rows repeated whole collapse to one with a number of copies, so that no range of hashes holds them all.
+    sized = common.written(sized.groupBy("doc_id", "tie", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    facts = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")))
     want = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
     facts = facts.withColumn("want", want).toDF("s", "source_size", "target", "want")
-    line = placed(sized, range_rows, seed).join(facts, F.col("source").eqNullSafe(F.col("s")))
+    line = placed(sized, range_rows, seed).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    line = line.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).drop("copy", "copies").join(facts, F.col("source").eqNullSafe(F.col("s")))
     whole = F.when(F.col("source_size") > 0, F.expr("want div source_size")).otherwise(F.lit(0))
     rest = F.col("want") - F.col("whole") * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("at"), F.lit(0)), F.col("size"))

@@ -148,11 +148,13 @@ def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cutter = _cutter(ranks_file or tokenizer_file(), capacity, tail)
     rows = source.mapInArrow(cutter, "doc_id long, start long, length long, class int, ids_crc32 long, doc_tokens long")
-    rows = common.written(rows, "pieces")
+    # Rows repeated whole collapse and are numbered, so that they too spread over the workers.
+    rows = rows.groupBy("doc_id", "start", "length", "class", "ids_crc32", "doc_tokens").count()
+    rows = common.written(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count"), "pieces")
     # One piece of each document starts it, so this counts documents.
     workers = common.blocks_for(rows.filter("start = 0").count(), worker_docs)
-    rows = rows.withColumn("worker", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(workers)))
-    order = Window.partitionBy("worker", "class").orderBy("doc_id", "start", "ids_crc32")
+    rows = rows.withColumn("worker", F.pmod(F.xxhash64("doc_id", "ids_crc32", "copy"), F.lit(workers)))
+    order = Window.partitionBy("worker", "class").orderBy("doc_id", "start", "ids_crc32", "copy")
     counted = rows.groupBy("worker", "class").agg(F.count(F.lit(1)).alias("there"))
     placed = rows.withColumn("rn", F.row_number().over(order) - 1).join(F.broadcast(counted) if workers * tail < 50_000 else counted, ["worker", "class"])
     placed = placed.withColumn("bin", F.expr("rn div class"))

@@ -155,6 +155,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
         own = (F.col("doc") == F.col("f.doc")) & (F.col("span") == F.col("f.span"))
         copy = ~own
     placed = common.written(placed.select("anchor", "phrase", "doc", "span", copy.alias("copy"), own.alias("own")), "placed")
+    common.discard(found)
     whole = placed.filter("copy").select(
         "doc", F.shiftright("span", LOW).alias("start"), (F.col("span").bitwiseAND((1 << LOW) - 1) + (spec.k - 1)).alias("length")
     )
@@ -171,6 +172,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
         .mapInArrow(_pieces_of(spec), "anchor long, doc long, span long, hot boolean, piece binary")
     )
     pieces = common.written(fetched, "pieces")
+    common.discard(edges)
     out = whole
     if sizes.get(False):
         n = common.blocks_for(sizes[False], spec.block_rows)
