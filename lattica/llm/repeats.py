@@ -115,6 +115,8 @@ def _pieces_of(spec: Spec):
             rows: list[tuple] = []
             size = 0
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                if text is None:  # another row of this id
+                    continue
                 units = spec.split(text)
                 for x in wanted:
                     start, n = x["span"] >> LOW, x["span"] & ((1 << LOW) - 1)
