@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import let_workers_import
+
 #: Rows per Arrow batch: whole texts travel in them, so they stay small.
 BATCH_ROWS = 512
 _OWN: list[str] = []
@@ -21,9 +20,7 @@ _TABLES: dict[str, None] = {}
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and keep the batches of whole texts small."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
+    let_workers_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

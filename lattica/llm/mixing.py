@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -27,7 +28,7 @@ MOST = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def n_words(text: pa.Array) -> pa.Array:
     return pa.array([0 if x is None else len(x.split()) for x in text.cast(pa.binary()).to_pylist()], type=pa.int64())
 
@@ -164,7 +165,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.withColumns({"mix_shard": F.col("__lt_row.shard"), "mix_order": law}).drop("__lt_id", "__lt_tie", "__lt_pass", "__lt_row")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _piece(text: pa.Array, words: pa.Array) -> pa.Array:
     """The first ``words`` words of a text with the white space between them; where that is null, the whole text."""
     out = []
