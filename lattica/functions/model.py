@@ -10,12 +10,16 @@ from collections.abc import Callable, Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import MODEL_PREDICATES
+from ..session import let_workers_import
 
 TYPES = frozenset("CONCEPT DATE EVENT ORGANIZATION PERSON PLACE THING".split())
 SYNONYMS = {"activity": "EVENT", "ai assistant": "PERSON", "body part": "THING", "condition": "CONCEPT", "location": "PLACE", "object": "THING", "person": "PERSON", "supplement": "THING"}
-ANSWER = "struct<entities:array<struct<name:string,type:string,aliases:array<string>>>,relationships:array<struct<subject:string,predicate:string,object:string,confidence:double>>>"
+_ENTITY = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("aliases", T.ArrayType(T.StringType()))])
+_RELATION = T.StructType([*[T.StructField(n, T.StringType()) for n in ("subject", "predicate", "object")], T.StructField("confidence", T.DoubleType())])
+ANSWER = T.StructType([T.StructField("entities", T.ArrayType(_ENTITY)), T.StructField("relationships", T.ArrayType(_RELATION))])
 #: Letters of each side that a model is shown.
 SHOWN = 3000
 PREVIEW = 100
@@ -113,6 +117,7 @@ def answers(exchanges: DataFrame, call: Callable[[str], str]) -> DataFrame:
                     rows.append((key, None, f"{type(e).__name__}: {e}"))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["exchange_id", "raw", "error"])
 
+    let_workers_import(exchanges.sparkSession)
     return exchanges.select(F.col("exchange_id").cast("string"), "user_text", "agent_text").mapInArrow(run, "exchange_id string, raw string, error string")
 
 

@@ -7,7 +7,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import let_workers_import
 from .ids import stripped
 
 #: First words of the headers of injected blocks, and what follows each.
@@ -59,7 +61,12 @@ def strip_markdown(name: Column) -> Column:
 
 def valid_entity_name(name: Column) -> Column:
     """Whether a name can stand for something: not noise, a fragment of a sentence, code or the output of a tool."""
-    c = strip_markdown(name)
+    # One evaluation of the cleaned name for all rules: a lambda binds it.
+    sound = F.transform(F.array(strip_markdown(name)), _sound)[0]
+    return F.coalesce((F.length(name) >= 2) & sound, F.lit(False))
+
+
+def _sound(c: Column) -> Column:
     n, low = F.length(c), F.lower(c)
     words = F.size(F.split(c, r"\s+"))
     rejected = [
@@ -73,7 +80,7 @@ def valid_entity_name(name: Column) -> Column:
     bad = rejected[0]
     for r in rejected[1:]:
         bad = bad | r
-    return F.coalesce((F.length(name) >= 2) & ~bad, F.lit(False))
+    return ~bad
 
 
 def clean_subject(phrase: Column) -> Column:
@@ -153,13 +160,17 @@ def relations_in(text: str | None) -> list[tuple[str, str, str]]:
 _FOUND = pa.list_(pa.struct([("subject", pa.string()), ("predicate", pa.string()), ("object", pa.string())]))
 
 
-@F.arrow_udf("array<struct<subject:string,predicate:string,object:string>>")
+_TRIPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "predicate", "object")])
+
+
+@F.arrow_udf(T.ArrayType(_TRIPLE))
 def raw_relations(text: pa.Array) -> pa.Array:
     return pa.array([[{"subject": s, "predicate": p, "object": o} for s, p, o in relations_in(x)] for x in text.to_pylist()], type=_FOUND)
 
 
 def relationships(texts: DataFrame, key: str = "exchange_id", text: str = "text", predicates: tuple[str, ...] | None = None) -> DataFrame:
     """(key, subject, predicate, object, confidence): each relation of a text once, whatever its case."""
+    let_workers_import(texts.sparkSession)
     likely = texts.filter(F.col(text).rlike(ANY_VERB))
     rows = likely.select(key, F.posexplode(raw_relations(F.col(text))).alias("pos", "r")).select(
         key, "pos", clean_subject(F.col("r.subject")).alias("subject"), F.col("r.predicate").alias("predicate"), trim_object(F.col("r.object")).alias("object")
