@@ -95,7 +95,7 @@ SQL["cooccur_top_for_entity"] = _with(
 SQL["cooccur_top"] = _with("SELECT entity_a, entity_b, count FROM cooc ORDER BY count DESC, entity_a, entity_b LIMIT 10")
 SQL["recent_entities"] = _with("SELECT id, canonical_name, mention_count FROM entities ORDER BY last_seen DESC, id LIMIT 200")
 SQL["predicate_stats"] = _with(
-    "SELECT predicate, count(*) AS cnt, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects, round(avg(confidence), 6) AS avg_confidence FROM triples GROUP BY predicate"
+    "SELECT predicate, count(DISTINCT object) AS objects, count(DISTINCT subject) AS subjects, count(*) AS cnt, round(avg(confidence), 6) AS avg_confidence FROM triples GROUP BY predicate"
 )
 SQL["graph_stats"] = _with(
     """SELECT 'count' AS section, 'entities' AS name, count(*) AS value FROM entities UNION ALL SELECT 'count', 'triples', count(*) FROM triples
@@ -207,7 +207,7 @@ SQL["graph_context"] = _with(
 # ---- mining ----
 LATER = "2024-04-20 00:00:00"
 _FAN = """
-, st AS (SELECT predicate, count(*) AS cnt, count(DISTINCT subject) AS subjects FROM triples GROUP BY predicate HAVING count(*) >= 5
+, st AS (SELECT predicate, count(DISTINCT subject) AS subjects, count(*) AS cnt FROM triples GROUP BY predicate HAVING count(*) >= 5
 ), fans AS (SELECT predicate, cnt, cnt / subjects::DOUBLE AS fanout FROM st WHERE (SELECT count(*) FROM st) >= 2
 ), cand AS (
   SELECT a.predicate || '>' || b.predicate AS pattern, 2 AS len, a.fanout * b.fanout AS product, least(a.fanout, b.fanout) AS smallest FROM fans a, fans b
@@ -357,7 +357,7 @@ _LEN = "length(coalesce(user_text, '')) + length(coalesce(agent_text, ''))"
 SQL["pair_exchanges"] = _CONV + "SELECT * FROM ex"
 SQL["unprocessed_dates"] = "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date FROM events WHERE strftime(ts, '%Y-%m-%d') NOT IN (SELECT DISTINCT strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'signup' AND event_id % 97 = 0)"
 SQL["backfill_exchanges"] = _CONV + f"SELECT 'exchange_' || conv_id || '_' || exchange_no AS exchange_id, CAST({_LEN} AS INTEGER) AS letters FROM ex WHERE {_LEN} >= 20"
-SQL["rebuild_filter"] = _CONV + f"SELECT 'exchange_' || conv_id || '_' || exchange_no AS exchange_id FROM ex WHERE exchange_no < 3 AND {_LEN} >= 30 AND NOT contains(lower(coalesce(user_text, '')), 'heartbeat') AND NOT starts_with(lower(coalesce(user_text, '')), '[subagent context]')"
+SQL["rebuild_filter"] = _CONV + f"SELECT 'exchange_' || conv_id || '_' || exchange_no AS exchange_id FROM ex WHERE exchange_no < 50 AND {_LEN} >= 30 AND NOT contains(lower(coalesce(user_text, '')), 'heartbeat') AND NOT starts_with(lower(coalesce(user_text, '')), '[subagent context]')"
 SQL["ingest_filter"] = """
 SELECT conv_id, turn FROM conversations
 WHERE role = 'user' AND conv_id % 7 <> 0 AND conv_id % 11 <> 0 AND conv_id % 5 IN (0, 1) AND NOT contains(lower(text), 'heartbeat')
@@ -380,7 +380,7 @@ SQL["extract_emails"] = _extract(r"'[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9
 SQL["extract_mentions"] = _extract(r"'@([A-Za-z0-9_]{2,30})'", 1)
 SQL["extract_urls"] = _extract("'https?://[^ \\t\\n\\r\\f\\v<>)\"'']+'")
 SQL["extract_dates"] = _extract(
-    r"'(?i)\b([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+[0-9]{1,2}(?:,?\s*[0-9]{4})?)\b'", 1
+    r"'(?i)\b([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|(?:april|august|december|february|january|july|june|march|may|november|october|september)\s+[0-9]{1,2}(?:,?\s*[0-9]{4})?)\b'", 1
 )
 SQL["gazetteer_match"] = _with(
     "SELECT k, canonical_name, entity_type FROM tx JOIN (SELECT * FROM entities ORDER BY last_seen DESC, id LIMIT 200) ON length(canonical_name) >= 3 AND contains(lower(text), lower(canonical_name))",

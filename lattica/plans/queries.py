@@ -228,7 +228,7 @@ def _letters() -> Column:
 
 
 query("backfill_exchanges")(lambda spark, d: archive.eligible(_exchange_rows(spark, d), key="conv_id").select("exchange_id", _letters()))
-query("rebuild_filter")(lambda spark, d: archive.for_rebuild(_exchange_rows(spark, d), most=3, runtime_notes=(), key="conv_id").select("exchange_id"))
+query("rebuild_filter")(lambda spark, d: archive.for_rebuild(_exchange_rows(spark, d), most=50, runtime_notes=(), key="conv_id").select("exchange_id"))
 
 
 @query("unprocessed_dates")
