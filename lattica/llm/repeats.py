@@ -144,30 +144,28 @@ def _block(spec: Spec):
     return run
 
 
-def spans(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc, start, length): the union of these spans is what repeats an earlier place. ``docs`` is (doc, text)."""
-    spark = docs.sparkSession
-    common.prepare(spark)
+def staged(docs: DataFrame, spec: Spec, with_first: bool = False) -> tuple[DataFrame, DataFrame | None, dict[bool, int]]:
+    """(placed, pieces, sizes). ``placed`` is (anchor, phrase, doc, span, copy, own; if asked, first) of the phrases whose anchor stands
+    at two places; ``pieces`` the texts (anchor, doc, span, hot, piece) of those that differ under one anchor, None where there are
+    none; ``sizes`` the numbers of them that are hot and not."""
+    common.prepare(docs.sparkSession)
     found = common.written(candidates(docs, spec), "phrases")
-    first = found.groupBy("anchor", "phrase").agg(F.min(F.struct("doc", "span")).alias("f"))
+    first = found.groupBy("anchor", "phrase").agg(F.min(F.struct("doc", "span")).alias("first"))
     placed = found.join(first, ["anchor", "phrase"])
     if spec.across_docs:
-        copy, own = F.col("doc") > F.col("f.doc"), F.col("doc") == F.col("f.doc")
+        copy, own = F.col("doc") > F.col("first.doc"), F.col("doc") == F.col("first.doc")
     else:
-        own = (F.col("doc") == F.col("f.doc")) & (F.col("span") == F.col("f.span"))
+        own = (F.col("doc") == F.col("first.doc")) & (F.col("span") == F.col("first.span"))
         copy = ~own
-    placed = common.written(placed.select("anchor", "phrase", "doc", "span", copy.alias("copy"), own.alias("own")), "placed")
+    placed = common.written(placed.select("anchor", "phrase", "doc", "span", copy.alias("copy"), own.alias("own"), *["first"] * with_first), "placed")
     common.discard(found)
-    whole = placed.filter("copy").select(
-        "doc", F.shiftright("span", LOW).alias("start"), (F.col("span").bitwiseAND((1 << LOW) - 1) + (spec.k - 1)).alias("length")
-    )
     # Different phrases under one anchor: the only places where a repeat can begin or end.
     kept = placed.filter("own")
     several = kept.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).filter("a <> b")
     edges = common.written(kept.join(several, "anchor").select("anchor", "doc", "span", (F.col("n") > spec.hot_variants).alias("hot")), "edges")
     sizes = {r["hot"]: r["count"] for r in edges.groupBy("hot").count().collect()}
     if not sizes:
-        return whole
+        return placed, None, sizes
     wanted = edges.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("anchor", "span", "hot")).alias("wanted"))
     fetched = (
         docs.toDF("doc", "text").join(wanted.hint("shuffle_hash"), F.col("doc") == F.col("d")).select("doc", "text", "wanted")
@@ -175,13 +173,28 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     )
     pieces = common.written(fetched, "pieces")
     common.discard(edges)
-    out = whole
+    return placed, pieces, sizes
+
+
+def blocked(pieces: DataFrame, spec: Spec, rows: int) -> DataFrame:
+    """The phrases that are not hot, by reference block: ``block`` follows from the anchor."""
+    return pieces.filter("NOT hot").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(common.blocks_for(rows, spec.block_rows))))
+
+
+def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame:
+    return pieces.filter("hot").select("doc", "span", "piece").mapInArrow(_windows_of(spec), "h1 long, h2 long, doc long, start long")
+
+
+def spans(docs: DataFrame, spec: Spec) -> DataFrame:
+    """(doc, start, length): the union of these spans is what repeats an earlier place. ``docs`` is (doc, text)."""
+    placed, pieces, sizes = staged(docs, spec)
+    out = placed.filter("copy").select(
+        "doc", F.shiftright("span", LOW).alias("start"), (F.col("span").bitwiseAND((1 << LOW) - 1) + (spec.k - 1)).alias("length")
+    )
     if sizes.get(False):
-        n = common.blocks_for(sizes[False], spec.block_rows)
-        blocked = pieces.filter("NOT hot").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n)))
-        out = out.unionByName(blocked.groupBy("block").applyInPandas(_block(spec), SPANS))
+        out = out.unionByName(blocked(pieces, spec, sizes[False]).groupBy("block").applyInPandas(_block(spec), SPANS))
     if sizes.get(True):
-        windows = pieces.filter("hot").select("doc", "span", "piece").mapInArrow(_windows_of(spec), "h1 long, h2 long, doc long, start long")
+        windows = hot_windows(pieces, spec)
         lead = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f"))
         later = F.col("doc") > F.col("f.doc")
         if not spec.across_docs:

@@ -36,9 +36,10 @@ def cut_bytes(text: bytes, start: int, end: int) -> bytes:
     return text[start:end]
 
 
-def suffix_array(block: pd.DataFrame, k: int):
+def suffix_array(block: pd.DataFrame, k: int, with_span: bool = False):
     """The sorted suffixes of a block's phrases that share ``k`` bytes with another: arrays (doc, start, bytes left
-    in the phrase, byte to the left or -1) in order, and the common prefix of each with the one before it."""
+    in the phrase, byte to the left or -1) in order, the common prefix of each with the one before it, and, if asked, their
+    phrases' spans."""
     block = block.sort_values(["doc", "span"], kind="stable")
     docs = block["doc"].to_numpy()
     starts = block["span"].to_numpy() >> repeats.LOW
@@ -55,7 +56,7 @@ def suffix_array(block: pd.DataFrame, k: int):
     owner, offset = owner[again], offset[again]
     left = lengths[owner] - offset
     if not len(owner):
-        return docs[owner], offset, left, offset, offset
+        return (docs[owner], offset, left, offset, offset, offset)[: 5 + with_span]
     wide = int(left.max())
     padded = np.concatenate((buffer, np.zeros(wide, dtype=np.uint8)))
     rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[base[owner] + offset].copy()
@@ -70,7 +71,8 @@ def suffix_array(block: pd.DataFrame, k: int):
         same = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
         prefix[a:b] = np.minimum(same, np.minimum(left[a:b], left[a - 1 : b - 1]))
     before = np.where(offset > 0, buffer[np.maximum(base[owner] + offset - 1, 0)].astype(np.int64), -1)
-    return docs[owner], starts[owner] + offset, left, before, prefix
+    out = docs[owner], starts[owner] + offset, left, before, prefix
+    return (*out, block["span"].to_numpy()[owner]) if with_span else out
 
 
 def intervals(prefix: np.ndarray, docs: np.ndarray, starts: np.ndarray, before: np.ndarray, k: int):
@@ -133,6 +135,77 @@ def repeat_groups(block: pd.DataFrame, k: int) -> list[tuple[int, list[tuple[int
     return found
 
 
+def _tree(k: int):
+    """The interval tree of a block, one row an occurrence, in the deepest interval that holds it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        docs, starts, _, before, prefix, spans = suffix_array(pdf, k, with_span=True)
+        own = np.full(len(docs), -1, dtype=np.int64)
+        length, maximal, parent, open_ = [], [], [], []
+        for a, b, n, _, _, left in intervals(prefix, docs, starts, before, k):
+            part = own[a : b + 1]
+            part[part < 0] = len(length)
+            while open_ and open_[-1][0] >= a:
+                parent[open_.pop()[1]] = len(length)
+            open_.append((a, len(length)))
+            length.append(n)
+            maximal.append(left)
+            parent.append(-1)
+        held = np.flatnonzero(own >= 0)
+        # A group whose occurrences are all in longer groups has one row without a place.
+        bare = np.setdiff1d(np.arange(len(length)), own[held])
+        g = np.concatenate((own[held], bare))
+        name = lambda x: np.where(x >= 0, (np.int64(block) << 32) | x, -1)
+        place = lambda x: pd.array([*x[held].tolist(), *[None] * len(bare)], dtype="Int64")
+        return pd.DataFrame(
+            {
+                "group": name(g), "parent": name(np.array(parent, dtype=np.int64)[g]), "length": np.array(length, dtype=np.int64)[g], "maximal": np.array(maximal, dtype=bool)[g],
+                "doc": place(docs), "span": place(spans), "offset": place(starts - (spans >> repeats.LOW)),
+            }
+        )
+
+    return run
+
+
+def repeat_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, **sizes) -> DataFrame:
+    """(group, parent, length, maximal, doc_id, start): the repeat groups with all their occurrences.
+
+    A group is a common-prefix interval: a text of ``length`` bytes (within its phrases) and everywhere it stands. An occurrence is listed once,
+    under the longest group that it belongs to; it belongs to the parents of that group too, so the table grows with the occurrences and
+    not with the depth of the tree; a group all of whose occurrences are in longer groups has one row with a null place. ``maximal``: the bytes to the left differ, so no longer group covers this one. Phrases that stand at
+    several places as wholes are one group each (no parent). Of anchors with too many phrases for a block, the groups are those of ``k`` bytes.
+    See ``suffix_dedup`` for nulls, repeated rows and empty input.
+    """
+    own = spec(k, **sizes)
+    placed, pieces, n = repeats.staged(docs.select(F.col(id_col).cast("long"), F.col(text_col)), own, with_first=True)
+    places = placed.select(F.col("first.doc").alias("f_doc"), F.col("first.span").alias("f_span"), "anchor", "phrase", "doc", "span")
+    start = F.shiftright("span", repeats.LOW)
+    alone = placed.groupBy("anchor", "phrase").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "phrase")
+    group = F.concat_ws(":", F.hex("anchor"), F.hex("phrase"))
+    out = places.join(alone, ["anchor", "phrase"]).select(
+        group.alias("group"), F.lit(None).cast("string").alias("parent"), (F.col("span").bitwiseAND((1 << repeats.LOW) - 1) + (k - 1)).alias("length"), F.lit(True).alias("maximal"),
+        F.col("doc").alias("doc_id"), start.alias("start"),
+    )
+    if n.get(False):
+        tree = repeats.blocked(pieces, own, n[False]).groupBy("block").applyInPandas(_tree(k), "group long, parent long, length long, maximal boolean, doc long, span long, offset long")
+        # Each first phrase stands for its copies, which hold the same occurrence at the same offset.
+        tree = tree.toDF("group", "parent", "length", "maximal", "f_doc", "f_span", "offset").join(places, ["f_doc", "f_span"], "left")
+        out = out.unionByName(
+            tree.select(
+                F.col("group").cast("string").alias("group"), F.when(F.col("parent") >= 0, F.col("parent").cast("string")).alias("parent"), "length", "maximal", F.col("doc").alias("doc_id"), (start + F.col("offset")).alias("start"),
+            )
+        )
+    if n.get(True):
+        windows = repeats.hot_windows(pieces, own)
+        again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+        hot = windows.join(again, ["h1", "h2"])
+        out = out.unionByName(
+            hot.select(F.concat_ws(":", F.hex("h1"), F.hex("h2"), F.lit("w")).alias("group"), F.lit(None).cast("string").alias("parent"), F.lit(k).cast("long").alias("length"), F.lit(True).alias("maximal"), F.col("doc").alias("doc_id"), "start")
+        )
+    return out
+
+
 def spec(k: int = K, block_rows: int = 8_000, hot_variants: int = 8_000) -> repeats.Spec:
     q = max(1, min(24, k // 4))
     return repeats.Spec(k, q, no_split, byte_symbols, cut_bytes, _kernel, False, block_rows, hot_variants)

@@ -166,3 +166,32 @@ def test_near_dedup_keeps_one_a_group(spark):
 def test_query_columns(spark, sf_dir):
     out = substring_dedup.query(spark, sf_dir)
     assert dict(out.dtypes)["n_removed"] == "bigint" and out.filter(F.length("kept_sha256") != 64).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 3}])
+def test_repeat_tree_lists_all_occurrences(spark, sizes):
+    rows = [x for x in dict(reversed(corpus(5))).items() if x[0] is not None]
+    k = 20
+    got = suffix_dedup.repeat_tree(frame(spark, rows), k=k, **sizes).collect()
+    texts = {i: (t or "").encode() for i, t in rows}
+    parent = {r.group: r.parent for r in got}
+    members = {}
+    for r in got:
+        g = r.group
+        while g is not None and r.doc_id is not None:
+            members.setdefault(g, set()).add((r.doc_id, r.start))
+            g = parent[g]
+    length = {r.group: r.length for r in got}
+    for g, places in members.items():
+        assert len(places) > 1
+        assert len({texts[d][s : s + length[g]] for d, s in places}) == 1
+    where = {}
+    for i, b in texts.items():
+        for p in range(len(b) - k + 1):
+            where.setdefault(b[p : p + k], set()).add((i, p))
+    listed = {(r.doc_id, r.start) for r in got if r.doc_id is not None}
+    covered = {(d, s + j) for g, places in members.items() for d, s in places for j in range(length[g] - k + 1)}
+    for places in where.values():
+        if len(places) > 1:
+            assert places <= covered
+    assert listed <= set().union(*(p for p in where.values() if len(p) > 1))
