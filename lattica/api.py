@@ -147,7 +147,7 @@ class GraphEngine:
         """Read the next ``days`` archives into the logs; the dates read. Names known at the start stand for the whole batch."""
         messages, _ = archive.read_archives(self.spark, folder)
         dates = archive.unprocessed(messages, processed).limit(days)
-        chosen = messages.join(F.broadcast(dates), "date", "left_semi")  # at most ``days`` rows
+        chosen = messages.join(dates, "date", "left_semi")
         rows = archive.eligible(archive.pair_exchanges(chosen), self.config["extraction"]["min_exchange_length"])
         exchanges = rows.select("exchange_id", F.lit("main").alias("agent_id"), (F.to_timestamp("date") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("exchange_no").cast("decimal(18,6)"))).alias("ts"), "user_text", "agent_text")
         ingest.ingest_batch(self.store, exchanges, batch, self.config["extraction"])

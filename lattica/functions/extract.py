@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import short_list
 from . import text as tx
 
 MOST = 15
@@ -26,10 +27,10 @@ def exchange_texts(messages: DataFrame, least: int = 20, least_message: int = 10
 
 
 def lexicon(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A recogniser of listed names (name, entity_type) as whole words; the list is broadcast and should be short."""
+    """A recogniser of listed names (name, entity_type) as whole words; the list is broadcast, and more than 10,000 names raise."""
 
     def recognise(texts: DataFrame) -> DataFrame:
-        short = F.broadcast(names.select("name", "entity_type").limit(10_000))
+        short = short_list(names.select("name", "entity_type"))
         at = F.locate(F.lower("name"), F.lower("text"))
         hit = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\W+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(F.lower("name"), r"\W+", " "), F.lit(" ")))
         return texts.join(short, hit).select("exchange_id", (at - (1 << 30)).alias("pos"), "name", "entity_type")
@@ -41,7 +42,7 @@ def entities(texts: DataFrame, known: DataFrame | None = None, recognise: Callab
     """(exchange_id, pos, name, entity_type): the first ``most`` valid names of a text, then known names in it.
 
     A name counts once, whatever its case. ``known`` (canonical_name, entity_type) are those of the 200 newest entities
-    or any other short list; names of three letters or more are looked for as parts of the text, and not counted in ``most``.
+    or any other list of up to 10,000; names of three letters or more are looked for as parts of the text, and not counted in ``most``.
     """
     raw = texts.select("exchange_id", F.posexplode(tx.raw_entities(F.col("text"))).alias("pos", "e")).select("exchange_id", "pos", F.col("e.name").alias("name"), F.col("e.type").alias("entity_type"))
     if recognise:
@@ -51,7 +52,7 @@ def entities(texts: DataFrame, known: DataFrame | None = None, recognise: Callab
     order = Window.partitionBy("exchange_id").orderBy("pos")
     kept = once.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
     if known is not None:
-        short = F.broadcast(known.select(F.col("canonical_name").alias("name"), "entity_type").filter(F.length("name") >= 3))
+        short = short_list(known.select(F.col("canonical_name").alias("name"), "entity_type").filter(F.length("name") >= 3))
         hits = texts.join(short, F.contains(F.lower("text"), F.lower("name"))).select("exchange_id", F.lower("name").alias("key"), F.lit(1 << 20).alias("pos"), "name", "entity_type")
         new = hits.join(kept.select("exchange_id", "key"), ["exchange_id", "key"], "left_anti")
         new = new.groupBy("exchange_id", "key").agg(F.min(F.struct("pos", "name", "entity_type")).alias("e")).select("exchange_id", "key", "e.*")

@@ -81,11 +81,16 @@ def latest_seq(log: DataFrame) -> int:
     return log.agg(F.max("seq")).first()[0] or 0
 
 
-def sequence(batch: DataFrame, after: int, *order: str) -> DataFrame:
-    """``batch`` with the arrival numbers that follow ``after``. Ranks come from range partitions, not one sorted task."""
-    ranged = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    numbered = ranged.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return numbered.join(F.broadcast(starts), "__part").withColumn("seq", F.lit(after + 1) + F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+def sequence(batch: DataFrame, after: int, ts: str, key: str) -> DataFrame:
+    """``batch`` with the arrival numbers that follow ``after``, in order of time and key.
+
+    A number is the rank within its minute and the count of all earlier minutes, so no task sorts the whole batch, and
+    running it again gives the same numbers.
+    """
+    rows = batch.withColumn("__minute", F.date_trunc("minute", ts))
+    counts = rows.groupBy("__minute").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.col("__minute").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("__minute").alias("__m"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__minute").orderBy(ts, key))
+    ranked = rows.withColumn("__rank", rank).join(starts, F.col("__minute").eqNullSafe(F.col("__m")))
+    return ranked.withColumn("seq", F.lit(after) + F.col("__start") + F.col("__rank")).drop("__minute", "__m", "__start", "__rank")

@@ -55,7 +55,7 @@ def evaluate(triples: DataFrame, patterns: DataFrame, agent: str, as_of: str, mi
     """
     now = F.lit(as_of).cast("timestamp")
     own = triples.filter(F.col("agent_id") == agent).select("subject", "predicate", "object", "confidence", weight(now).alias("w"))
-    wanted = F.broadcast(patterns.filter(F.size("predicates").isin(2, 3)).select("predicates").distinct())  # pairs and triples of the vocabulary
+    wanted = patterns.filter(F.size("predicates").isin(2, 3)).select("predicates").distinct()
     front = own.join(wanted, F.col("predicate") == F.col("predicates")[0]).select(
         "predicates", F.col("subject").alias("src"), F.col("object").alias("at"), F.col("confidence").alias("c"), F.array("w").alias("ws")
     )

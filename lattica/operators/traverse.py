@@ -97,7 +97,7 @@ def meta_path(triples: DataFrame, patterns: DataFrame, seeds: Sequence[str], age
     ``per_pattern`` best paths, and an exchange its best score.
     """
     own = triples.filter(F.col("agent_id") == agent).select("subject", "predicate", "object", "confidence", "source_exchange_id")
-    wanted = F.broadcast(patterns.filter(F.size("predicates").isin(2, 3)).select("predicates", "weight").distinct())
+    wanted = patterns.filter(F.size("predicates").isin(2, 3)).select("predicates", "weight").distinct()
     front = own.filter(F.col("subject").isin(*dict.fromkeys(seeds))).join(wanted, F.col("predicate") == F.col("predicates")[0])
     front = front.select("predicates", "weight", F.col("object").alias("at"), F.col("confidence").alias("c"), F.array("subject", "object").alias("nodes"), "source_exchange_id")
     done = None

@@ -5,11 +5,20 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+def short_list(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast, after its size was checked: more than ``most`` rows raise."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"this list is to have at most {most} rows")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def let_workers_import(spark: SparkSession) -> SparkSession:
     """Put the folder of this package on the path of the Python workers; on a cluster it is installed or shared."""
     env = spark.sparkContext.environment
