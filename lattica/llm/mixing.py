@@ -25,6 +25,8 @@ from . import common
 SEED = 7
 WEIGHTS = (1, 2, 3)
 MOST = 3
+#: Words of a block, and of an output shard.
+BLOCK_WORDS, SHARD_WORDS = 1024, 1 << 24
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -140,21 +142,27 @@ def shard_runs(spark, facts: list, block_words: int, shard_words: int, seed: int
     return spark.createDataFrame(rows, "s string, per long, chunk long, first long, last long, shard int"), block
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 1024, shard_words: int = 1 << 24, seed: int = SEED) -> DataFrame:
-    """The mixed rows: ``docs`` with each row once for every pass that takes words of it, and the columns
-    ``mix_shard`` and ``mix_order`` (the local shuffle of a shard). A last, partial pass that ends inside a document
-    takes its first words, as they stand. Other columns pass unchanged. A document goes to the shard that draws the
-    block it begins in. Rows repeated whole all follow the first of them. See ``mix_plan`` for nulls, ties and empty
-    input; documents without words have no row."""
-    plan = common.written(mix_plan(docs, id_col, text_col, source_col, seed), "plan")
+def draws(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """The rows of ``plan`` (a written ``mix_plan``) once for every pass that takes words of them, with ``pass``, ``words`` and the
+    ``shard`` that draws the block they begin in."""
     facts = plan.groupBy("source").agg(F.first("want").alias("want")).orderBy(F.col("source").asc_nulls_last()).collect()
-    runs, block = shard_runs(docs.sparkSession, facts, block_words, shard_words, seed)
+    runs, block = shard_runs(plan.sparkSession, facts, block_words, shard_words, seed)
     passes = plan.filter("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
     passes = passes.withColumn("words", F.when(F.col("pass") < F.col("whole"), F.col("size")).otherwise(F.col("part"))).filter("words > 0")
     passes = passes.withColumn("block", F.expr(f"(pass * source_size + at) div {block}"))
     per = runs.select(F.col("s").alias("ps"), "per").distinct()
     passes = passes.join(per, F.col("source").eqNullSafe(F.col("ps"))).withColumn("c", F.expr("block div per"))
     drawn = passes.join(runs.drop("per"), F.col("source").eqNullSafe(F.col("s")) & (F.col("c") == F.col("chunk"))).filter("first <= block AND block < last")
+    return drawn.drop("ps", "per", "c", "s", "chunk", "first", "last")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """The mixed rows: ``docs`` with each row once for every pass that takes words of it, and the columns
+    ``mix_shard`` and ``mix_order`` (the local shuffle of a shard). A last, partial pass that ends inside a document
+    takes its first words, as they stand. Other columns pass unchanged. A document goes to the shard that draws the
+    block it begins in. Rows repeated whole all follow the first of them. See ``mix_plan`` for nulls, ties and empty
+    input; documents without words have no row."""
+    drawn = draws(common.written(mix_plan(docs, id_col, text_col, source_col, seed), "plan"), block_words, shard_words, seed)
     own = drawn.groupBy(F.col("doc_id").alias("__lt_id"), F.col("tie").alias("__lt_tie"), F.col("pass").alias("__lt_pass")).agg(
         F.min(F.struct("at", "shard", "words", "size")).alias("__lt_row")
     )
@@ -178,5 +186,10 @@ def _piece(text: pa.Array, words: pa.Array) -> pa.Array:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """What the shards draw of every document, summed; documents that none draws take nothing."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    plan = common.written(mix_plan(docs), "plan")
+    facts = ["size", "source_size", "target"]
+    drawn = draws(plan).groupBy("doc_id", "tie", "source", "at").agg(*[F.first(c).alias(c) for c in facts], F.sum("words").alias("taken"), F.countDistinct("shard").alias("n_shards"))
+    none = plan.filter("taken = 0").select("doc_id", *facts, "taken", F.lit(0).cast("long").alias("n_shards"))
+    return drawn.select("doc_id", *facts, "taken", "n_shards").unionByName(none)
