@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample. Every row is indexed: its cell, the
-codes of its residual, and the vector itself for the exact reranking. A cell is stored in blocks of bounded size, so a
-cell that holds a third of all rows is many blocks. A query probes the ``probes`` cells with the largest inner product;
-in each block a table of its products with all codewords gives asymmetric scores by look-up, the ``rerank`` best
-are scored exactly in double precision, and the best ``k`` of all blocks stay.
+codes of its residual with the length of what they leave out, and the vector itself for the exact reranking. A cell is
+stored in blocks of bounded size, so a cell that holds a third of all rows is many blocks. A query probes the ``probes``
+cells with the largest inner product; in each block a table of its products with all codewords gives asymmetric scores
+by look-up. The ``rerank`` best are scored exactly in double precision, which sets the score to reach; then so is every
+row whose score could reach it, given the error of its codes. So what the probed cells hold is searched exactly, and
+the best ``k`` of all blocks stay, copies and ties by id.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ CODES = 256
 RERANK = 40
 BLOCK = 4096
 STEP = 128
-INDEX = "cell int, ids binary, codes binary, vectors binary"
+#: Pairs scored exactly at once.
+PAIRS = 16_384
+INDEX = "cell int, ids binary, codes binary, errors binary, vectors binary"
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -58,22 +62,23 @@ def fit(sample: np.ndarray, cells: int = CELLS, parts: int = PARTS, codes: int =
     return {"centres": centres, "runs": runs, "books": books}
 
 
-def encode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, codes) of the rows of ``x``."""
+def encode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, codes, length of the residual that the codes leave out) of the rows of ``x``."""
     cell = nearest(x, model["centres"])
     residual = x - model["centres"][cell]
     codes = np.stack([nearest(residual[:, r], b).astype(np.uint8) for r, b in zip(model["runs"], model["books"])], axis=1)
-    return cell, codes
+    left = np.sqrt(sum(((residual[:, r] - b[codes[:, i]]) ** 2).sum(axis=1) for i, (r, b) in enumerate(zip(model["runs"], model["books"]))))
+    return cell, codes, left
 
 
 def _encoder(held, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = vectors.matrix(batch["v"], dims)
-            cell, codes = encode(held.value, x)
+            cell, codes, left = encode(held.value, x)
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["id", "cell", "codes", "vector"],
+                [batch["id"], pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array([r.tobytes() for r in x], pa.binary())],
+                names=["id", "cell", "codes", "error", "vector"],
             )
 
     return run
@@ -81,50 +86,99 @@ def _encoder(held, dims: int):
 
 def _blocker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of cell become blocks of one cell."""
-    cell, ids, codes, own = None, [], [], []
+    cell, ids, codes, errors, own = None, [], [], [], []
 
     def block():
-        arrays = [pa.array([cell], pa.int32()), *[pa.array([x], pa.binary()) for x in (np.array(ids, dtype=np.int64).tobytes(), b"".join(codes), b"".join(own))]]
-        return pa.RecordBatch.from_arrays(arrays, names=["cell", "ids", "codes", "vectors"])
+        arrays = [pa.array([cell], pa.int32()), *[pa.array([x], pa.binary()) for x in (np.array(ids, dtype=np.int64).tobytes(), b"".join(codes), np.array(errors).tobytes(), b"".join(own))]]
+        return pa.RecordBatch.from_arrays(arrays, names=["cell", "ids", "codes", "errors", "vectors"])
 
     for batch in batches:
-        for i, c, k, v in zip(*(batch.column(n).to_pylist() for n in ("id", "cell", "codes", "vector"))):
+        for i, c, k, e, v in zip(*(batch.column(n).to_pylist() for n in ("id", "cell", "codes", "error", "vector"))):
             if ids and (c != cell or len(ids) >= BLOCK):
                 yield block()
-                ids, codes, own = [], [], []
+                ids, codes, errors, own = [], [], [], []
             cell = c
             ids.append(i)
             codes.append(k)
+            errors.append(e)
             own.append(v)
     if ids:
         yield block()
 
 
+def contenders(ids: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The rows that can be among the ``k`` best of some query, in order. Equal vectors score alike and go by id, and a query
+    leaves out one id: of rows equal in both the first ``k`` are enough, and of equal vectors the first 2 ``k`` of those."""
+    _, same = np.unique(np.ascontiguousarray(own).view(f"V{own.itemsize * own.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+
+    def places(*keys: np.ndarray) -> np.ndarray:
+        at = np.arange(len(keys[0]))
+        new = np.zeros(len(at), dtype=bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+        return at - np.maximum.accumulate(np.where(new, at, 0))
+
+    order = order[places(same[order], ids[order]) < k]
+    return np.sort(order[places(same[order]) < 2 * k])
+
+
+def _products(q: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The products of rows ``i`` of ``q`` and ``j`` of ``own``: equal rows give equal products."""
+    runs = range(0, len(i), PAIRS)
+    return np.concatenate([np.einsum("ij,ij->i", q[i[a : a + PAIRS]], own[j[a : a + PAIRS]]) for a in runs]) if len(i) else np.empty(0)
+
+
 def _kernel(held, dims: int, rerank: int):
     def run(batch: pa.RecordBatch, query_ids: np.ndarray, prepared, best: vectors.Best) -> None:
         model = held.value
         queries, probes = prepared
         for row in batch.to_pylist():
+            asking = np.flatnonzero((probes == row["cell"]).any(axis=1))
+            if not len(asking):
+                continue
             ids = np.frombuffer(row["ids"], dtype=np.int64)
-            codes = np.frombuffer(row["codes"], dtype=np.uint8).reshape(len(ids), -1)
             own = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dims)
-            asking = np.flatnonzero((probes == row["cell"]).any(axis=1))
+            able = contenders(ids, own, best.k)
+            codes = np.frombuffer(row["codes"], dtype=np.uint8).reshape(len(ids), -1)[able]
+            errors = np.frombuffer(row["errors"], dtype=np.float64)[able]
+            ids, own = ids[able], own[able]
+            centre = model["centres"][row["cell"]]
+            size = np.sqrt((own**2).sum(axis=1).max())
+            # What sums of single precision may be off, and products of double precision.
+            slack, tiny = 1e-5 * (size + np.linalg.norm(centre) + errors.max()), 1e-15 * dims * size
             for at in range(0, len(asking), STEP):
                 some = asking[at : at + STEP]
                 q = queries[some]
+                length = np.linalg.norm(q, axis=1)
                 scores = np.zeros((len(some), len(ids)), dtype=np.float32)
                 for part, (r, book) in enumerate(zip(model["runs"], model["books"])):
                     table = (q[:, r] @ book.T).astype(np.float32)
                     scores += table[:, codes[:, part]]
-                # The product with the cell's centre is one for the block and changes no order within it.
-                scores[query_ids[some][:, None] == ids[None, :]] = -np.inf
-                n = min(rerank, len(ids))
+                mine = query_ids[some][:, None] == ids[None, :]
+                scores[mine] = -np.inf
+                n = min(max(rerank, best.k), len(ids))
                 near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
                 i = np.repeat(np.arange(len(some)), n)
                 j = near.ravel()
-                other = query_ids[some][i] != ids[j]
-                i, j = i[other], j[other]
-                best.add(some[i], ids[j], np.einsum("ij,ij->i", q[i], own[j]))
+                score = np.where(mine[i, j], -np.inf, _products(q, own, i, j))
+                floor = best.least[some]
+                if n >= best.k:
+                    floor = np.maximum(floor, np.partition(score.reshape(-1, n), n - best.k, axis=1)[:, n - best.k])
+                # Every other row that may reach the k-th score: first by the error of its codes, then by its product.
+                reach = floor - q @ centre
+                may = ~(scores < (reach[:, None] - length[:, None] * (errors + slack)[None, :])) & ~mine
+                may[i, j] = False
+                rows = np.flatnonzero(may.any(axis=0))
+                may = may[:, rows]
+                product = np.where(may, q @ own[rows].T, -np.inf)
+                if len(rows) >= best.k:
+                    floor = np.maximum(floor, np.partition(product, len(rows) - best.k, axis=1)[:, len(rows) - best.k])
+                more, column = np.nonzero(may & ~(product < (floor - 2 * tiny * length)[:, None]))
+                other = ~mine[i, j]
+                i, j, score = i[other], j[other], score[other]
+                score = np.concatenate((score, _products(q, own, more, rows[column])))
+                i, j = np.concatenate((i, more)), np.concatenate((j, rows[column]))
+                best.add(some[i], ids[j], score)
 
     return run
 
@@ -136,17 +190,18 @@ def build(rows: DataFrame, dims: int, sample: int = SAMPLE, cells: int = CELLS)
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     model = fit(vectors.matrix(taken["v"].combine_chunks(), dims), cells)
     held = spark.sparkContext.broadcast(model)
-    coded = common.written(rows.mapInArrow(_encoder(held, dims), "id long, cell int, codes binary, vector binary"), "coded")
+    coded = common.written(rows.mapInArrow(_encoder(held, dims), "id long, cell int, codes binary, error double, vector binary"), "coded")
     sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}
     # Rows of a large cell spread over as many tasks as it has blocks.
     spread = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, common.blocks_for(n, BLOCK))]), F.col("cell"))
     salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), spread.cast("long")))
-    index = salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id").select("id", "cell", "codes", "vector").mapInArrow(_blocker, INDEX)
+    index = salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id").select("id", "cell", "codes", "error", "vector").mapInArrow(_blocker, INDEX)
     return common.written(index, "cells"), held
 
 
 def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, cells: int = CELLS, probes: int = PROBES, rerank: int = RERANK, query_block: int = vectors.QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, by inner product, ties to the smaller id.
+    """(query_id, rank, vec_id, score): the ``k`` nearest that the probed cells hold of every query, by inner product, ties to
+    the smaller id. ``rerank`` rows a block are scored exactly first; it is no cut, and results do not depend on it.
 
     Vectors (or ids) that are null, zero, or hold null or non-finite components take no part; shorter vectors are filled with
     zeros. Rows that share an id are candidates each, are all the query's own, and the smallest of their vectors is

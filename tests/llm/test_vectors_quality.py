@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import ann, quality, topk, vectors
@@ -94,6 +95,50 @@ def test_ann_on_the_test_table(spark, sf_dir):
     assert hit / (20 * len(got)) >= 0.9
 
 
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def found_by_kernel(ids, x, queries, k=20, rerank=40, cells=64, probes=48, block=4096):
+    """(ids, scores) of the finds of each query, best first, from blocks of the cells as ``build`` makes them."""
+    model = ann.fit(x[:20_000], cells)
+    cell, codes, errors = ann.encode(model, x)
+    n = min(probes, len(model["centres"]))
+    near = np.argsort(-(x[queries] @ model["centres"].T), axis=1)[:, :n].astype(np.int16)
+    run, best = ann._kernel(Held(model), x.shape[1], rerank), vectors.Best(len(queries), k, np.float64)
+    for c in range(len(model["centres"])):
+        own = np.flatnonzero(cell == c)
+        for at in range(0, len(own), block):
+            some = own[at : at + block]
+            arrays = [pa.array([c], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in (ids[some], codes[some], errors[some], x[some]))]
+            run(pa.RecordBatch.from_arrays(arrays, names=["cell", "ids", "codes", "errors", "vectors"]), ids[queries], (x[queries], near), best)
+    return [(best.id[best.q == q], best.score[best.q == q]) for q in range(len(queries))]
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.01, 0.05])
+def test_ann_finds_all_of_a_crowd_of_copies(noise):
+    r = np.random.Generator(np.random.PCG64(4))
+    x = r.standard_normal((12_000, 32))
+    x[::3] = x[0] + noise * r.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x), dtype=np.int64)
+    queries = np.arange(0, len(x), 100)
+    # With all cells probed the finds are exact, in and outside of the crowd.
+    for q, (found, score) in zip(queries, found_by_kernel(ids, x, queries, probes=64)):
+        want = np.einsum("ij,ij->i", x, np.broadcast_to(x[q], x.shape))
+        want[q] = -np.inf
+        order = np.lexsort((ids, -want))[:20]
+        assert found.tolist() == order.tolist() and np.allclose(score, want[order], atol=1e-12)
+
+
+def test_contenders_leave_enough_of_equal_rows():
+    ids = np.array([1, 1, 1, 1, 2, 3, 4, 5, 6, 7])
+    own = np.ones((10, 2))
+    own[9] = 2
+    assert ids[ann.contenders(ids, own, 2)].tolist() == [1, 1, 2, 3, 7]
+
+
 def test_best_keeps_ties_by_id():
     best = vectors.Best(1, 2, np.int64)
     best.add(np.zeros(3, np.int64), np.array([9, 4, 5]), np.array([7, 7, 7]))
