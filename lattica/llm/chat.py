@@ -5,20 +5,25 @@ assistant's and carry the loss mask, and all others are users named after their
 instructions in every rendering and no participant.
 
 A rendering is cut into parts of ``part_turns`` turns, as a training example has to end somewhere and a conversation
-may hold any share of all rows: a turn's number gives its part, so no conversation is gathered in one task. Turns in
-a crowded part (many rows with one number) are cut further, by the rank of their hash range.
+may hold any share of all rows: a turn's number gives its part. The turns of a crowded part (many rows with one number) are
+rendered in pieces: runs of neighbours in the order of the dialogue, of ``crowd`` turns, so that no task gathers more. Their
+places come from counts over ranges of the order. ``query`` joins the pieces of a part to one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 PART_TURNS = 64
-#: Rows of one part that are rendered together; a part with more is cut by hash ranges.
+#: Turns of one part that are rendered together; a part with more is cut into runs of so many.
 CROWD = 4096
+#: Turns of crowded parts that one task orders.
+RANGE_ROWS = 100_000
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 
@@ -28,9 +33,44 @@ def _named(role, speaker):
     return F.when(role == SYSTEM, F.lit("system")).when(role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), name))
 
 
+def _pieces(t: DataFrame, crowd: int) -> list[DataFrame]:
+    """``t`` (conv_id, turn, role, text, part) with ``piece``: the turns of other parts and, where there are any, of crowded ones.
+
+    Only turns of crowded parts are counted and ordered. They are sorted into ranges, a task each; ``place`` is what the
+    ranges before hold of the part, and what stands before in the own range, in running sums over at most a range.
+    """
+    spark = t.sparkSession
+    sizes = t.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
+    sizes = common.written(sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n"), "crowded")
+    rows = sizes.agg(F.sum("n")).first()[0]
+    if not rows:
+        return [t.withColumn("piece", F.lit(0))]
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    calm = t.join(sizes, same, "left_anti").withColumn("piece", F.lit(0))
+    # Rows repeated whole are counted first, so that no range of the order holds them all.
+    whole = t.join(sizes.drop("n"), same, "left_semi").groupBy(*t.columns).agg(F.count(F.lit(1)).alias("copies"))
+    order = [F.col("conv_id"), F.col("part"), F.col("turn"), F.col("role"), F.col("text")]
+    ranges = common.blocks_for(rows, RANGE_ROWS)
+    sorted_ = whole.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()) if ranges > 1 else whole.withColumn("range", F.lit(0))
+    sorted_ = common.written(sorted_, "turns")
+    before = Window.partitionBy("conv_id", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sorted_.groupBy("conv_id", "part", "range").agg(F.sum("copies").alias("n"))
+    starts = starts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("conv_id", "part", "range").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sorted_.withColumn("own", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(starts, same & (F.col("range") == F.col("r")))
+    placed = placed.withColumn("place", F.col("start") + F.col("own"))
+    # A row repeated whole is listed once a piece that it reaches, with as many copies as stand there.
+    placed = placed.withColumn("piece", F.explode(F.sequence(F.expr(f"place div {crowd}"), F.expr(f"(place + copies - 1) div {crowd}"))))
+    times = F.least(F.col("place") + F.col("copies"), (F.col("piece") + 1) * crowd) - F.greatest(F.col("place"), F.col("piece") * crowd)
+    placed = placed.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return [calm, placed.select(*t.columns, F.col("piece").cast("int").alias("piece"))]
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS, crowd: int = CROWD) -> DataFrame:
     """(conv_id, perspective, part, piece, n_turns, n_assistant, text, mask) for every participant and part.
 
+    A part of more than ``crowd`` turns is several rows: ``piece`` 0, 1 and so on are its runs of ``crowd`` turns in order, the last
+    one shorter; their texts in order are the part's, and each mask counts from the start of its piece. Other parts are piece 0.
     ``text`` joins the turns as ``<|im_start|>role name=who`` newline text ``<|im_end|>`` newline; ``mask`` is an array of
     (start, end) character ranges of ``text`` that the assistant speaks, end marker included. Turns are in order of
     turn number (null first), then role and text (null first), so ties have one order; repeated rows stay. Null text: an
@@ -38,17 +78,22 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     turns alone has no participant and no row. Markers inside a text are broken with a zero-width space, so no text can
     end a turn. An empty table gives an empty one. Extra columns are not carried.
     """
+    return reduce(DataFrame.unionByName, _rotated(turns, conv_col, turn_col, role_col, text_col, part_turns, crowd))
+
+
+def _rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS, crowd: int = CROWD) -> list[DataFrame]:
+    """``rotate`` in two tables: other parts and, where there are any, crowded ones."""
     t = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.col(text_col).alias("text")
     )
     t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)))
-    crowded = t.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
-    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.log2(F.col("n") / crowd)).cast("int").alias("bits"))
-    t = t.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").drop("c", "p")
-    t = t.withColumn("piece", F.expr("coalesce(int(shiftright(shiftrightunsigned(xxhash64(turn, role, text), 1), 63 - bits)), 0)"))
     people = t.filter(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("perspective")).distinct().withColumnRenamed("conv_id", "c")
     # One row a turn and participant: no more than turns x participants.
-    wide = t.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    return [_rendered(some.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")) for some in _pieces(t, crowd)]
+
+
+def _rendered(wide: DataFrame) -> DataFrame:
+    """The rows of ``rotate`` from turns (conv_id, turn, role, text, part, piece) times perspectives."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|im_(start|end)\|>", "<\u200b|im_$1|>")
     head = F.concat(F.lit(START), _named(F.col("role"), F.col("perspective")), F.lit("\n"))
     one = F.struct(
@@ -72,11 +117,35 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
+def whole_parts(pieces: DataFrame) -> DataFrame:
+    """The rows of ``rotate`` with the pieces of a part joined in order to one row, and the mask counted from its start.
+
+    Such a row holds all turns of its part, as the SQL has it, so Spark's 2 GB a value bound a part here; ``pieces`` has no such bound.
+    """
+    one = F.struct("piece", "n_turns", "n_assistant", "text", "mask")
+    grouped = pieces.groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    # Where each piece starts: the lengths are summed over pieces, not over turns.
+    spans = F.aggregate(
+        "all",
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("spans")),
+        lambda s, x: F.struct(
+            (s["at"] + F.length(x["text"])).alias("at"),
+            F.concat(s["spans"], F.array(F.transform(x["mask"], lambda m: F.struct((s["at"] + m["start"]).alias("start"), (s["at"] + m["end"]).alias("end"))))).alias("spans"),
+        ),
+        lambda s: F.flatten(s["spans"]),
+    )
+    total = lambda name: F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + x[name])
+    return grouped.select(
+        "conv_id", "perspective", "part", total("n_turns").alias("n_turns"), total("n_assistant").alias("n_assistant"), F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text"), spans.alias("mask")
+    )
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """The renderings, their masks as text: start-end ranges joined by commas."""
-    out = rotate(common.table(spark, sf_dir, "conversations"))
+    """The renderings, one row a part of any size, their masks as text: start-end ranges joined by commas."""
+    calm, *crowded = _rotated(common.table(spark, sf_dir, "conversations"))
+    out = reduce(DataFrame.unionByName, map(whole_parts, crowded), calm.drop("piece"))
     told = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.withColumn("mask", told).drop("piece")
+    return out.withColumn("mask", told)
 
 
 ORACLE_SQL = """

@@ -117,3 +117,39 @@ def test_crowded_parts_are_cut(spark):
     assert len({r.piece for r in out}) > 5 and all(r.n_turns < 40 for r in out)
     assert sum(r.n_turns for r in out if r.perspective == "user") == 100 and sum(r.n_assistant for r in out) == 100
     assert chat.rotate(table.limit(0)).count() == 0
+
+
+def test_pieces_of_a_crowded_part_are_runs_of_the_dialogue(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RANGE_ROWS", 30)
+    r = random.Random(4)
+    rows = [(r.choice([1, None]), r.choice([None, 5, 6]), r.choice(["user", "assistant", None, "system"]), r.choice([None, "", f"t{i}"])) for i in range(300)]
+    rows += [(1, 5, "user", "again")] * 70 + turns()
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = chat.rotate(table, crowd=16).collect()
+    assert max(x.n_turns for x in out) == 16
+    pieces = {}
+    for x in sorted(out, key=lambda x: x.piece):
+        pieces.setdefault((x.conv_id, x.perspective, x.part), []).append(x)
+    want = {}
+    for c in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == c]
+        for who in {x[2] or "unknown" for x in own} - {"system"}:
+            want |= {(c, who, part): x for (_, part), x in render(own, 64, who).items()}
+    assert {k: "".join(x.text for x in v) for k, v in pieces.items()} == {k: v[0] for k, v in want.items()}
+    for v in pieces.values():
+        assert [x.piece for x in v] == list(range(len(v))) and all(x.n_turns == 16 for x in v[:-1])
+        assert all(x.text[m["start"] : m["end"]].endswith("<|im_end|>") and x.text[: m["start"]].endswith("assistant\n") for x in v for m in x["mask"])
+    joined = {(x.conv_id, x.perspective, x.part): [x.text, [(m["start"], m["end"]) for m in x["mask"]]] for x in chat.whole_parts(chat.rotate(table, crowd=16)).collect()}
+    assert joined == want
+
+
+def test_a_crowded_part_is_what_the_sql_says(spark, tmp_path):
+    import duckdb
+
+    rows = [(7, i % 3, "user" if i % 2 else "Bob B", f"t{i % 3000}") for i in range(2 * chat.CROWD + 100)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(db.execute(chat.ORACLE_SQL).fetchall())
+    assert sorted(map(tuple, chat.query(spark, str(tmp_path)).collect())) == want and len(want) == 2
