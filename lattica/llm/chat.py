@@ -2,7 +2,8 @@
 
 Every participant of a conversation is the assistant once: in its rendering the turns of that participant are the
 assistant's and carry the loss mask, and all others are users named after their participant. System turns are
-instructions in every rendering and no participant.
+instructions in the rendering of every participant and no participant. They stand where their turn number has them: in a
+conversation of more than ``part_turns`` turns in one part only, so its other parts have no instructions, nor what was said before.
 
 A rendering is cut into parts of ``part_turns`` turns, as a training example has to end somewhere and a conversation
 may hold any share of all rows: a turn's number gives its part. The turns of a crowded part (many rows with one number) are
