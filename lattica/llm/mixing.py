@@ -96,9 +96,10 @@ def placed(docs: DataFrame, range_rows: int = 100_000, seed: int = SEED) -> Data
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, range_rows: int = 100_000) -> DataFrame:
-    """(doc_id, tie, size, source, source_size, target, want, at, whole, part, taken) of every row of ``docs``.
+    """(doc_id, tie, size, source, copies, copy, source_size, target, want, at, whole, part, taken) of every row of ``docs``.
 
-    ``taken`` = size * whole passes + the words of the part taken in the last pass. ``tie`` tells apart rows of one id.
+    ``taken`` = size * whole passes + the words of the part taken in the last pass. ``tie`` tells apart rows of one id, and ``copy``, 0
+    to ``copies`` - 1, rows repeated in id, text and source.
     Null text: size 0. Null source: one source, last in order. Null or repeated ids are rows of their own; rows
     repeated whole follow each other, so each has its own words. Sources
     without words have target 0. An empty table gives an empty one. Reruns agree.
@@ -113,7 +114,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     want = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
     facts = facts.withColumn("want", want).toDF("s", "source_size", "target", "want")
     line = placed(sized, range_rows, seed).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    line = line.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).drop("copy", "copies").join(facts, F.col("source").eqNullSafe(F.col("s")))
+    line = line.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).join(facts, F.col("source").eqNullSafe(F.col("s")))
     whole = F.when(F.col("source_size") > 0, F.expr("want div source_size")).otherwise(F.lit(0))
     rest = F.col("want") - F.col("whole") * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("at"), F.lit(0)), F.col("size"))
@@ -156,21 +157,50 @@ def draws(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SH
     return drawn.drop("ps", "per", "c", "s", "chunk", "first", "last")
 
 
+def _numbered(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows of ``docs`` with an id, text and source in ``repeated`` (doc_id, tie, source), with ``__lt_own``: 0, 1 and so on among those that
+    share them. Rows are numbered within their input partition, from counts of the partitions before, so no task holds all copies of a row."""
+    keys = repeated.toDF("__lt_k_id", "__lt_k_tie", "__lt_k_source")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("__lt_k_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("__lt_k_tie"))
+    on = on & F.col(source_col).cast("string").eqNullSafe(F.col("__lt_k_source"))
+    found = docs.withColumn("__lt_at", F.monotonically_increasing_id()).join(keys, on)
+    # Written, as a number holds for one evaluation only. Its upper bits are the partition.
+    found = common.written(found.withColumn("__lt_from", F.shiftright("__lt_at", 33)), "repeated")
+    key = ["__lt_k_id", "__lt_k_tie", "__lt_k_source"]
+    before = Window.partitionBy(*key).orderBy("__lt_from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = found.groupBy(*key, "__lt_from").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select(F.col("__lt_k_id").alias("a"), F.col("__lt_k_tie").alias("b"), F.col("__lt_k_source").alias("c"), F.col("__lt_from").alias("d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = starts.toDF(*[f"__lt_s_{x}" for x in starts.columns])
+    same = F.col("__lt_k_id").eqNullSafe(F.col("__lt_s_a")) & F.col("__lt_k_tie").eqNullSafe(F.col("__lt_s_b")) & F.col("__lt_k_source").eqNullSafe(F.col("__lt_s_c"))
+    local = found.withColumn("__lt_place", F.row_number().over(Window.partitionBy(*key, "__lt_from").orderBy("__lt_at")) - 1)
+    joined = local.join(starts, same & (F.col("__lt_from") == F.col("__lt_s_d")))
+    return joined.select(*docs.columns, (F.col("__lt_s_start") + F.col("__lt_place")).alias("__lt_own"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """The mixed rows: ``docs`` with each row once for every pass that takes words of it, and the columns
     ``mix_shard`` and ``mix_order`` (the local shuffle of a shard). A last, partial pass that ends inside a document
     takes its first words, as they stand. Other columns pass unchanged. A document goes to the shard that draws the
-    block it begins in. Rows repeated whole all follow the first of them. See ``mix_plan`` for nulls, ties and empty
+    block it begins in. Rows repeated in id, text and source each have their own words, as in the plan; which of them is which
+    copy is arbitrary. See ``mix_plan`` for nulls, ties and empty
     input; documents without words have no row."""
-    drawn = draws(common.written(mix_plan(docs, id_col, text_col, source_col, seed), "plan"), block_words, shard_words, seed)
-    own = drawn.groupBy(F.col("doc_id").alias("__lt_id"), F.col("tie").alias("__lt_tie"), F.col("pass").alias("__lt_pass")).agg(
-        F.min(F.struct("at", "shard", "words", "size")).alias("__lt_row")
+    plan = common.written(mix_plan(docs, id_col, text_col, source_col, seed), "plan")
+    drawn = draws(plan, block_words, shard_words, seed)
+    own = drawn.select(
+        F.col("doc_id").alias("__lt_id"), F.col("tie").alias("__lt_tie"), F.col("source").alias("__lt_source"), F.col("copies").alias("__lt_copies"), F.col("copy").alias("__lt_copy"),
+        F.col("pass").alias("__lt_pass"), F.struct("shard", "words", "size").alias("__lt_row"),
     )
     on = F.col(id_col).cast("long").eqNullSafe(F.col("__lt_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("__lt_tie"))
-    rows = docs.join(own, on)
+    on = on & F.col(source_col).cast("string").eqNullSafe(F.col("__lt_source"))
+    rows = docs.join(own.filter("__lt_copies = 1"), on)
+    repeated = plan.filter("copies > 1 AND copy = 0 AND taken > 0").select("doc_id", "tie", "source")
+    if repeated.limit(1).count():
+        numbered = _numbered(docs, repeated, id_col, text_col, source_col)
+        many = numbered.join(own.filter("__lt_copies > 1"), on & (F.col("__lt_own") == F.col("__lt_copy"))).drop("__lt_own")
+        rows = rows.unionByName(many)
     law = F.xxhash64(F.lit(seed), "__lt_pass", "__lt_id", "__lt_tie")
     rows = rows.withColumn(text_col, _piece(F.col(text_col), F.when(F.col("__lt_row.words") < F.col("__lt_row.size"), F.col("__lt_row.words"))))
-    return rows.withColumns({"mix_shard": F.col("__lt_row.shard"), "mix_order": law}).drop("__lt_id", "__lt_tie", "__lt_pass", "__lt_row")
+    return rows.withColumns({"mix_shard": F.col("__lt_row.shard"), "mix_order": law}).drop("__lt_id", "__lt_tie", "__lt_source", "__lt_copies", "__lt_copy", "__lt_pass", "__lt_row")
 
 
 @F.arrow_udf(T.StringType())

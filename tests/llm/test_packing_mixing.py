@@ -112,6 +112,24 @@ def test_mix_rows_follow_the_plan(spark):
     assert len(shards) > 3
 
 
+def test_mix_writes_what_the_query_reports_on_repeated_rows(spark, tmp_path):
+    rows = mixed_rows() + [(900, "again and again", "many")] * 700 + [(901, "in two sources", "big"), (901, "in two sources", "small"), (None, "a b c", "small"), (None, "a b c", None)]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, source string, row int").repartition(5)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    said, wrote = Counter(), Counter()
+    for r in mixing.query(spark, str(tmp_path)).collect():
+        said[r.doc_id] += r.taken
+    passes = Counter()
+    for r in mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet")), block_words=16, shard_words=512).collect():
+        wrote[r.doc_id] += len(brute.words(r.text))
+        passes[r.row] += 1
+        assert (r.doc_id, r.source) == (rows[r.row][0], rows[r.row][2])
+    assert +said == +wrote
+    # Some copies are taken once more than others, none more than the passes allow.
+    own = [passes[i] for i, x in enumerate(rows) if x[0] == 900]
+    assert max(own) - min(own) == 1
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([1000, 0, 7, 123456])
     out = mixing.split_quotas(quotas, 13, 1)
