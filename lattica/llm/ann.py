@@ -44,7 +44,9 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Lloyd's algorithm from distinct rows; an empty centre stays where it was."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    centres = x[rng.permutation(len(x))[: min(k, len(x))]].copy()
+    mixed = x[rng.permutation(len(x))]
+    first = np.sort(np.unique(mixed, axis=0, return_index=True)[1])
+    centres = mixed[first[:k]]
     for _ in range(rounds):
         own = nearest(x, centres)
         count = np.bincount(own, minlength=len(centres))
@@ -56,6 +58,8 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
 def fit(sample: np.ndarray, cells: int = CELLS, parts: int = PARTS, codes: int = CODES) -> dict:
     """Coarse centroids and, for each run of dimensions, the codewords of the residuals."""
     centres = k_means(sample, cells)
+    # An empty cell would use up a probe.
+    centres = centres[np.unique(nearest(sample, centres))]
     residual = sample - centres[nearest(sample, centres)]
     runs = np.array_split(np.arange(sample.shape[1]), min(parts, sample.shape[1]))
     books = [k_means(residual[:, r], codes, rounds=5) for r in runs]
@@ -215,7 +219,7 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, held = build(rows, dims, cells=cells)
     centres = held.value["centres"]
-    # Few rows: every cell is probed.
+    # Few distinct rows, or cells left empty: every cell is probed.
     n = len(centres) if len(centres) < cells else min(probes, len(centres))
 
     def prepare(x: np.ndarray):

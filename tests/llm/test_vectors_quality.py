@@ -132,6 +132,16 @@ def test_ann_finds_all_of_a_crowd_of_copies(noise):
         assert found.tolist() == order.tolist() and np.allclose(score, want[order], atol=1e-12)
 
 
+def test_cells_start_from_distinct_vectors_and_none_is_empty():
+    r = np.random.Generator(np.random.PCG64(4))
+    x = r.standard_normal((3000, 16))
+    x[::3] = x[0]
+    assert len(np.unique(ann.k_means(x, 64, rounds=0), axis=0)) == 64
+    centres = ann.fit(x, 64)["centres"]
+    assert len(np.unique(ann.nearest(x, centres))) == len(centres) >= 60
+    assert len(ann.fit(np.ones((50, 4)), 64)["centres"]) == 1
+
+
 def test_contenders_leave_enough_of_equal_rows():
     ids = np.array([1, 1, 1, 1, 2, 3, 4, 5, 6, 7])
     own = np.ones((10, 2))
