@@ -42,7 +42,7 @@ def _buckets(word: bytes) -> tuple[int, int]:
     if found is None:
         if len(_SEEN) > 200_000:
             _SEEN.clear()
-        shape = word[:64]
+        shape = word
         for pattern, mark in _SHAPES:
             shape = pattern.sub(mark, shape)
         shape = re.sub(rb"(.)\1+", rb"\1", shape, flags=re.DOTALL)

@@ -156,6 +156,11 @@ def test_best_keeps_ties_by_id():
     assert best.id.tolist() == [1, 4]
 
 
+def test_shape_reads_the_whole_word():
+    plain, marked = (quality._buckets(b"a" * 64 + x)[1] for x in (b"b" * 100_000, b"!" * 100_000))
+    assert plain == quality._buckets(b"ab")[1] and marked == quality._buckets(b"ab!")[1] and plain != marked
+
+
 def quality_rows(seed=1, n=400):
     r = random.Random(seed)
     good = ["the", "thing", "and", "other", "was", "there", "entation", "morning", "river"]
