@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lattica-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -55,11 +57,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(table: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what ``written`` wrote, once no plan reads it any more."""
-    path = table._lattica_path
-    _delete(table.sparkSession, path)
-    _TABLES.pop(path, None)
+    for table in tables:
+        _delete(table.sparkSession, table._lattica_path)
+        _TABLES.pop(table._lattica_path, None)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -86,6 +88,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, none of which ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        n = 0
+        while (own := f"__{name}_{n}") in taken:
+            n += 1
+        taken.add(own)
+        out.append(own)
+    return out
+
+
+#: A key is hot beyond so many rows, or beyond the share 1 / ``MOST_HOT`` of all rows where that is more.
+HOT_ROWS, MOST_HOT = 20_000, 20_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``facts``, a written table of one row a key whose column ``size`` is how many rows have that key.
+
+    The rows of a hot key go to several tasks, and the facts of that key to each. Sizes add up to all rows, so fewer
+    than ``MOST_HOT`` keys exceed that share of them: that bounds what is broadcast, whatever the data. Key columns are not null.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    limit = max(hot_rows, total // MOST_HOT)
+    crowded = facts.filter(F.col(size) > limit)
+    if not crowded.limit(1).count():
+        return rows.join(facts, keys)
+    crowded = F.broadcast(crowded.select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("__tasks")))
+    rest = [c for c in rows.columns if c not in keys]
+    spread = rows.join(crowded, keys, "left").withColumn("__task", F.when(F.col("__tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("__tasks"))).cast("int"))
+    tasks = F.greatest(F.lit(1), F.ceil(F.col(size) / limit).cast("int"))
+    many = facts.withColumn("__task", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > limit, tasks - 1).otherwise(0))))
+    return spread.join(many, [*keys, "__task"]).drop("__task", "__tasks")
+
+
 def blocks_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(rows) // each))
 

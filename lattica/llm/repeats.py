@@ -1,15 +1,17 @@
-"""The dataflow that both substring operators share: phrases -> candidates -> blocks -> spans.
+"""The dataflow that both substring operators share: phrases -> classes -> blocks -> spans.
 
 1. Every document is cut into phrases (``anchors.py``). Anchors met at two places (``across_docs``: in two documents)
    stay; the rest of the corpus can hold no repeat and is out of the game before anything wide is shuffled.
-2. Phrases of those anchors are compared as wholes: per (anchor, phrase hash) the first place is found by a
-   pre-aggregating ``min``, so thousands of copies of a passage collapse before the shuffle, and every copy of a whole
-   phrase is a span at once.
-3. What is left are anchors with several different phrases: the edges of repeats, and near copies. Their texts are
-   fetched and go to reference blocks by anchor, and a kernel (factor parsing for words, an enhanced suffix array for
-   bytes) finds the spans. A block holds a bounded number of phrases. An anchor with more different phrases than
-   ``hot_variants`` does not fit in a block; its windows are instead compared by a pre-aggregating ``min`` over
-   128-bit window hashes, which is exact too and has no group in any one task.
+2. Equal phrases are one class: (anchor, phrase hash), 128 bits, with its first place and whether there are later ones.
+   Thousands of copies of a passage collapse into a class by a pre-aggregating ``min`` before any text moves.
+3. The text of each class is fetched once and goes to the reference block of its anchor. A kernel (factor parsing for
+   words, the interval tree of an enhanced suffix array for bytes) finds there what of the class repeats earlier text, for its first
+   place and for its copies, and nothing else makes a span. Hashes route; a block holds a bounded number of classes.
+4. What was found for a class holds for all its places, by an equi-join on the class.
+
+An anchor with more classes than ``hot_variants`` does not fit in a block. The texts of its classes are cut again,
+into single windows, which are classes of their own: 128-bit hashes with the first place of each by a pre-aggregating
+``min``. That is exact too and has no group in any one task. Joins on keys that may be hot are spread (``common.spread_join``).
 
 Positions are counted in symbols (words or bytes) from 0.
 """
@@ -27,15 +29,20 @@ from pyspark.sql import functions as F
 
 from . import anchors, common
 
-#: A span is packed as start * 2**18 + windows; a phrase has at most 2**17 windows.
+#: A phrase's span is packed as start * 2**18 + windows; a phrase has at most k - q + 1 windows.
 LOW = 18
-SPANS = "doc long, start long, length long"
+#: A repeat is packed as start * 2**31 + length.
+LONG = 31
+FOUND = "anchor long, phrase long, doc long, span long, n long, own array<long>, later array<long>"
+_PIECES = "anchor long, phrase long, doc long, span long, n long, again boolean, hot boolean, piece binary"
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What differs between words and bytes. ``split`` gives the units of a text and ``symbols`` their 64-bit
-    symbols; ``kernel`` takes a block's phrases and yields spans; ``across_docs``: only another document counts."""
+    """What differs between words and bytes. ``split`` gives the units of a text and ``symbols`` their 64-bit symbols;
+    ``kernel`` takes a block of classes (doc, span, again, piece) and gives for each the repeats (start, length) in its first
+    place and in its copies; ``across_docs``: only another document counts; ``keep_phrases``: all phrases are written
+    once, where they are few against the text, and not computed for each of their two uses."""
 
     k: int
     q: int
@@ -44,6 +51,7 @@ class Spec:
     cut: Callable
     kernel: Callable
     across_docs: bool
+    keep_phrases: bool
     block_rows: int
     hot_variants: int
 
@@ -81,34 +89,29 @@ def phrase_table(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def candidates(docs: DataFrame, spec: Spec) -> DataFrame:
-    """The phrases whose anchor stands at two places."""
+    """The phrases whose anchor stands at two places, as a written table."""
     rows = phrase_table(docs, spec)
-    if spec.across_docs:
-        met = rows.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b")
-    else:
-        met = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("a")).filter("a > 1")
-    return rows.join(met.select("anchor"), "anchor")
+    tables = []
+    if spec.keep_phrases:
+        rows = common.written(rows, "all-phrases")
+        tables.append(rows)
+    met = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"))
+    met = common.written(met.filter("a < b" if spec.across_docs else "n > 1").select("anchor", "n"), "met")
+    out = common.written(common.spread_join(rows, met, ["anchor"], "n").select("anchor", "phrase", "doc", "span"), "phrases")
+    common.discard(met, *tables)
+    return out
 
 
-def _windows_of(spec: Spec):
-    """(h1, h2, doc, start) of the windows of phrase texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, span, text in zip(batch["doc"].to_pylist(), batch["span"].to_pylist(), batch["piece"].to_pylist()):
-                symbols = spec.symbols(spec.split(text))
-                a, b = (anchors.window_hashes(symbols, spec.k, base) for base in (0, 1))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), doc)), pa.array((span >> LOW) + np.arange(len(a)))],
-                        names=["h1", "h2", "doc", "start"],
-                    )
-
-    return run
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc, text) without null ids, and rows repeated whole once: they are one document."""
+    docs = docs.filter(F.col("doc").isNotNull())
+    if docs.groupBy("doc").count().filter("count > 1").limit(1).count():
+        docs = docs.groupBy("doc", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text")).select("doc", "text")
+    return docs
 
 
 def _pieces_of(spec: Spec):
-    """(anchor, doc, span, hot, piece) of the phrases wanted of each document."""
+    """The texts of the classes wanted of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +123,10 @@ def _pieces_of(spec: Spec):
                 units = spec.split(text)
                 for x in wanted:
                     start, n = x["span"] >> LOW, x["span"] & ((1 << LOW) - 1)
+                    if start + n + spec.k - 1 > len(units):  # another row of this id
+                        continue
                     piece = spec.cut(units, start, start + n + spec.k - 1)
-                    rows.append((x["anchor"], doc, x["span"], x["hot"], piece))
+                    rows.append((x["anchor"], x["phrase"], doc, x["span"], x["n"], x["again"], x["hot"], piece))
                     size += len(piece)
                 if size > 4 << 20:
                     yield _pieces(rows)
@@ -133,88 +138,181 @@ def _pieces_of(spec: Spec):
 
 
 def _pieces(rows) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(x), type=t) for x, t in zip(zip(*rows), types)], names=["anchor", "doc", "span", "hot", "piece"])
+    types = (*[pa.int64()] * 5, *[pa.bool_()] * 2, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(x), type=t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _PIECES.split(", ")])
+
+
+def packed(spans: list[tuple[int, int]]) -> list[int]:
+    return [(int(a) << LONG) | int(n) for a, n in spans]
 
 
 def _block(spec: Spec):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(spec.kernel(spec, pdf), columns=["doc", "start", "length"])
+        # A class is here once, but for rows of one id with different texts.
+        pdf = pdf.sort_values(["doc", "span", "anchor", "phrase"], kind="stable").drop_duplicates(["anchor", "phrase"]).reset_index(drop=True)
+        found = spec.kernel(pdf, spec.k)
+        out = pdf.loc[list(found), ["anchor", "phrase", "doc", "span", "n"]].copy()
+        for i, name in enumerate(("own", "later")):
+            out[name] = pd.Series([packed(x[i]) for x in found.values()], index=out.index, dtype=object)
+        return out
 
     return run
 
 
-def staged(docs: DataFrame, spec: Spec, with_first: bool = False) -> tuple[DataFrame, DataFrame | None, dict[bool, int]]:
-    """(placed, pieces, sizes). ``placed`` is (anchor, phrase, doc, span, copy, own; if asked, first) of the phrases whose anchor stands
-    at two places; ``pieces`` the texts (anchor, doc, span, hot, piece) of those that differ under one anchor, None where there are
-    none; ``sizes`` the numbers of them that are hot and not."""
-    common.prepare(docs.sparkSession)
-    found = common.written(candidates(docs, spec), "phrases")
-    first = found.groupBy("anchor", "phrase").agg(F.min(F.struct("doc", "span")).alias("first"))
-    placed = found.join(first, ["anchor", "phrase"])
-    if spec.across_docs:
-        copy, own = F.col("doc") > F.col("first.doc"), F.col("doc") == F.col("first.doc")
-    else:
-        own = (F.col("doc") == F.col("first.doc")) & (F.col("span") == F.col("first.span"))
-        copy = ~own
-    placed = common.written(placed.select("anchor", "phrase", "doc", "span", copy.alias("copy"), own.alias("own"), *["first"] * with_first), "placed")
-    common.discard(found)
-    # Different phrases under one anchor: the only places where a repeat can begin or end.
-    kept = placed.filter("own")
-    several = kept.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).filter("a <> b")
-    edges = common.written(kept.join(several, "anchor").select("anchor", "doc", "span", (F.col("n") > spec.hot_variants).alias("hot")), "edges")
-    sizes = {r["hot"]: r["count"] for r in edges.groupBy("hot").count().collect()}
-    if not sizes:
-        return placed, None, sizes
-    wanted = edges.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("anchor", "span", "hot")).alias("wanted"))
-    fetched = (
-        docs.toDF("doc", "text").join(wanted.hint("shuffle_hash"), F.col("doc") == F.col("d")).select("doc", "text", "wanted")
-        .mapInArrow(_pieces_of(spec), "anchor long, doc long, span long, hot boolean, piece binary")
-    )
-    pieces = common.written(fetched, "pieces")
-    common.discard(edges)
-    return placed, pieces, sizes
+def sorted_suffixes(block: pd.DataFrame, k: int, split: Callable, symbols: Callable, unit: int) -> tuple[np.ndarray, ...]:
+    """The enhanced suffix array of a block of classes: (class, offset, copy, symbols left, prefix) in order of the suffixes.
+
+    Listed are suffixes whose first ``k`` symbols stand at two places of the block, and of a class with copies (``again``) the
+    whole phrase twice: its first place and, with ``copy`` 1, all others. Further suffixes of the copies would have the
+    same symbol before them as those of the first place, so they begin no group or factor of their own. ``prefix`` is the common
+    prefix with the suffix before, found by comparing the symbols themselves. ``unit``: bytes of a symbol in that comparison.
+    """
+    texts = [symbols(split(bytes(x))) for x in block["piece"]]
+    again = block["again"].to_numpy(dtype=bool) if "again" in block else np.zeros(len(texts), dtype=bool)
+    lengths = np.array([len(x) for x in texts], dtype=np.int64)
+    base = np.cumsum(lengths) - lengths
+    whole = np.concatenate(texts) if len(texts) else np.empty(0, np.uint64)
+    n = np.maximum(lengths - k + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    if not len(owner):
+        return owner, offset, offset, offset, offset
+    _, inverse, count = np.unique(anchors.window_hashes(whole, k, 0)[base[owner] + offset], return_inverse=True, return_counts=True)
+    first = again[owner] & (offset == 0)
+    listed = np.flatnonzero((count[inverse] > 1) | first)
+    copies = np.flatnonzero(first)
+    copy = np.concatenate((np.zeros(len(listed), dtype=np.int64), np.ones(len(copies), dtype=np.int64)))
+    listed = np.concatenate((listed, copies))
+    owner, offset = owner[listed], offset[listed]
+    left = lengths[owner] - offset
+    if not len(owner):
+        return owner, offset, copy, left, left
+    # Symbols as ranks within the block, so that a suffix is a short run of bytes.
+    ranks = (np.unique(whole, return_inverse=True)[1] + 1).astype(f">u{unit}") if unit > 1 else np.frombuffer(b"".join(map(bytes, block["piece"])), dtype=np.uint8)
+    wide = int(left.max()) * unit
+    buffer = np.concatenate((ranks.view(np.uint8), np.zeros(wide, dtype=np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(buffer, wide)[(base[owner] + offset) * unit]
+    rows[np.arange(wide) >= (left * unit)[:, None]] = 0
+    # Stable: equal suffixes stay in the order of their places.
+    order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
+    rows, owner, offset, copy, left = rows[order], owner[order], offset[order], copy[order], left[order]
+    prefix = np.zeros(len(rows), dtype=np.int64)
+    for a in range(1, len(rows), 1 << 15):
+        b = min(a + (1 << 15), len(rows))
+        differ = rows[a:b] != rows[a - 1 : b - 1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), wide) // unit
+        prefix[a:b] = np.minimum(same, np.minimum(left[a:b], left[a - 1 : b - 1]))
+    return owner, offset, copy, left, prefix
+
+
+def joined_spans(owner: np.ndarray, copy: np.ndarray, offset: np.ndarray, length: np.ndarray) -> dict[int, tuple[list, list]]:
+    """class -> (repeats of its first place, of its copies), each the maximal runs (start, length) of what is given."""
+    out: dict[int, tuple[list, list]] = {}
+    order = np.lexsort((offset, copy, owner))
+    for c, again, a, n in zip(*(x[order].tolist() for x in (owner, copy, offset, length))):
+        runs = out.setdefault(c, ([], []))[again]
+        if runs and a <= runs[-1][0] + runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], a + n - runs[-1][0]))
+        else:
+            runs.append((a, n))
+    return out
+
+
+def _windows_of(spec: Spec):
+    """(h1, h2, start, anchor, phrase, doc, span) of the windows of class texts; ``start`` counts in the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, phrase, doc, span, text in zip(*(batch[c].to_pylist() for c in ("anchor", "phrase", "doc", "span", "piece"))):
+                symbols = spec.symbols(spec.split(text))
+                a, b = (anchors.window_hashes(symbols, spec.k, base) for base in (0, 1))
+                if len(a):
+                    same = [pa.array(np.full(len(a), x)) for x in (anchor, phrase, doc, span)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((span >> LOW) + np.arange(len(a))), *same],
+                        names=["h1", "h2", "start", "anchor", "phrase", "doc", "span"],
+                    )
+
+    return run
+
+
+def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame:
+    some = pieces.filter("hot").select("anchor", "phrase", "doc", "span", "piece")
+    return some.mapInArrow(_windows_of(spec), "h1 long, h2 long, start long, anchor long, phrase long, doc long, span long")
 
 
 def blocked(pieces: DataFrame, spec: Spec, rows: int) -> DataFrame:
-    """The phrases that are not hot, by reference block: ``block`` follows from the anchor."""
+    """The classes that are not hot, by reference block: ``block`` follows from the anchor."""
     return pieces.filter("NOT hot").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(common.blocks_for(rows, spec.block_rows))))
 
 
-def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame:
-    return pieces.filter("hot").select("doc", "span", "piece").mapInArrow(_windows_of(spec), "h1 long, h2 long, doc long, start long")
+def class_table(found: DataFrame, spec: Spec) -> tuple[DataFrame, dict[bool, int]]:
+    """(written (anchor, phrase, doc, span, n, again, hot) of the classes that can hold a repeat, their numbers by ``hot``)."""
+    place = F.struct("doc", "span")
+    classes = found.groupBy("anchor", "phrase").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    again = F.col("last.doc") > F.col("first.doc") if spec.across_docs else F.col("last") > F.col("first")
+    classes = common.written(classes.select("anchor", "phrase", "first.doc", "first.span", "n", again.alias("again")), "classes")
+    several = common.written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")), "variants")
+    kept = common.spread_join(classes, several, ["anchor"], "variants").filter("again OR variants > 1")
+    kept = kept.select("anchor", "phrase", "doc", "span", "n", "again", (F.col("variants") > spec.hot_variants).alias("hot"))
+    kept = common.written(kept, "kept")
+    common.discard(classes, several)
+    return kept, {r["hot"]: r["count"] for r in kept.groupBy("hot").count().collect()}
+
+
+def fetched(docs: DataFrame, kept: DataFrame, spec: Spec) -> DataFrame:
+    """``kept`` with the text ``piece`` of each class, taken from its first place."""
+    wanted = kept.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("anchor", "phrase", "span", "n", "again", "hot")).alias("wanted"))
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc") == F.col("d")).select("doc", "text", "wanted")
+    return texts.mapInArrow(_pieces_of(spec), _PIECES)
+
+
+def _hot_found(pieces: DataFrame, spec: Spec) -> DataFrame:
+    """What repeats in the classes of crowded anchors: windows that stand earlier, and all of every copy."""
+    windows = common.written(hot_windows(pieces, spec), "windows")
+    lead = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("many"))
+    lead = common.written(lead.filter("many > 1"), "leads")
+    later = F.col("doc") > F.col("f.doc")
+    if not spec.across_docs:
+        later = later | ((F.col("doc") == F.col("f.doc")) & (F.col("start") > F.col("f.start")))
+    key = ["anchor", "phrase", "doc", "span"]
+    repeat = F.shiftleft(F.col("start") - F.shiftright("span", LOW), LONG).bitwiseOR(F.lit(spec.k).cast("long"))
+    own = common.spread_join(windows, lead, ["h1", "h2"], "many").filter(later).groupBy(*key).agg(F.collect_list(repeat).alias("own"))
+    whole = F.array(F.col("span").bitwiseAND((1 << LOW) - 1) + (spec.k - 1))
+    empty = F.array().cast("array<long>")
+    return pieces.filter("hot").drop("piece").join(own, key, "left").select(*key, "n", F.coalesce("own", empty).alias("own"), F.when(F.col("again"), whole).otherwise(empty).alias("later"))
 
 
 def spans(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc, start, length): the union of these spans is what repeats an earlier place. ``docs`` is (doc, text)."""
-    placed, pieces, sizes = staged(docs, spec)
-    out = placed.filter("copy").select(
-        "doc", F.shiftright("span", LOW).alias("start"), (F.col("span").bitwiseAND((1 << LOW) - 1) + (spec.k - 1)).alias("length")
-    )
-    if sizes.get(False):
-        out = out.unionByName(blocked(pieces, spec, sizes[False]).groupBy("block").applyInPandas(_block(spec), SPANS))
+    """A written table (d, spans): what in each document repeats earlier text, packed as start * 2**31 + length.
+    ``docs`` is (doc, text)."""
+    common.prepare(docs.sparkSession)
+    docs = one_row_each(docs.toDF("doc", "text"))
+    found = candidates(docs, spec)
+    kept, sizes = class_table(found, spec)
+    pieces = fetched(docs, kept, spec)
+    told = blocked(pieces, spec, sizes.get(False, 0)).groupBy("block").applyInPandas(_block(spec), FOUND)
     if sizes.get(True):
-        windows = hot_windows(pieces, spec)
-        lead = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f"))
-        later = F.col("doc") > F.col("f.doc")
-        if not spec.across_docs:
-            later = later | ((F.col("doc") == F.col("f.doc")) & (F.col("start") > F.col("f.start")))
-        out = out.unionByName(windows.join(lead, ["h1", "h2"]).filter(later).select("doc", "start", F.lit(spec.k).cast("long").alias("length")))
+        told = told.unionByName(_hot_found(pieces, spec))
+    told = common.written(told.withColumnsRenamed({"doc": "f_doc", "span": "f_span"}), "repeats")
+    common.discard(kept)
+    first = F.col("doc") == F.col("f_doc")
+    if not spec.across_docs:
+        first = first & (F.col("span") == F.col("f_span"))
+    at = F.shiftleft(F.shiftright("span", LOW), LONG)
+    some = common.spread_join(found, told, ["anchor", "phrase"], "n").select("doc", at.alias("at"), F.when(first, F.col("own")).otherwise(F.col("later")).alias("s"))
+    some = some.filter(F.size("s") > 0).select("doc", F.transform("s", lambda x: x + F.col("at")).alias("s"))
+    out = common.written(some.groupBy(F.col("doc").alias("d")).agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    common.discard(found, told)
     return out
 
 
-def per_document(found: DataFrame) -> DataFrame:
-    """(d, spans): the spans of each document, packed as start * 2**31 + length."""
-    packed = F.shiftleft("start", 31).bitwiseOR(F.col("length"))
-    return found.groupBy(F.col("doc").alias("d")).agg(F.collect_list(packed).alias("spans"))
-
-
 def merged(spans) -> list[tuple[int, int]]:
     """The maximal covered runs (start, end) of packed spans."""
     if spans is None or not len(spans):
         return []
     x = np.sort(np.asarray(spans, dtype=np.int64))
-    start, end = x >> 31, (x >> 31) + (x & ((1 << 31) - 1))
+    start, end = x >> LONG, (x >> LONG) + (x & ((1 << LONG) - 1))
     reach = np.maximum.accumulate(end)
     cut = np.flatnonzero(start[1:] > reach[:-1]) + 1
     return list(zip(start[np.concatenate(([0], cut))].tolist(), reach[np.append(cut - 1, len(x) - 1)].tolist()))

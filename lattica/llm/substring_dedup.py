@@ -1,11 +1,13 @@
 """Substring dedup over words by relative Lempel-Ziv parsing.
 
-Every document is parsed greedily into factors, each a copy of text in a document with a smaller id, against reference
-blocks that index the whole corpus. Blocks are routed by content: a document is parsed against exactly those blocks
-that hold a phrase with one of its anchors; any other block shares no 50 words with it. A factor of at least ``k`` words is
+Every document is parsed greedily into factors, each the longest copy of text in a document with a smaller id, against reference
+blocks that index the whole corpus. Blocks are routed by content: a phrase of a document is parsed against exactly the block
+that holds all phrases with its anchor; any other block shares none of its windows of 50 words. A block indexes its text by a
+sorted array of suffixes, in which the longest factor at any place is found by a stack. A factor of at least ``k`` words is
 a duplicate span. Where a factor ends, the windows that straddle its end are looked up one by one, as text that crosses the end
 may be copied from another source; a new factor starts at the first that is found. So the covered
-words are exactly those inside a window of ``k`` words that also starts in a document with a smaller id.
+words are exactly those inside a window of ``k`` words that also starts in a document with a smaller id. Equal phrases
+are parsed once, for all their places. Factors end with their phrase; a longer repeat is a chain of them, whose spans join.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import anchors, common, repeats
+from . import common, repeats
 
 K = 50
 RESULT = "struct<n_words:long,n_removed:long,n_spans:long,kept:string,kept_sha256:string>"
@@ -40,48 +42,69 @@ def cut_words(units: list[bytes], start: int, end: int) -> bytes:
     return b" ".join(units[start:end])
 
 
-def factors(block: pd.DataFrame, k: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """The long factors (doc, start, length, source doc, source start) of a block's phrases, each phrase parsed
-    against all others of smaller documents. ``block`` has doc, span, piece."""
-    block = block.sort_values(["doc", "span"], kind="stable")
-    docs = block["doc"].to_numpy()
-    starts = block["span"].to_numpy() >> repeats.LOW
-    texts = [word_symbols(words(bytes(x))) for x in block["piece"]]
-    hashes = [anchors.window_hashes(x, k, 1) for x in texts]
-    sizes = np.array([len(x) for x in hashes])
-    if not sizes.sum():
+def longest_earlier(key: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix in order the longest prefix that it shares with one of smaller key, and which that is (or -1).
+
+    The best on either side is the nearest of smaller key, as common prefixes only shrink with the distance; a stack finds it.
+    """
+    n = len(key)
+    keys, length, source = key.tolist(), [0] * n, [-1] * n
+    for rows, shared in ((range(n), prefix.tolist()), (range(n - 1, -1, -1), [*prefix[1:].tolist(), 0])):
+        stack: list[tuple[int, int]] = []
+        for r in rows:
+            own, same = keys[r], shared[r]
+            while stack and keys[stack[-1][0]] >= own:
+                same = min(same, stack.pop()[1])
+            if stack and same > length[r]:
+                length[r], source[r] = same, stack[-1][0]
+            stack.append((r, same))
+    return np.array(length, dtype=np.int64), np.array(source, dtype=np.int64)
+
+
+def parsed(block: pd.DataFrame, k: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """The factors of at least ``k`` words of a block's classes, in order of doc: (class, copy, start, length, source class,
+    source start). A class is parsed against all text of smaller documents, and its copies (``copy`` 1) once for all of them
+    against that and its first place. At each position that a factor may start the longest is taken."""
+    owner, offset, copy, _, prefix = repeats.sorted_suffixes(block, k, words, word_symbols, 4)
+    if not len(owner):
         return
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    # The index of the block: each window's first owner. Phrases are in order of doc, so np.unique's first is it.
-    _, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    source = first[inverse]
-    known = docs[owner[source]] < docs[owner]
-    at = 0
-    for i, size in enumerate(sizes):
-        hits = np.flatnonzero(known[at : at + size])
+    doc = np.unique(block["doc"].to_numpy(), return_inverse=True)[1][owner]
+    length, source = longest_earlier(2 * doc + copy, prefix)
+    hit = np.flatnonzero(length >= k)
+    hit = hit[np.lexsort((offset[hit], copy[hit], owner[hit]))]
+    group = 2 * owner[hit] + copy[hit]
+    edges = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(hit)])) if len(hit) else np.zeros(1, dtype=np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        at = offset[hit[a:b]]
         reached = 0
-        while reached < len(hits):
-            j = int(hits[reached])
-            s, o = int(owner[source[at + j]]), int(offset[source[at + j]])
-            a, b = texts[i][j:], texts[s][o:]
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            length = int(differ[0]) if len(differ) else m
-            if length >= k:
-                yield int(docs[i]), int(starts[i]) + j, length, int(docs[s]), int(starts[s]) + o
+        while reached < b - a:
+            row = int(hit[a + reached])
+            n, s = int(length[row]), int(source[row])
+            yield int(owner[row]), int(copy[row]), int(at[reached]), n, int(owner[s]), int(offset[s])
             # Windows wholly inside the factor are covered; the next to try is the first found across its end.
-            reached = int(np.searchsorted(hits, j + max(length - k + 1, 1)))
-        at += size
+            reached = int(np.searchsorted(at, at[reached] + max(n - k + 1, 1)))
+
+
+def factors(block: pd.DataFrame, k: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The long factors (doc, start, length, source doc, source start) of a block's classes (doc, span, piece)."""
+    block = block.sort_values(["doc", "span"], kind="stable").reset_index(drop=True)
+    docs, starts = block["doc"].to_numpy(), block["span"].to_numpy() >> repeats.LOW
+    for i, copy, at, length, s, from_ in parsed(block, k):
+        if not copy:
+            yield int(docs[i]), int(starts[i]) + at, length, int(docs[s]), int(starts[s]) + from_
 
 
-def _kernel(spec: repeats.Spec, block: pd.DataFrame):
-    return [x[:3] for x in factors(block, spec.k)]
+def _kernel(block: pd.DataFrame, k: int) -> dict[int, tuple[list, list]]:
+    found = list(parsed(block, k))
+    if not found:
+        return {}
+    owner, copy, at, length = (np.array(x, dtype=np.int64) for x in list(zip(*found))[:4])
+    return repeats.joined_spans(owner, copy, at, length)
 
 
-def spec(k: int = K, block_rows: int = 20_000, hot_variants: int = 20_000) -> repeats.Spec:
+def spec(k: int = K, block_rows: int = 6_000, hot_variants: int = 6_000) -> repeats.Spec:
     q = max(1, min(6, k // 4))
-    return repeats.Spec(k, q, words, word_symbols, cut_words, _kernel, True, block_rows, hot_variants)
+    return repeats.Spec(k, q, words, word_symbols, cut_words, _kernel, True, True, block_rows, hot_variants)
 
 
 def _keep(with_text: bool):
@@ -118,10 +141,10 @@ def rlz_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     rows that share an id with different texts are treated as one document too: both lose the spans of either.
     An empty table gives an empty one.
     """
-    found = repeats.spans(docs.select(F.col(id_col).cast("long"), F.col(text_col)), spec(k, **sizes))
-    own = repeats.per_document(found).toDF("__lt_id", "__lt_spans")
-    joined = docs.join(own.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__lt_id"), "left")
-    return joined.withColumn("dedup", _keep(with_text)(F.col(text_col), F.col("__lt_spans"))).drop("__lt_id", "__lt_spans")
+    key, spans = common.fresh(docs, "id", "spans")
+    own = repeats.spans(docs.select(F.col(id_col).cast("long"), F.col(text_col)), spec(k, **sizes)).toDF(key, spans)
+    joined = docs.join(own.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(key), "left")
+    return joined.withColumn("dedup", _keep(with_text)(F.col(text_col), F.col(spans))).drop(key, spans)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A block holds all suffixes whose first ``k`` bytes have an anchor of the block,
 ``k`` or more is whole within one block. The suffixes are sorted, their common prefixes with the neighbour above are
 scanned with a stack, and each interval closed by the scan is a right-maximal repeat with all its occurrences. An
 interval is left-maximal when the bytes to the left of its occurrences differ (or an occurrence stands first in its
-phrase, where the block cannot see to the left); those intervals are the maximal repeat groups. In each interval the earliest
-occurrence stays, and every other is a span of the interval's length.
+phrase, where the block cannot see to the left); those intervals are the maximal repeat groups. In each of them the earliest
+occurrence stays, and every other is a span of the group's length. Other intervals give no span: a longer group, further left, covers
+the same occurrences.
 """
 
 from __future__ import annotations
@@ -36,61 +37,36 @@ def cut_bytes(text: bytes, start: int, end: int) -> bytes:
     return text[start:end]
 
 
-def suffix_array(block: pd.DataFrame, k: int, with_span: bool = False):
-    """The sorted suffixes of a block's phrases that share ``k`` bytes with another: arrays (doc, start, bytes left
-    in the phrase, byte to the left or -1) in order, the common prefix of each with the one before it, and, if asked, their
-    phrases' spans."""
-    block = block.sort_values(["doc", "span"], kind="stable")
-    docs = block["doc"].to_numpy()
-    starts = block["span"].to_numpy() >> repeats.LOW
-    texts = [bytes(x) for x in block["piece"]]
-    lengths = np.array([len(x) for x in texts])
+def suffix_array(block: pd.DataFrame, k: int):
+    """The suffixes of a block's classes as ``repeats.sorted_suffixes`` has them: arrays (class, offset, copy, byte to the left or -1) in order, their
+    common prefixes, and the rank of their places in the corpus."""
+    owner, offset, copy, _, prefix = repeats.sorted_suffixes(block, k, no_split, byte_symbols, 1)
+    lengths = np.array([len(x) for x in block["piece"]], dtype=np.int64)
     base = np.cumsum(lengths) - lengths
-    n = np.maximum(lengths - k + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), n)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    buffer = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    hashes = anchors.window_hashes(anchors.BYTE_SYMBOLS[buffer], k, 0)[base[owner] + offset] if len(owner) else np.empty(0, np.uint64)
-    _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    again = np.flatnonzero(count[inverse] > 1)
-    owner, offset = owner[again], offset[again]
-    left = lengths[owner] - offset
-    if not len(owner):
-        return (docs[owner], offset, left, offset, offset, offset)[: 5 + with_span]
-    wide = int(left.max())
-    padded = np.concatenate((buffer, np.zeros(wide, dtype=np.uint8)))
-    rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[base[owner] + offset].copy()
-    rows[np.arange(wide) >= left[:, None]] = 0
-    # Stable: equal suffixes stay in the order of their places.
-    order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
-    rows, owner, offset, left = rows[order], owner[order], offset[order], left[order]
-    prefix = np.zeros(len(rows), dtype=np.int64)
-    for a in range(1, len(rows), 1 << 15):
-        b = min(a + (1 << 15), len(rows))
-        differ = rows[a:b] != rows[a - 1 : b - 1]
-        same = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
-        prefix[a:b] = np.minimum(same, np.minimum(left[a:b], left[a - 1 : b - 1]))
+    buffer = np.frombuffer(b"".join(map(bytes, block["piece"])) + b"\0", dtype=np.uint8)
     before = np.where(offset > 0, buffer[np.maximum(base[owner] + offset - 1, 0)].astype(np.int64), -1)
-    out = docs[owner], starts[owner] + offset, left, before, prefix
-    return (*out, block["span"].to_numpy()[owner]) if with_span else out
+    docs, starts = block["doc"].to_numpy()[owner], (block["span"].to_numpy() >> repeats.LOW)[owner] + offset
+    rank = np.empty(len(owner), dtype=np.int64)
+    rank[np.lexsort((copy, starts, docs))] = np.arange(len(owner))
+    return owner, offset, copy, before, prefix, rank
 
 
-def intervals(prefix: np.ndarray, docs: np.ndarray, starts: np.ndarray, before: np.ndarray, k: int):
+def intervals(prefix: np.ndarray, rank: np.ndarray, before: np.ndarray, k: int):
     """Yield each common-prefix interval of at least ``k``, children before parents: (first row, last row, length,
     earliest row, rows that were earliest in a child and are not here, left-maximal)."""
     stack: list[list] = []
     n = len(prefix)
+    prefixes, ranks, left = prefix.tolist(), rank.tolist(), before.tolist()
     for i in range(n + 1):
-        value = int(prefix[i]) if 0 < i < n else 0
+        value = prefixes[i] if 0 < i < n else 0
         # The row before i, as a child to be: (first row, earliest row, byte to the left or None when they differ)
         if i:
-            child = [i - 1, i - 1, int(before[i - 1]) if before[i - 1] >= 0 else None]
+            child = [i - 1, i - 1, left[i - 1] if left[i - 1] >= 0 else None]
             while stack and stack[-1][0] > value:
                 length, members = stack.pop()
                 members.append(child)
-                child = yield_from = _close(members, docs, starts)
-                yield child[0], i - 1, length, child[1], yield_from[3], child[2] is None
-                child = child[:3]
+                child, losers = _close(members, ranks)
+                yield child[0], i - 1, length, child[1], losers, child[2] is None
             if value >= k:
                 if stack and stack[-1][0] == value:
                     stack[-1][1].append(child)
@@ -98,38 +74,33 @@ def intervals(prefix: np.ndarray, docs: np.ndarray, starts: np.ndarray, before:
                     stack.append([value, [child]])
 
 
-def _close(members: list[list], docs: np.ndarray, starts: np.ndarray) -> list:
-    best = min((m[1] for m in members), key=lambda r: (docs[r], starts[r]))
+def _close(members: list[list], ranks: list[int]) -> tuple[list, list[int]]:
+    best = min((m[1] for m in members), key=ranks.__getitem__)
     bytes_left = {m[2] for m in members}
     one = bytes_left.pop() if len(bytes_left) == 1 else None
-    return [members[0][0], best, one, [m[1] for m in members if m[1] != best]]
+    return [members[0][0], best, one], [m[1] for m in members if m[1] != best]
 
 
-def _kernel(spec: repeats.Spec, block: pd.DataFrame):
-    docs, starts, _, before, prefix = suffix_array(block, spec.k)
-    length = np.zeros(len(docs), dtype=np.int64)
-    for _, _, common_prefix, best, losers, _ in intervals(prefix, docs, starts, before, spec.k):
-        for row in losers:
-            # An occurrence at the very place of the earliest (a repeated row) is the earliest itself.
-            if length[row] == 0 and (docs[row], starts[row]) != (docs[best], starts[best]):
+def _kernel(block: pd.DataFrame, k: int) -> dict[int, tuple[list, list]]:
+    """The spans of maximal repeat groups. A group that is not left-maximal gives none: the byte to the left is the same at
+    all its occurrences, so a longer group covers each of them."""
+    owner, offset, copy, before, prefix, rank = suffix_array(block, k)
+    length = np.zeros(len(owner), dtype=np.int64)
+    for _, _, common_prefix, _, losers, maximal in intervals(prefix, rank, before, k):
+        if maximal:
+            for row in losers:
                 length[row] = common_prefix
     lost = np.flatnonzero(length)
-    order = lost[np.lexsort((starts[lost], docs[lost]))]
-    d, s, e = docs[order], starts[order], starts[order] + length[order]
-    out = []
-    for i in range(len(order)):
-        if out and out[-1][0] == d[i] and s[i] <= out[-1][1] + out[-1][2]:
-            out[-1][2] = max(out[-1][2], int(e[i]) - out[-1][1])
-        else:
-            out.append([int(d[i]), int(s[i]), int(e[i] - s[i])])
-    return out
+    return repeats.joined_spans(owner[lost], copy[lost], offset[lost], length[lost])
 
 
 def repeat_groups(block: pd.DataFrame, k: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """The maximal repeat groups of a block (doc, span, piece): (length, all occurrences (doc, start), earliest first)."""
-    docs, starts, _, before, prefix = suffix_array(block, k)
+    block = block.sort_values(["doc", "span"], kind="stable").reset_index(drop=True)
+    owner, offset, _, before, prefix, rank = suffix_array(block, k)
+    docs, starts = block["doc"].to_numpy()[owner], (block["span"].to_numpy() >> repeats.LOW)[owner] + offset
     found = []
-    for a, b, length, _, _, maximal in intervals(prefix, docs, starts, before, k):
+    for a, b, length, _, _, maximal in intervals(prefix, rank, before, k):
         if maximal:
             found.append((length, sorted((int(docs[i]), int(starts[i])) for i in range(a, b + 1))))
     return found
@@ -140,10 +111,12 @@ def _tree(k: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
-        docs, starts, _, before, prefix, spans = suffix_array(pdf, k, with_span=True)
-        own = np.full(len(docs), -1, dtype=np.int64)
+        # Copies are joined afterwards, so a class stands for itself alone here.
+        pdf = pdf.sort_values(["doc", "span"], kind="stable").drop_duplicates(["anchor", "phrase"]).reset_index(drop=True).assign(again=False)
+        owner, offset, _, before, prefix, rank = suffix_array(pdf, k)
+        own = np.full(len(owner), -1, dtype=np.int64)
         length, maximal, parent, open_ = [], [], [], []
-        for a, b, n, _, _, left in intervals(prefix, docs, starts, before, k):
+        for a, b, n, _, _, left in intervals(prefix, rank, before, k):
             part = own[a : b + 1]
             part[part < 0] = len(length)
             while open_ and open_[-1][0] >= a:
@@ -161,7 +134,7 @@ def _tree(k: int):
         return pd.DataFrame(
             {
                 "group": name(g), "parent": name(np.array(parent, dtype=np.int64)[g]), "length": np.array(length, dtype=np.int64)[g], "maximal": np.array(maximal, dtype=bool)[g],
-                "doc": place(docs), "span": place(spans), "offset": place(starts - (spans >> repeats.LOW)),
+                "anchor": place(pdf["anchor"].to_numpy()[owner]), "phrase": place(pdf["phrase"].to_numpy()[owner]), "offset": place(offset),
             }
         )
 
@@ -177,29 +150,32 @@ def repeat_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several places as wholes are one group each (no parent). Of anchors with too many phrases for a block, the groups are those of ``k`` bytes.
     See ``suffix_dedup`` for nulls, repeated rows and empty input.
     """
+    common.prepare(docs.sparkSession)
     own = spec(k, **sizes)
-    placed, pieces, n = repeats.staged(docs.select(F.col(id_col).cast("long"), F.col(text_col)), own, with_first=True)
-    places = placed.select(F.col("first.doc").alias("f_doc"), F.col("first.span").alias("f_span"), "anchor", "phrase", "doc", "span")
+    rows = repeats.one_row_each(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")))
+    found = repeats.candidates(rows, own)
+    kept, n = repeats.class_table(found, own)
+    places = common.spread_join(found, kept.select("anchor", "phrase", "n", "again"), ["anchor", "phrase"], "n")
     start = F.shiftright("span", repeats.LOW)
-    alone = placed.groupBy("anchor", "phrase").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "phrase")
     group = F.concat_ws(":", F.hex("anchor"), F.hex("phrase"))
-    out = places.join(alone, ["anchor", "phrase"]).select(
+    out = places.filter("again").select(
         group.alias("group"), F.lit(None).cast("string").alias("parent"), (F.col("span").bitwiseAND((1 << repeats.LOW) - 1) + (k - 1)).alias("length"), F.lit(True).alias("maximal"),
         F.col("doc").alias("doc_id"), start.alias("start"),
     )
+    pieces = repeats.fetched(rows, kept, own)
     if n.get(False):
-        tree = repeats.blocked(pieces, own, n[False]).groupBy("block").applyInPandas(_tree(k), "group long, parent long, length long, maximal boolean, doc long, span long, offset long")
-        # Each first phrase stands for its copies, which hold the same occurrence at the same offset.
-        tree = tree.toDF("group", "parent", "length", "maximal", "f_doc", "f_span", "offset").join(places, ["f_doc", "f_span"], "left")
+        tree = repeats.blocked(pieces, own, n[False]).groupBy("block").applyInPandas(_tree(k), "group long, parent long, length long, maximal boolean, anchor long, phrase long, offset long")
+        # Each class stands for its copies, which hold the same occurrence at the same offset.
+        tree = tree.join(places.select("anchor", "phrase", "doc", "span"), ["anchor", "phrase"], "left")
         out = out.unionByName(
             tree.select(
                 F.col("group").cast("string").alias("group"), F.when(F.col("parent") >= 0, F.col("parent").cast("string")).alias("parent"), "length", "maximal", F.col("doc").alias("doc_id"), (start + F.col("offset")).alias("start"),
             )
         )
     if n.get(True):
-        windows = repeats.hot_windows(pieces, own)
-        again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-        hot = windows.join(again, ["h1", "h2"])
+        windows = common.written(repeats.hot_windows(pieces, own), "windows")
+        again = common.written(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "again")
+        hot = common.spread_join(windows, again, ["h1", "h2"], "many")
         out = out.unionByName(
             hot.select(F.concat_ws(":", F.hex("h1"), F.hex("h2"), F.lit("w")).alias("group"), F.lit(None).cast("string").alias("parent"), F.lit(k).cast("long").alias("length"), F.lit(True).alias("maximal"), F.col("doc").alias("doc_id"), "start")
         )
@@ -208,7 +184,7 @@ def repeat_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def spec(k: int = K, block_rows: int = 8_000, hot_variants: int = 8_000) -> repeats.Spec:
     q = max(1, min(24, k // 4))
-    return repeats.Spec(k, q, no_split, byte_symbols, cut_bytes, _kernel, False, block_rows, hot_variants)
+    return repeats.Spec(k, q, no_split, byte_symbols, cut_bytes, _kernel, False, False, block_rows, hot_variants)
 
 
 def _keep(with_text: bool):
@@ -242,10 +218,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated whole are one document, so they do not remove each other; rows that share an id with different texts are
     one document too: both lose the spans of either. An empty table gives an empty one.
     """
-    found = repeats.spans(docs.select(F.col(id_col).cast("long"), F.col(text_col)), spec(k, **sizes))
-    own = repeats.per_document(found).toDF("__lt_id", "__lt_spans")
-    joined = docs.join(own.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__lt_id"), "left")
-    return joined.withColumn("dedup", _keep(with_text)(F.col(text_col), F.col("__lt_spans"))).drop("__lt_id", "__lt_spans")
+    key, spans = common.fresh(docs, "id", "spans")
+    own = repeats.spans(docs.select(F.col(id_col).cast("long"), F.col(text_col)), spec(k, **sizes)).toDF(key, spans)
+    joined = docs.join(own.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(key), "left")
+    return joined.withColumn("dedup", _keep(with_text)(F.col(text_col), F.col(spans))).drop(key, spans)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
