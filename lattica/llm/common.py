@@ -57,6 +57,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def path_of(table: DataFrame) -> str:
+    """Where ``written`` wrote a table."""
+    return table._lattica_path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``written`` wrote, once no plan reads it any more."""
     for table in tables:
@@ -105,23 +110,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 HOT_ROWS, MOST_HOT = 20_000, 20_000
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``rows`` with the columns of ``facts``, a written table of one row a key whose column ``size`` is how many rows have that key.
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` on ``keys``, where some keys may have any share of all rows.
 
-    The rows of a hot key go to several tasks, and the facts of that key to each. Sizes add up to all rows, so fewer
+    ``sizes``, a written table of one row a key, has in its column ``size`` how many rows have that key; it is ``facts`` itself where that has one row a key. The rows
+    of a hot key go to several tasks, and the facts of that key to each. Sizes add up to all rows, so fewer
     than ``MOST_HOT`` keys exceed that share of them: that bounds what is broadcast, whatever the data. Key columns are not null.
     """
-    total = facts.agg(F.sum(size)).first()[0] or 0
-    limit = max(hot_rows, total // MOST_HOT)
-    crowded = facts.filter(F.col(size) > limit)
+    own = facts if sizes is None else sizes
+    total = own.agg(F.sum(size)).first()[0] or 0
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    crowded = own.filter(F.col(size) > limit)
     if not crowded.limit(1).count():
-        return rows.join(facts, keys)
-    crowded = F.broadcast(crowded.select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("__tasks")))
+        return rows.join(facts, keys, how)
+    tasks, task = fresh(rows.join(facts, keys), "tasks", "task")
+    crowded = F.broadcast(crowded.select(*keys, F.ceil(F.col(size) / limit).cast("int").alias(tasks)))
     rest = [c for c in rows.columns if c not in keys]
-    spread = rows.join(crowded, keys, "left").withColumn("__task", F.when(F.col("__tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("__tasks"))).cast("int"))
-    tasks = F.greatest(F.lit(1), F.ceil(F.col(size) / limit).cast("int"))
-    many = facts.withColumn("__task", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > limit, tasks - 1).otherwise(0))))
-    return spread.join(many, [*keys, "__task"]).drop("__task", "__tasks")
+    number = F.when(F.col(tasks).isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col(tasks))).cast("int")
+    spread = rows.join(crowded, keys, "left").withColumn(task, number)
+    many = facts.join(crowded, keys, "left").withColumn(task, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(tasks), F.lit(1)) - 1))).drop(tasks)
+    return spread.join(many, [*keys, task], how).drop(tasks, task)
 
 
 def blocks_for(rows: int, each: int, least: int = 1) -> int:

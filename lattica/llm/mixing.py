@@ -1,12 +1,18 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Within a source, documents stand in a permuted order (by a seeded hash) and their words are one line, cut into blocks
-of ``block_words``. The target of a source is a number of words, so its quota of blocks is exact: whole passes over
-the line, then its first blocks, the last one in part. A tree over the output shards splits the quotas: at
-each node the left half draws its blocks by a multivariate hypergeometric law from the blocks of the node, without
-replacement, until each leaf has its own quotas. A shard then takes its run of each source's permuted blocks,
-disjoint from all others, and is shuffled locally; a document follows the block that it begins in. No group is sorted or summed in one task: places in a line come from
-sums over hash ranges, whose table is bounded by rows / ``range_rows`` + sources.
+of ``block_words``; a document belongs to the block that it begins in. The target of a source is a number of words: whole passes over
+the line, and a last pass that takes part of it. So of its blocks some are passed over whole times, a quota is to be drawn once more, and
+the others are a reserve.
+
+A tree over the output shards splits these numbers of all sources: at each node the left half draws as many blocks as its share
+of the shards, by a multivariate hypergeometric law from the blocks of the node, without replacement, until each leaf has its own.
+A shard takes its run of each source's permuted blocks, disjoint from all others, and of that run it draws as many as it has of the quota;
+what it takes is shuffled locally. Blocks hold different numbers of words, so what all shards drew of a source is laid end to end in the order
+of shards, the reserve behind it, and the words up to the target are taken; one document a source may be cut.
+
+No group is sorted or summed in one task: places in a line come from sums over hash ranges and then over shards. What is at the driver are sources x shards numbers,
+at most ``MOST_NUMBERS``.
 """
 
 from __future__ import annotations
@@ -25,8 +31,9 @@ from . import common
 SEED = 7
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Words of a block, and of an output shard.
-BLOCK_WORDS, SHARD_WORDS = 1024, 1 << 24
+#: Words of a block and of an output shard, at least. Both grow with the corpus, so that the numbers at the driver stay bounded.
+BLOCK_WORDS, SHARD_WORDS = 1024, 1 << 16
+MOST_SHARDS, MOST_NUMBERS, MOST_BLOCKS = 4096, 400_000, 200_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -95,16 +102,57 @@ def placed(docs: DataFrame, range_rows: int = 100_000, seed: int = SEED) -> Data
     )
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, range_rows: int = 100_000) -> DataFrame:
-    """(doc_id, tie, size, source, copies, copy, source_size, target, want, at, whole, part, taken) of every row of ``docs``.
+def _collected(facts: DataFrame) -> list:
+    """The sources at the driver, in order, after a check that they are no more than the tree can hold."""
+    rows = facts.orderBy(F.col("source").asc_nulls_last()).limit(MOST_NUMBERS // 3 + 1).collect()
+    if len(rows) * 3 > MOST_NUMBERS:
+        raise ValueError(f"more than {MOST_NUMBERS // 3} sources")
+    return rows
 
-    ``taken`` = size * whole passes + the words of the part taken in the last pass. ``tie`` tells apart rows of one id, and ``copy``, 0
-    to ``copies`` - 1, rows repeated in id, text and source.
-    Null text: size 0. Null source: one source, last in order. Null or repeated ids are rows of their own; rows
-    repeated whole follow each other, so each has its own words. Sources
-    without words have target 0. An empty table gives an empty one. Reruns agree.
-    """
-    common.prepare(docs.sparkSession)
+
+def tree(spark, facts: DataFrame, block_words: int, shard_words: int, seed: int) -> tuple[DataFrame, int]:
+    """(runs, block size) of ``facts`` (source, source_size, want). ``runs`` is (s, again, per, chunk, first, last, drawn, shard): a shard's run of blocks first..last - 1
+    of source ``s``, of whole passes (``again``) or of the last one, of which it draws the first ``drawn``. It is listed under every chunk of
+    ``per`` blocks that it reaches, so that blocks find their run by an equi-join."""
+    rows = _collected(facts)
+    sizes, wants = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("source_size", "want"))
+    total = int(wants.sum())
+    block = max(block_words, -(-total // MOST_BLOCKS))
+    blocks = -(-sizes // block)
+    whole = wants // np.maximum(sizes, 1)
+    rest = wants - whole * sizes
+    # In integers without bound, as words times blocks may exceed 64 bits.
+    quota = np.array([min(int(b), -(-int(r) * int(b) // max(1, int(n)))) for b, r, n in zip(blocks, rest, sizes)], dtype=np.int64)
+    # Of every source the blocks of whole passes, those to be drawn, and the reserve.
+    numbers = np.concatenate((whole * blocks, quota, blocks - quota))
+    shards = int(max(1, min(MOST_SHARDS, MOST_NUMBERS // max(1, len(numbers)), total // shard_words)))
+    split = split_quotas(numbers, shards, seed).reshape(shards, 3, len(rows))
+    out = []
+    for again, run, drawn in ((True, split[:, 0], split[:, 0]), (False, split[:, 1] + split[:, 2], split[:, 1])):
+        ends = np.cumsum(run, axis=0)
+        for i, r in enumerate(rows):
+            per = max(1, -(-int(ends[-1, i]) // shards))
+            for shard in np.flatnonzero(run[:, i]).tolist():
+                first, last = int(ends[shard, i] - run[shard, i]), int(ends[shard, i])
+                out += [(r["source"], again, per, c, first, last, int(drawn[shard, i]), shard) for c in range(first // per, (last - 1) // per + 1)]
+    return spark.createDataFrame(out, "s string, again boolean, per long, chunk long, first long, last long, drawn long, shard int"), block
+
+
+def _in_run(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``rows`` (source, block, ...) with the ``shard`` in whose run the block is, and ``reserve``: it is not drawn there."""
+    per = runs.select(F.col("s").alias("ps"), F.col("per").alias("own_per")).distinct()
+    keyed = rows.join(per, F.col("source").eqNullSafe(F.col("ps"))).withColumn("c", F.expr("block div own_per"))
+    met = keyed.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("c") == F.col("chunk"))).filter("first <= block AND block < last")
+    return met.select(*rows.columns, "shard", (F.col("block") >= F.col("first") + F.col("drawn")).alias("reserve"))
+
+
+LINE = ["doc_id", "tie", "size", "source", "copies", "copy", "source_size", "target", "want", "at", "whole"]
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, range_rows: int, block_words: int, shard_words: int, tree_seed: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(written rows of ``mix_plan`` with ``shard``, that draws the last pass; runs; block size)."""
+    spark = docs.sparkSession
+    common.prepare(spark)
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")
     )
@@ -112,95 +160,104 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sized = common.written(sized.groupBy("doc_id", "tie", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "sizes")
     facts = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")))
     want = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
-    facts = facts.withColumn("want", want).toDF("s", "source_size", "target", "want")
+    facts = common.written(facts.withColumn("want", want), "sources")
+    runs, block = tree(spark, facts, block_words, shard_words, seed if tree_seed is None else tree_seed)
     line = placed(sized, range_rows, seed).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    line = line.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).join(facts, F.col("source").eqNullSafe(F.col("s")))
+    line = line.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).join(facts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     whole = F.when(F.col("source_size") > 0, F.expr("want div source_size")).otherwise(F.lit(0))
+    line = line.withColumn("whole", whole).select(*LINE)
+    last = common.written(_in_run(line.filter("size > 0").withColumn("block", F.expr(f"at div {block}")), runs.filter("NOT again")), "line")
+    # Words before a row in the order of the draw: those of earlier shards, then those before it in its own shard.
+    group = ["source", "reserve", "shard"]
+    before = Window.partitionBy("source").orderBy("reserve", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.groupBy(*group).agg(F.sum("size").alias("there"))
+    starts = starts.select(F.col("source").alias("a"), F.col("reserve").alias("b"), F.col("shard").alias("c"), F.coalesce(F.sum("there").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*group).orderBy("at", "doc_id", "tie", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    laid = last.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    laid = laid.join(starts, F.col("source").eqNullSafe(F.col("a")) & (F.col("reserve") == F.col("b")) & (F.col("shard") == F.col("c")))
     rest = F.col("want") - F.col("whole") * F.col("source_size")
-    part = F.least(F.greatest(rest - F.col("at"), F.lit(0)), F.col("size"))
-    out = line.withColumn("whole", whole).withColumn("part", part)
-    return out.withColumn("taken", F.col("size") * F.col("whole") + F.col("part")).drop("s")
+    laid = laid.withColumn("part", F.least(F.greatest(rest - F.col("start") - F.col("local"), F.lit(0)), F.col("size"))).select(*LINE, "part", "shard")
+    none = line.filter("size = 0").select(*LINE, F.lit(0).cast("long").alias("part"), F.lit(None).cast("int").alias("shard"))
+    plan = common.written(laid.unionByName(none).withColumn("taken", F.col("size") * F.col("whole") + F.col("part")), "plan")
+    common.discard(sized, facts, last)
+    return plan, runs, block
 
 
-def shard_runs(spark, facts: list, block_words: int, shard_words: int, seed: int) -> tuple[DataFrame, int]:
-    """(s, per, chunk, first, last, shard): which blocks first..last of source ``s`` a shard draws, listed under every
-    chunk of ``per`` blocks that they reach, so that blocks find their shard by an equi-join; and the block size."""
-    wants = np.array([r["want"] for r in facts], dtype=np.int64)
-    total = int(wants.sum())
-    # numpy's law takes fewer than 10**9 blocks in all; blocks grow with the corpus beyond that.
-    block = max(block_words, -(-total // 500_000_000))
-    blocks = -(-wants // block)
-    shards = max(1, -(-total // shard_words))
-    ends = np.cumsum(split_quotas(blocks, shards, seed), axis=0)
-    rows = []
-    for i, r in enumerate(facts):
-        per = max(1, -(-int(blocks[i]) // shards))
-        first = 0
-        for shard, last in enumerate(ends[:, i].tolist()):
-            if last > first:
-                rows += [(r["source"], per, c, first, last, shard) for c in range(first // per, (last - 1) // per + 1)]
-            first = last
-    return spark.createDataFrame(rows, "s string, per long, chunk long, first long, last long, shard int"), block
-
-
-def draws(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """The rows of ``plan`` (a written ``mix_plan``) once for every pass that takes words of them, with ``pass``, ``words`` and the
-    ``shard`` that draws the block they begin in."""
-    facts = plan.groupBy("source").agg(F.first("want").alias("want")).orderBy(F.col("source").asc_nulls_last()).collect()
-    runs, block = shard_runs(plan.sparkSession, facts, block_words, shard_words, seed)
-    passes = plan.filter("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
-    passes = passes.withColumn("words", F.when(F.col("pass") < F.col("whole"), F.col("size")).otherwise(F.col("part"))).filter("words > 0")
-    passes = passes.withColumn("block", F.expr(f"(pass * source_size + at) div {block}"))
-    per = runs.select(F.col("s").alias("ps"), "per").distinct()
-    passes = passes.join(per, F.col("source").eqNullSafe(F.col("ps"))).withColumn("c", F.expr("block div per"))
-    drawn = passes.join(runs.drop("per"), F.col("source").eqNullSafe(F.col("s")) & (F.col("c") == F.col("chunk"))).filter("first <= block AND block < last")
-    return drawn.drop("ps", "per", "c", "s", "chunk", "first", "last")
-
-
-def _numbered(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """The rows of ``docs`` with an id, text and source in ``repeated`` (doc_id, tie, source), with ``__lt_own``: 0, 1 and so on among those that
+def mix_plan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, range_rows: int = 100_000,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, tree_seed: int | None = None,
+) -> DataFrame:
+    """(doc_id, tie, size, source, copies, copy, source_size, target, want, at, whole, part, taken) of every row of ``docs``.
+
+    ``taken`` = size * whole passes + the words of the part taken in the last pass. ``tie`` tells apart rows of one id, and ``copy``, 0
+    to ``copies`` - 1, rows repeated in id, text and source. ``tree_seed`` (else ``seed``) is the seed of the tree's draws alone.
+    Null text: size 0. Null source: one source, last in order. Null or repeated ids are rows of their own; rows
+    repeated whole follow each other, so each has its own words. Sources
+    without words have target 0. An empty table gives an empty one. Reruns agree.
+    """
+    return _plan(docs, id_col, text_col, source_col, seed, range_rows, block_words, shard_words, tree_seed)[0].drop("shard")
+
+
+def draws(plan: DataFrame, runs: DataFrame, block: int) -> DataFrame:
+    """The rows of a plan once for every pass that takes words of them, with ``pass``, ``words`` and the ``shard`` that draws them."""
+    facts = [*LINE, "taken"]
+    last = plan.filter("part > 0").select(*facts, F.col("whole").alias("pass"), F.col("part").alias("words"), "shard")
+    again = plan.filter("whole > 0 AND size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
+    # Blocks of whole passes are numbered one pass after the other.
+    again = again.drop("shard").withColumn("block", F.expr(f"pass * ((source_size + {block - 1}) div {block}) + at div {block}"))
+    again = _in_run(again, runs.filter("again")).select(*facts, "pass", F.col("size").alias("words"), "shard")
+    return last.unionByName(again)
+
+
+def _numbered(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, source_col: str, own: str) -> DataFrame:
+    """The rows of ``docs`` with an id, text and source in ``repeated`` (doc_id, tie, source), with ``own``: 0, 1 and so on among those that
     share them. Rows are numbered within their input partition, from counts of the partitions before, so no task holds all copies of a row."""
-    keys = repeated.toDF("__lt_k_id", "__lt_k_tie", "__lt_k_source")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__lt_k_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("__lt_k_tie"))
-    on = on & F.col(source_col).cast("string").eqNullSafe(F.col("__lt_k_source"))
-    found = docs.withColumn("__lt_at", F.monotonically_increasing_id()).join(keys, on)
+    k_id, k_tie, k_source, at, part, s_id, s_tie, s_source, s_part, start, place = common.fresh(docs, *"k_id k_tie k_source at part s_id s_tie s_source s_part start place".split())
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(k_id)) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col(k_tie))
+    on = on & F.col(source_col).cast("string").eqNullSafe(F.col(k_source))
+    found = docs.withColumn(at, F.monotonically_increasing_id()).join(repeated.toDF(k_id, k_tie, k_source), on)
     # Written, as a number holds for one evaluation only. Its upper bits are the partition.
-    found = common.written(found.withColumn("__lt_from", F.shiftright("__lt_at", 33)), "repeated")
-    key = ["__lt_k_id", "__lt_k_tie", "__lt_k_source"]
-    before = Window.partitionBy(*key).orderBy("__lt_from").rowsBetween(Window.unboundedPreceding, -1)
-    starts = found.groupBy(*key, "__lt_from").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select(F.col("__lt_k_id").alias("a"), F.col("__lt_k_tie").alias("b"), F.col("__lt_k_source").alias("c"), F.col("__lt_from").alias("d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    starts = starts.toDF(*[f"__lt_s_{x}" for x in starts.columns])
-    same = F.col("__lt_k_id").eqNullSafe(F.col("__lt_s_a")) & F.col("__lt_k_tie").eqNullSafe(F.col("__lt_s_b")) & F.col("__lt_k_source").eqNullSafe(F.col("__lt_s_c"))
-    local = found.withColumn("__lt_place", F.row_number().over(Window.partitionBy(*key, "__lt_from").orderBy("__lt_at")) - 1)
-    joined = local.join(starts, same & (F.col("__lt_from") == F.col("__lt_s_d")))
-    return joined.select(*docs.columns, (F.col("__lt_s_start") + F.col("__lt_place")).alias("__lt_own"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    found = common.written(found.withColumn(part, F.shiftright(at, 33)), "repeated")
+    key = [k_id, k_tie, k_source]
+    before = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = found.groupBy(*key, part).agg(F.count(F.lit(1)).alias(start))
+    starts = starts.select(*key, part, F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start)).toDF(s_id, s_tie, s_source, s_part, start)
+    same = F.col(k_id).eqNullSafe(F.col(s_id)) & F.col(k_tie).eqNullSafe(F.col(s_tie)) & F.col(k_source).eqNullSafe(F.col(s_source))
+    local = found.withColumn(place, F.row_number().over(Window.partitionBy(*key, part).orderBy(at)) - 1)
+    joined = local.join(starts, same & (F.col(part) == F.col(s_part)))
+    return joined.select(*docs.columns, (F.col(start) + F.col(place)).alias(own))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
+    tree_seed: int | None = None,
+) -> DataFrame:
     """The mixed rows: ``docs`` with each row once for every pass that takes words of it, and the columns
-    ``mix_shard`` and ``mix_order`` (the local shuffle of a shard). A last, partial pass that ends inside a document
+    ``mix_shard`` and ``mix_order`` (the local shuffle of a shard), which replace columns of these names. A last, partial pass that ends inside a document
     takes its first words, as they stand. Other columns pass unchanged. A document goes to the shard that draws the
     block it begins in. Rows repeated in id, text and source each have their own words, as in the plan; which of them is which
     copy is arbitrary. See ``mix_plan`` for nulls, ties and empty
     input; documents without words have no row."""
-    plan = common.written(mix_plan(docs, id_col, text_col, source_col, seed), "plan")
-    drawn = draws(plan, block_words, shard_words, seed)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_shard", "mix_order")])
+    plan, runs, block = _plan(docs, id_col, text_col, source_col, seed, 100_000, block_words, shard_words, tree_seed)
+    d_id, d_tie, d_source, d_copies, d_copy, d_pass, d_row, number = common.fresh(docs, *"id tie source copies copy pass row number".split())
+    drawn = draws(plan, runs, block)
     own = drawn.select(
-        F.col("doc_id").alias("__lt_id"), F.col("tie").alias("__lt_tie"), F.col("source").alias("__lt_source"), F.col("copies").alias("__lt_copies"), F.col("copy").alias("__lt_copy"),
-        F.col("pass").alias("__lt_pass"), F.struct("shard", "words", "size").alias("__lt_row"),
-    )
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__lt_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("__lt_tie"))
-    on = on & F.col(source_col).cast("string").eqNullSafe(F.col("__lt_source"))
-    rows = docs.join(own.filter("__lt_copies = 1"), on)
-    repeated = plan.filter("copies > 1 AND copy = 0 AND taken > 0").select("doc_id", "tie", "source")
+        F.col("doc_id").alias(d_id), F.col("tie").alias(d_tie), F.col("source").alias(d_source), F.col("copies").alias(d_copies), F.col("copy").alias(d_copy),
+        F.col("pass").alias(d_pass), F.struct("shard", "words", "size").alias(d_row),
+    )
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(d_id)) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col(d_tie))
+    on = on & F.col(source_col).cast("string").eqNullSafe(F.col(d_source))
+    rows = docs.join(own.filter(F.col(d_copies) == 1), on)
+    repeated = plan.filter("copies > 1 AND copy = 0 AND size > 0").select("doc_id", "tie", "source")
     if repeated.limit(1).count():
-        numbered = _numbered(docs, repeated, id_col, text_col, source_col)
-        many = numbered.join(own.filter("__lt_copies > 1"), on & (F.col("__lt_own") == F.col("__lt_copy"))).drop("__lt_own")
+        numbered = _numbered(docs, repeated, id_col, text_col, source_col, number)
+        many = numbered.join(own.filter(F.col(d_copies) > 1), on & (F.col(number) == F.col(d_copy))).drop(number)
         rows = rows.unionByName(many)
-    law = F.xxhash64(F.lit(seed), "__lt_pass", "__lt_id", "__lt_tie")
-    rows = rows.withColumn(text_col, _piece(F.col(text_col), F.when(F.col("__lt_row.words") < F.col("__lt_row.size"), F.col("__lt_row.words"))))
-    return rows.withColumns({"mix_shard": F.col("__lt_row.shard"), "mix_order": law}).drop("__lt_id", "__lt_tie", "__lt_source", "__lt_copies", "__lt_copy", "__lt_pass", "__lt_row")
+    law = F.xxhash64(F.lit(seed), d_pass, d_id, d_tie)
+    row = F.col(d_row)
+    rows = rows.withColumn(text_col, _piece(F.col(text_col), F.when(row["words"] < row["size"], row["words"])))
+    return rows.select(*docs.columns, row["shard"].alias("mix_shard"), law.alias("mix_order"))
 
 
 @F.arrow_udf(T.StringType())
@@ -218,8 +275,8 @@ def _piece(text: pa.Array, words: pa.Array) -> pa.Array:
 def query(spark, sf_dir: str) -> DataFrame:
     """What the shards draw of every document, summed; documents that none draws take nothing."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    plan = common.written(mix_plan(docs), "plan")
+    plan, runs, block = _plan(docs, "doc_id", "text", "source", SEED, 100_000, BLOCK_WORDS, SHARD_WORDS, None)
     facts = ["size", "source_size", "target"]
-    drawn = draws(plan).groupBy("doc_id", "tie", "source", "at").agg(*[F.first(c).alias(c) for c in facts], F.sum("words").alias("taken"), F.countDistinct("shard").alias("n_shards"))
+    drawn = draws(plan, runs, block).groupBy("doc_id", "tie", "source", "at").agg(*[F.first(c).alias(c) for c in facts], F.sum("words").alias("taken"), F.countDistinct("shard").alias("n_shards"))
     none = plan.filter("taken = 0").select("doc_id", *facts, "taken", F.lit(0).cast("long").alias("n_shards"))
     return drawn.select("doc_id", *facts, "taken", "n_shards").unionByName(none)

@@ -27,8 +27,10 @@ from . import common
 CAPACITY = 2048
 TAIL = 64
 END_ID = 1
-#: Documents of one worker; the number of workers follows the number of documents.
-WORKER_DOCS = 500_000
+#: Documents of one worker, and pieces: the number of workers follows whichever asks for more.
+WORKER_DOCS, WORKER_PIECES = 500_000, 3
+#: Numbers of pieces by worker and class are broadcast up to so many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 50_000
 CLASS_BITS, BIN_BITS = 12, 31
 
 
@@ -151,12 +153,13 @@ def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Rows repeated whole collapse and are numbered, so that they too spread over the workers.
     rows = rows.groupBy("doc_id", "start", "length", "class", "ids_crc32", "doc_tokens").count()
     rows = common.written(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count"), "pieces")
-    # One piece of each document starts it, so this counts documents.
-    workers = common.blocks_for(rows.filter("start = 0").count(), worker_docs)
+    # One piece of each document starts it. Few long documents have many pieces.
+    facts = rows.agg(F.count(F.when(F.col("start") == 0, 1)).alias("docs"), F.count(F.lit(1)).alias("pieces")).first()
+    workers = max(common.blocks_for(facts["docs"], worker_docs), common.blocks_for(facts["pieces"], WORKER_PIECES * worker_docs))
     rows = rows.withColumn("worker", F.pmod(F.xxhash64("doc_id", "ids_crc32", "copy"), F.lit(workers)))
     order = Window.partitionBy("worker", "class").orderBy("doc_id", "start", "ids_crc32", "copy")
     counted = rows.groupBy("worker", "class").agg(F.count(F.lit(1)).alias("there"))
-    placed = rows.withColumn("rn", F.row_number().over(order) - 1).join(F.broadcast(counted) if workers * tail < 50_000 else counted, ["worker", "class"])
+    placed = rows.withColumn("rn", F.row_number().over(order) - 1).join(F.broadcast(counted) if workers * tail < BROADCAST_ROWS else counted, ["worker", "class"])
     placed = placed.withColumn("bin", F.expr("rn div class"))
     full = placed.filter((F.col("bin") + 1) * F.col("class") <= F.col("there"))
     base = F.shiftleft(F.shiftleft(F.col("worker").cast("long"), CLASS_BITS).bitwiseOR(F.col("class").cast("long")), BIN_BITS).bitwiseOR(F.col("bin"))

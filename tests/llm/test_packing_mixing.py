@@ -28,8 +28,9 @@ def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@pytest.mark.parametrize("worker_docs", [10**6, 20])
-def test_packing_round_trip(spark, tokenizer, worker_docs):
+@pytest.mark.parametrize("worker_docs, limit", [(10**6, 50_000), (20, 50_000), (20, 0)])
+def test_packing_round_trip(spark, tokenizer, worker_docs, limit, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", limit)
     rows = texts()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, length int")
     out = packing.harmonic_pack(docs, worker_docs=worker_docs).collect()
@@ -64,6 +65,12 @@ def test_full_bins_hold_their_class():
         assert all(packing.CAPACITY - x * m < m for _, x, m in cut if x > packing.TAIL)
 
 
+def test_workers_follow_pieces_too(spark):
+    docs = spark.createDataFrame([(i, "word " * 60_000) for i in range(3)], "doc_id long, text string")
+    out = packing.harmonic_pack(docs, worker_docs=3).collect()
+    assert len({r.sequence_id >> (packing.CLASS_BITS + packing.BIN_BITS) for r in out}) > 3
+
+
 def test_packing_nothing(spark):
     assert packing.harmonic_pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -107,12 +114,14 @@ def test_mix_rows_follow_the_plan(spark):
         assert texts[r.doc_id].startswith(r.text)
         got[r.doc_id] += len(brute.words(r.text))
         shards[r.mix_shard] += 1
-    plan = {r.doc_id: r.taken for r in mixing.mix_plan(docs).collect()}
+    plan = {r.doc_id: r.taken for r in mixing.mix_plan(docs, block_words=16, shard_words=512).collect()}
     assert all(got[i] == n for i, n in plan.items())
     assert len(shards) > 3
 
 
-def test_mix_writes_what_the_query_reports_on_repeated_rows(spark, tmp_path):
+def test_mix_writes_what_the_query_reports_on_repeated_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 512)
     rows = mixed_rows() + [(900, "again and again", "many")] * 700 + [(901, "in two sources", "big"), (901, "in two sources", "small"), (None, "a b c", "small"), (None, "a b c", None)]
     docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, source string, row int").repartition(5)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -130,6 +139,84 @@ def test_mix_writes_what_the_query_reports_on_repeated_rows(spark, tmp_path):
     assert max(own) - min(own) == 1
 
 
+def drawn_plainly(docs, block, shards, seed, tree_seed):
+    """doc_id -> words taken, by a plain version of the whole operator over rows without repeats."""
+    lines = {}
+    for i, text, source in docs:
+        lines.setdefault(source, []).append((mixing_hash(seed, i, text), i, len(brute.words(text))))
+    order = sorted(lines, key=lambda s: (s is None, (s or "").encode()))
+    sizes = {s: sum(n for _, _, n in lines[s]) for s in order}
+    goal = brute.targets(sizes)
+    want = {s: min(round(goal[s]), 3 * sizes[s]) for s in order}
+    whole = {s: want[s] // sizes[s] if sizes[s] else 0 for s in order}
+    rest = {s: want[s] - whole[s] * sizes[s] for s in order}
+    blocks = {s: -(-sizes[s] // block) for s in order}
+    quota = {s: min(blocks[s], -(-rest[s] * blocks[s] // max(1, sizes[s]))) for s in order}
+    numbers = [whole[s] * blocks[s] for s in order] + [quota[s] for s in order] + [blocks[s] - quota[s] for s in order]
+    split = mixing.split_quotas(np.array(numbers), shards, tree_seed).reshape(shards, 3, len(order))
+    taken = {}
+    for n, s in enumerate(order):
+        at, drawn, reserve, first = 0, [], [], 0
+        own = {}
+        for shard in range(shards):
+            q, r = split[shard, 1, n], split[shard, 2, n]
+            drawn += range(first, first + q)
+            reserve += range(first + q, first + q + r)
+            first += q + r
+        for _, i, size in sorted(lines[s]):
+            own.setdefault(at // block, []).append((i, size))
+            at += size
+        left = rest[s]
+        for i, size in [x for b in drawn + reserve for x in own.get(b, [])]:
+            taken[i] = whole[s] * size + min(size, left)
+            left -= min(size, left)
+    return taken
+
+
+def mixing_hash(seed, i, text):
+    return HASHES[seed, i, text]
+
+
+HASHES = {}
+
+
+def test_query_equals_a_plain_splitting_tree(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = list({x[0]: x for x in mixed_rows() if x[0] is not None}.values())
+    rows = [x for x in rows if x[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in docs.select("*", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text")).alias("h")).collect():
+        HASHES[mixing.SEED, r.doc_id, r.text] = r.h
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 512)
+    got = mixing.query(spark, str(tmp_path)).collect()
+    shards = sum(len(brute.words(t)) for _, t, _ in rows) // 512
+    want = drawn_plainly(rows, 16, shards, mixing.SEED, mixing.SEED)
+    assert shards > 5 and {r.doc_id: r.taken for r in got} == want
+    assert max(r.n_shards for r in got) > 1
+
+
+def test_another_tree_draws_other_blocks_within_the_targets(spark):
+    docs = spark.createDataFrame(mixed_rows(), "doc_id long, text string, source string")
+    taken = []
+    for tree_seed in (1, 2):
+        out = mixing.mix_plan(docs, block_words=16, shard_words=512, tree_seed=tree_seed).collect()
+        sums = Counter()
+        for r in out:
+            sums[r.source] += r.taken
+            assert 0 <= r.taken <= 3 * r.size
+        assert all(abs(sums[r.source] - r.target) <= 0.5 + 1e-6 for r in out)
+        taken.append({(r.doc_id, r.tie, r.source, r.copy): r.taken for r in out})
+    assert taken[0].keys() == taken[1].keys() and sum(taken[0][k] != taken[1][k] for k in taken[0]) > 20
+
+
+def test_the_tree_has_many_shards_on_the_test_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    assert len({r.mix_shard for r in mixing.mix(docs).select("mix_shard").distinct().collect()}) > 3
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([1000, 0, 7, 123456])
     out = mixing.split_quotas(quotas, 13, 1)
