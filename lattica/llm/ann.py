@@ -1,12 +1,17 @@
 """Approximate nearest neighbours by an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample. Every row is indexed: its cell, the
-codes of its residual with the length of what they leave out, and the vector itself for the exact reranking. A cell is
-stored in blocks of bounded size, so a cell that holds a third of all rows is many blocks. A query probes the ``probes``
-cells with the largest inner product; in each block a table of its products with all codewords gives asymmetric scores
-by look-up. The ``rerank`` best are scored exactly in double precision, which sets the score to reach; then so is every
-row whose score could reach it, given the error of its codes. So what the probed cells hold is searched exactly, and
-the best ``k`` of all blocks stay, copies and ties by id.
+codes of its residual with the length of what they leave out, and the vector itself for the exact reranking. Cells grow with the
+rows; a cell is stored in blocks of bounded size, so a cell that holds a third of all rows is many blocks.
+
+A query first meets the sample: its ``k``-th best product there is a floor, as whatever scores less is not among the ``k`` best. Cells are probed in order of their
+potential, the product with the centroid and ``LEAN`` standard deviations of what residuals add to it, which favours cells of long or scattered vectors as inner products do. How
+many are probed is measured when the index is built: as many as hold the share ``AIM`` of the true neighbours of sample rows within the sample. Cells whose bound is below the
+floor are left out.
+
+In each block a table of the query's products with all codewords gives asymmetric scores by look-up. For a query without a floor the ``rerank`` best are scored exactly in double
+precision, which gives one; then so is every row whose score could reach it, given the error of its codes. So what the probed
+cells hold is searched exactly, without a cap, and the best ``k`` of all blocks stay, copies and ties by id.
 """
 
 from __future__ import annotations
@@ -23,15 +28,17 @@ from . import common, vectors
 K = 20
 EVERY = 20
 SAMPLE = 20_000
-CELLS = 64
-PROBES = 48
+#: Rows of a cell; the number of cells follows the number of rows, up to what the sample can fit.
+CELL_ROWS, FEWEST, MOST_CELLS = 128, 8, 1024
+AIM, LEAN = 0.94, 2.0
+#: Sample rows that ask in order to measure how many cells to probe.
+TRIALS = 512
 PARTS = 16
 CODES = 256
 RERANK = 40
 BLOCK = 4096
-STEP = 128
-#: Pairs scored exactly at once.
-PAIRS = 16_384
+#: Pairs of a query and a row that are looked up at once, and that are scored exactly at once.
+LOOKED, PAIRS = 1 << 19, 16_384
 INDEX = "cell int, ids binary, codes binary, errors binary, vectors binary"
 
 
@@ -55,15 +62,40 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
     return centres
 
 
-def fit(sample: np.ndarray, cells: int = CELLS, parts: int = PARTS, codes: int = CODES) -> dict:
-    """Coarse centroids and, for each run of dimensions, the codewords of the residuals."""
+def fit(sample: np.ndarray, cells: int = 64, parts: int = PARTS, codes: int = CODES) -> dict:
+    """Coarse centroids with the standard deviation of their residuals along a direction, and, for each run of dimensions, the codewords of the residuals."""
     centres = k_means(sample, cells)
     # An empty cell would use up a probe.
     centres = centres[np.unique(nearest(sample, centres))]
-    residual = sample - centres[nearest(sample, centres)]
+    own = nearest(sample, centres)
+    residual = sample - centres[own]
+    spread = np.sqrt(np.bincount(own, weights=(residual**2).sum(axis=1), minlength=len(centres)) / np.maximum(np.bincount(own, minlength=len(centres)), 1) / max(1, sample.shape[1]))
     runs = np.array_split(np.arange(sample.shape[1]), min(parts, sample.shape[1]))
     books = [k_means(residual[:, r], codes, rounds=5) for r in runs]
-    return {"centres": centres, "runs": runs, "books": books}
+    return {"centres": centres, "spread": spread, "runs": runs, "books": books}
+
+
+def potential(model: dict, q: np.ndarray) -> np.ndarray:
+    """(queries, cells): by what cells are ordered for probing."""
+    return q @ model["centres"].T + LEAN * np.linalg.norm(q, axis=1)[:, None] * model["spread"][None, :]
+
+
+def probes_for(model: dict, sample: np.ndarray, k: int, aim: float = AIM) -> int:
+    """How many cells hold the share ``aim`` of the ``k`` nearest of sample rows within the sample."""
+    cells = len(model["centres"])
+    if len(sample) <= k + 1 or cells == 1:
+        return cells
+    own = nearest(sample, model["centres"])
+    places = []
+    for at in range(0, min(TRIALS, len(sample)), 128):
+        asked = sample[at : at + 128]
+        scores = asked @ sample.T
+        scores[np.arange(len(asked)), at + np.arange(len(asked))] = -np.inf
+        near = np.argpartition(-scores, k, axis=1)[:, :k]
+        rank = np.empty((len(asked), cells), dtype=np.int64)
+        np.put_along_axis(rank, np.argsort(-potential(model, asked), axis=1), np.broadcast_to(np.arange(cells), rank.shape), axis=1)
+        places.append(np.take_along_axis(rank, own[near], axis=1).ravel())
+    return int(np.ceil(np.quantile(np.concatenate(places), aim))) + 1
 
 
 def encode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +113,11 @@ def _encoder(held, dims: int):
             x = vectors.matrix(batch["v"], dims)
             cell, codes, left = encode(held.value, x)
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["id", "cell", "codes", "error", "vector"],
+                [
+                    batch["id"], pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array([r.tobytes() for r in x], pa.binary()),
+                    pa.array(np.linalg.norm(x - held.value["centres"][cell], axis=1)),
+                ],
+                names=["id", "cell", "codes", "error", "vector", "far"],
             )
 
     return run
@@ -132,12 +167,28 @@ def _products(q: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
     return np.concatenate([np.einsum("ij,ij->i", q[i[a : a + PAIRS]], own[j[a : a + PAIRS]]) for a in runs]) if len(i) else np.empty(0)
 
 
+class Askers:
+    """The queries that probe a cell, from the cells (or -1) that each query probes."""
+
+    def __init__(self, probes: np.ndarray) -> None:
+        cells = probes.ravel()
+        order = np.argsort(cells, kind="stable")
+        self.cells, self.queries, self.probes = cells[order], (order // max(1, probes.shape[1])).astype(np.int32), probes
+
+    def of(self, cell: int) -> np.ndarray:
+        return self.queries[np.searchsorted(self.cells, cell) : np.searchsorted(self.cells, cell, side="right")]
+
+
 def _kernel(held, dims: int, rerank: int):
+    last: list[Askers] = []
+
     def run(batch: pa.RecordBatch, query_ids: np.ndarray, prepared, best: vectors.Best) -> None:
         model = held.value
         queries, probes = prepared
+        if not last or last[0].probes is not probes:
+            last[:] = [Askers(probes)]
         for row in batch.to_pylist():
-            asking = np.flatnonzero((probes == row["cell"]).any(axis=1))
+            asking = last[0].of(row["cell"])
             if not len(asking):
                 continue
             ids = np.frombuffer(row["ids"], dtype=np.int64)
@@ -150,8 +201,9 @@ def _kernel(held, dims: int, rerank: int):
             size = np.sqrt((own**2).sum(axis=1).max())
             # What sums of single precision may be off, and products of double precision.
             slack, tiny = 1e-5 * (size + np.linalg.norm(centre) + errors.max()), 1e-15 * dims * size
-            for at in range(0, len(asking), STEP):
-                some = asking[at : at + STEP]
+            step = max(64, LOOKED // max(1, len(ids)))
+            for at in range(0, len(asking), step):
+                some = asking[at : at + step]
                 q = queries[some]
                 length = np.linalg.norm(q, axis=1)
                 scores = np.zeros((len(some), len(ids)), dtype=np.float32)
@@ -160,14 +212,15 @@ def _kernel(held, dims: int, rerank: int):
                     scores += table[:, codes[:, part]]
                 mine = query_ids[some][:, None] == ids[None, :]
                 scores[mine] = -np.inf
+                floor = best.least[some]
+                # A query without a floor scores its best rows by codes first.
+                bare = np.flatnonzero(np.isneginf(floor))
                 n = min(max(rerank, best.k), len(ids))
-                near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                i = np.repeat(np.arange(len(some)), n)
-                j = near.ravel()
+                near = np.argpartition(-scores[bare], n - 1, axis=1)[:, :n]
+                i, j = np.repeat(bare, n), near.ravel()
                 score = np.where(mine[i, j], -np.inf, _products(q, own, i, j))
-                floor = best.least[some]
                 if n >= best.k:
-                    floor = np.maximum(floor, np.partition(score.reshape(-1, n), n - best.k, axis=1)[:, n - best.k])
+                    floor[bare] = np.partition(score.reshape(-1, n), n - best.k, axis=1)[:, n - best.k]
                 # Every other row that may reach the k-th score: first by the error of its codes, then by its product.
                 reach = floor - q @ centre
                 may = ~(scores < (reach[:, None] - length[:, None] * (errors + slack)[None, :])) & ~mine
@@ -187,25 +240,78 @@ def _kernel(held, dims: int, rerank: int):
     return run
 
 
-def build(rows: DataFrame, dims: int, sample: int = SAMPLE, cells: int = CELLS) -> tuple[DataFrame, object]:
+def build(rows: DataFrame, dims: int, k: int = K, sample: int = SAMPLE, cells: int | None = None, probes: int | None = None) -> tuple[DataFrame, object]:
     """(index table, broadcast model) of all of ``rows`` (id, v)."""
     spark = rows.sparkSession
     # At most ``sample`` vectors, those with the smallest hash of their id, reach the driver.
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
-    model = fit(vectors.matrix(taken["v"].combine_chunks(), dims), cells)
+    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow().combine_chunks()
+    x = vectors.matrix(taken["v"].combine_chunks(), dims)
+    total = rows.count() if cells is None else 0
+    model = fit(x, cells or min(MOST_CELLS, max(FEWEST, total // CELL_ROWS)))
+    count = len(model["centres"])
+    wanted = min(probes or probes_for(model, x, k), count)
     held = spark.sparkContext.broadcast(model)
-    coded = common.written(rows.mapInArrow(_encoder(held, dims), "id long, cell int, codes binary, error double, vector binary"), "coded")
-    sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}
+    coded = common.written(rows.mapInArrow(_encoder(held, dims), "id long, cell int, codes binary, error double, vector binary, far double"), "coded")
+    facts = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
     # Rows of a large cell spread over as many tasks as it has blocks.
-    spread = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, common.blocks_for(n, BLOCK))]), F.col("cell"))
+    spread = F.element_at(F.create_map(*[F.lit(y) for r in facts for y in (r["cell"], common.blocks_for(r["n"], BLOCK))]), F.col("cell"))
     salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), spread.cast("long")))
     index = salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id").select("id", "cell", "codes", "error", "vector").mapInArrow(_blocker, INDEX)
-    return common.written(index, "cells"), held
+    index = common.written(index, "cells")
+    common.discard(coded)
+    held.destroy()
+    far = np.zeros(count)
+    for r in facts:
+        far[r["cell"]] = r["far"]
+    return index, spark.sparkContext.broadcast({**model, "far": far, "probes": wanted, "ids": taken["id"].to_numpy(), "sample": x, "own": nearest(x, model["centres"])})
+
+
+ASKED = "id long, v array<double>, part int, cells binary, floor double, ids array<long>, scores array<double>"
+
+
+def _asker(held, dims: int, k: int):
+    """What a query learns from the sample: the cells to probe, the floor, and sample rows of other cells among its ``k`` best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        sample, sample_ids, own = model["sample"], model["ids"], model["own"]
+        size = np.linalg.norm(sample, axis=1).max(initial=0)
+        for batch in batches:
+            q, ids = vectors.matrix(batch["v"], dims), batch["id"].to_numpy()
+            length = np.linalg.norm(q, axis=1)
+            slack = 1e-14 * dims * length * size
+            floor, told_ids, told_scores = np.full(len(q), -np.inf), [], []
+            cells = np.argsort(-potential(model, q), axis=1)[:, : model["probes"]].astype(np.int16)
+            for at in range(0, len(q), 128):
+                scores = q[at : at + 128] @ sample.T
+                scores[ids[at : at + 128, None] == sample_ids[None, :]] = -np.inf
+                for i, row in enumerate(scores, start=at):
+                    if len(row) > k:
+                        kth = np.partition(row, len(row) - k)[len(row) - k]
+                        near = np.flatnonzero((row >= kth - slack[i]) & (row > -np.inf))
+                    else:
+                        near = np.flatnonzero(row > -np.inf)
+                    exact = _products(q, sample, np.full(len(near), i), near)
+                    first = np.lexsort((sample_ids[near], -exact))[:k]
+                    near, exact = near[first], exact[first]
+                    if len(near) == k:
+                        floor[i] = exact[-1] - slack[i]
+                    outside = ~np.isin(own[near], cells[i])
+                    told_ids.append(sample_ids[near[outside]])
+                    told_scores.append(exact[outside])
+            # No row of such a cell can reach the floor.
+            centre = np.take_along_axis(q @ model["centres"].T, cells.astype(np.int64), axis=1)
+            cells[centre + length[:, None] * model["far"][cells] + 1e-9 * (np.abs(centre) + length[:, None]) < floor[:, None]] = -1
+            arrays = [batch["id"], batch["v"], batch["part"], pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(floor), pa.array(told_ids, pa.list_(pa.int64())), pa.array(told_scores, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "v", "part", "cells", "floor", "ids", "scores"])
+
+    return run
 
 
-def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, cells: int = CELLS, probes: int = PROBES, rerank: int = RERANK, query_block: int = vectors.QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest that the probed cells hold of every query, by inner product, ties to
-    the smaller id. ``rerank`` rows a block are scored exactly first; it is no cut, and results do not depend on it.
+def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, cells: int | None = None, probes: int | None = None, rerank: int = RERANK, query_block: int = vectors.QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest that the probed cells and the sample hold of every query, by inner product, ties to
+    the smaller id. ``rerank`` rows a block are scored exactly first; it is no cut, and results do not depend on it. ``cells`` follows the rows
+    and ``probes`` what the sample needs, unless given.
 
     Vectors (or ids) that are null, zero, or hold null or non-finite components take no part; shorter vectors are filled with
     zeros. Rows that share an id are candidates each, are all the query's own, and the smallest of their vectors is
@@ -217,16 +323,20 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str
     dims = vectors.width(rows)
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, held = build(rows, dims, cells=cells)
-    centres = held.value["centres"]
-    # Few distinct rows, or cells left empty: every cell is probed.
-    n = len(centres) if len(centres) < cells else min(probes, len(centres))
+    index, held = build(rows, dims, k, cells=cells, probes=probes)
+    queries, parts = vectors.query_table(rows, every, query_block)
+    asked = common.written(queries.mapInArrow(_asker(held, dims, k), ASKED), "asked")
+
+    def prepare(rows: pa.Table):
+        cells = np.frombuffer(b"".join(rows["cells"].to_pylist()), dtype=np.int16).reshape(len(rows), -1) if len(rows) else np.empty((0, 1), np.int16)
+        return (vectors.matrix(rows["v"].combine_chunks(), dims), cells), rows["floor"].to_numpy()
 
-    def prepare(x: np.ndarray):
-        near = np.argpartition(-(x @ centres.T), n - 1, axis=1)[:, :n] if len(x) else np.empty((0, n), np.int64)
-        return x, near.astype(np.int16)
+    def beside(part: DataFrame) -> DataFrame:
+        return part.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
-    return vectors.search(index, vectors.query_blocks(rows, every, query_block), dims, k, _kernel(held, dims, rerank), "double", prepare)
+    # The kernel needs no sample rows.
+    small = spark.sparkContext.broadcast({name: held.value[name] for name in ("centres", "runs", "books")})
+    return vectors.search(index, asked, parts, k, _kernel(small, dims, rerank), "double", prepare, beside)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

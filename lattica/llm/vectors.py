@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Queries gathered at the driver and broadcast at once: 65,536 of 64 components are 16 MB.
-QUERY_BLOCK = 65_536
+#: Queries gathered at the driver and broadcast at once: 32,768 of 64 components are 16 MB.
+QUERY_BLOCK = 32_768
 
 
 def sound(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
@@ -42,18 +42,18 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def query_blocks(rows: DataFrame, every: int, each: int = QUERY_BLOCK) -> list[DataFrame]:
-    """The queries (id divisible by ``every``), one vector an id, in parts of about ``each``."""
+def query_table(rows: DataFrame, every: int, each: int = QUERY_BLOCK) -> tuple[DataFrame, int]:
+    """(a written table (id, v, part) of the queries, number of parts): ids divisible by ``every``, one vector an id, in
+    parts of about ``each``."""
     queries = rows.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     queries = common.written(queries, "queries")
     parts = common.blocks_for(queries.count(), each)
-    return [queries.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i) for i in range(parts)]
+    return queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts
 
 
-def gathered(part: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of one block of queries, at the driver, in order of id."""
-    rows = part.orderBy("id").toArrow()
-    return rows["id"].to_numpy(), matrix(rows["v"].combine_chunks(), dims)
+def gathered(part: DataFrame) -> pa.Table:
+    """One part of the queries, at the driver, in order of id."""
+    return part.orderBy("id").toArrow().combine_chunks()
 
 
 class Best:
@@ -80,27 +80,38 @@ class Best:
         self.q, self.id, self.score = q[keep], ids[keep], score[keep]
 
 
-def search(index: DataFrame, parts: list[DataFrame], dims: int, k: int, kernel: Callable, score_type: str, prepare: Callable | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): every block of queries against the whole index.
+def search(index: DataFrame, queries: DataFrame, parts: int, k: int, kernel: Callable, score_type: str, prepare: Callable, beside: Callable | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): every part of the queries against the whole index, one part after the other.
 
-    ``kernel(record batch, query ids, prepared queries, best)`` adds what it finds in one batch of the index. A task
-    keeps ``k`` finds a query, so what is shuffled is bounded by tasks x queries x ``k``.
+    ``prepare(table of a part)`` gives (what the kernel is to know of these queries, the score below which nothing counts of each or None);
+    ``kernel(record batch, query ids, prepared, best)`` adds what it finds in one batch of the index; ``beside(part)`` gives further finds
+    (query_id, vec_id, score). A task keeps ``k`` finds a query, so what is shuffled is bounded by tasks x queries x ``k``. The finds of a part are
+    written and its broadcast is destroyed before the next part is gathered, so one part at most is at the driver and on an executor.
     """
     spark = index.sparkSession
     kind = np.int64 if score_type == "long" else np.float64
-    found = None
-    for part in parts:
-        ids, queries = gathered(part, dims)
-        held = spark.sparkContext.broadcast((ids, prepare(queries) if prepare else queries))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    paths, out = [], None
+    for i in range(parts):
+        part = queries.filter(F.col("part") == i)
+        rows = gathered(part)
+        prepared, floor = prepare(rows)
+        held = spark.sparkContext.broadcast((rows["id"].to_numpy(), prepared, floor))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, queries = held.value
+            ids, prepared, floor = held.value
             best = Best(len(ids), k, kind)
+            if floor is not None:
+                best.least = floor.copy()
             for batch in batches:
-                kernel(batch, ids, queries, best)
+                kernel(batch, ids, prepared, best)
             yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
 
-        some = index.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
-        found = some if found is None else found.unionByName(some)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = index.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+        if beside:
+            found = found.unionByName(beside(part))
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = common.written(ranked, "found")
+        paths.append(common.path_of(out))
+        held.destroy()
+    return spark.read.schema(out.schema).parquet(*paths)
