@@ -88,9 +88,13 @@ def _rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.col(text_col).alias("text")
     )
     t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)))
-    people = t.filter(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("perspective")).distinct().withColumnRenamed("conv_id", "c")
+    # A null conversation is a key like any other.
+    t = t.withColumns({"key": F.coalesce("conv_id", F.lit(0)), "none": F.col("conv_id").isNull()})
+    key = ["key", "none"]
+    people = t.filter(F.col("role") != SYSTEM).select(*key, F.col("role").alias("perspective")).distinct()
+    turns_of = common.written(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "conversations")
     # One row a turn and participant: no more than turns x participants.
-    return [_rendered(some.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")) for some in _pieces(t, crowd)]
+    return [_rendered(common.spread_join(some, people, key, "n", turns_of).drop(*key)) for some in _pieces(t, crowd)]
 
 
 def _rendered(wide: DataFrame) -> DataFrame:

@@ -149,11 +149,11 @@ def score_texts(model: dict | None, texts: list[bytes | None]) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> DataFrame:
     """(id, text, quality) of the sample the model is fitted on."""
     own = labels.filter(F.col("quality").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0))
-    own = own.groupBy(F.col("doc_id").alias("__lt_id")).agg(F.avg(F.col("quality").cast("double")).alias("__lt_label"))
-    sample = own.orderBy(F.xxhash64("__lt_id"), "__lt_id").limit(max_labelled)
+    own = own.groupBy(F.col("doc_id").alias("own_id")).agg(F.avg(F.col("quality").cast("double")).alias("own_label"))
+    sample = own.orderBy(F.xxhash64("own_id"), "own_id").limit(max_labelled)
     # At most max_labelled rows of 16 bytes are broadcast.
-    found = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), F.col("i") == F.col("__lt_id"))
-    return found.select("i", "t", F.col("__lt_label").alias("quality"))
+    found = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), F.col("i") == F.col("own_id"))
+    return found.select("i", "t", F.col("own_label").alias("quality"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> dict | None:
@@ -181,8 +181,8 @@ def with_score(docs: DataFrame, model: dict | None, text_col: str = "text", name
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``; all columns unchanged."""
-    scored = with_score(docs, fit(docs, labels, id_col, text_col), text_col, "__lt_score")
-    return scored.filter(F.col("__lt_score") >= threshold).drop("__lt_score")
+    [score] = common.fresh(docs, "score")
+    return with_score(docs, fit(docs, labels, id_col, text_col), text_col, score).filter(F.col(score) >= threshold).drop(score)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -164,11 +164,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text (null first). Rows with a null id stay only where their component has no other id.
     """
     groups = simhash_groups(docs, id_col, text_col, near)
-    kept = common.written(groups.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__lt_id")).count(), "kept")
+    key, row = common.fresh(docs, "id", "row")
+    kept = common.written(groups.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(row)), "kept")
     # Always by a shuffle: a table of kept ids that is broadcast while it is small would make small runs differ from large ones.
-    out = docs.join(kept.select("__lt_id").hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__lt_id")), "left_semi")
-    if kept.filter("count > 1").limit(1).count():
-        out = out.groupBy(F.col(id_col).alias("__lt_id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNotNull(), text_col)).alias("__lt_row")).select("__lt_row.*")
+    out = docs.join(kept.select(key).hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
+    if kept.filter(F.col(row) > 1).limit(1).count():
+        out = out.groupBy(F.col(id_col).alias(key)).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNotNull(), text_col)).alias(row)).select(f"{row}.*")
     return out
 
 

@@ -1,9 +1,9 @@
 """WARC archives with a globally ordered capture index, by external index merge.
 
 Each task writes one archive (a gzip member a record) and the run of its captures, sorted by URL key and timestamp. The runs
-are merged externally: captures are cut into ranges of (URL key, timestamp, page), so the captures of one hot URL are
-several ranges, and in each range the sorted stretches of all runs go through a loser tree. The merged index leads the
-reading back. Of records with one payload the one with the largest page id is the response and the others revisit it.
+are merged externally: captures are cut into ranges of (URL key, timestamp, page) of about ``RANGE_ROWS``, so the captures of one hot URL are
+several ranges and no task holds more than a range, and in each range the sorted stretches of all runs go through a loser tree. A capture's rank is
+its place in its range and what all earlier ranges hold. The merged index leads the reading back. Of records with one payload the one with the largest page id is the response and the others revisit it.
 
 Files are written under a name of the attempt, and only the index of the attempt that ended well names them; so lost
 executors and repeated tasks leave no wrong record, only unreferenced files.
@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,6 +27,8 @@ from . import common
 LEAST_REVISIT = 0
 #: Payloads seen more than once are broadcast up to this many rows of about 200 bytes; beyond it a join shuffles.
 BROADCAST_ROWS = 50_000
+#: Captures of one range of the index.
+RANGE_ROWS = 50_000
 CAPTURE = "url_key string, captured_at long, page_id long, file string, at long, size long, record_type string, payload_digest string"
 _EPOCH = 1_704_067_200
 
@@ -134,12 +136,15 @@ def _writer(folder: str):
     return run
 
 
-_NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
-_TYPES = [pa.string() if x.endswith("string") else pa.int64() for x in CAPTURE.split(", ")]
+INDEX = CAPTURE + ", range_no long, place long"
+_NAMES = [x.split()[0] for x in INDEX.split(", ")]
+_TYPES = [pa.string() if x.endswith("string") else pa.int64() for x in INDEX.split(", ")]
+_OF_RUN = len(CAPTURE.split(", "))
 
 
 def _captures(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, _TYPES)], names=_NAMES[: len(columns)])
 
 
 def _place(row) -> tuple:
@@ -184,13 +189,16 @@ def merge_runs(runs: Iterable[Iterable], key=_place) -> Iterator:
 
 def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range: rows come ordered by run and place in the run, which restores the stretch of each run."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId()
     runs: dict[str, list[tuple]] = {}
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in _NAMES)):
+        for row in zip(*(batch.column(n).to_pylist() for n in _NAMES[:_OF_RUN])):
             runs.setdefault(row[3], []).append(row)
     rows = []
-    for row in merge_runs(runs.values()):
-        rows.append(row)
+    for place, row in enumerate(merge_runs(runs.values())):
+        rows.append((*row, number, place))
         if len(rows) == 20_000:
             yield _captures(rows)
             rows = []
@@ -204,9 +212,11 @@ def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     several = told.filter(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "seconds"))).alias("keeper")
     )
-    several = common.written(several.filter("n > 1 AND keeper IS NOT NULL").drop("n"), "payloads")
-    few = several.count() <= BROADCAST_ROWS
-    joined = told.join(F.broadcast(several) if few else several, ["sha1", "bytes"], "left")
+    several = common.written(several.filter("n > 1 AND keeper IS NOT NULL"), "payloads")
+    if several.count() <= BROADCAST_ROWS:
+        joined = told.join(F.broadcast(several), ["sha1", "bytes"], "left")
+    else:
+        joined = common.spread_join(told, several, ["sha1", "bytes"], "n", how="left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper.page_id"))
     return joined.select("page_id", "url", "seconds", "payload", "sha1", revisit.alias("revisit"), "keeper")
 
@@ -218,9 +228,19 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
 
 
 def capture_index(runs: DataFrame) -> DataFrame:
-    """All captures in global order of URL key, timestamp and page: partition i holds what is before partition i + 1."""
+    """All captures in global order of URL key, timestamp and page: partition i holds what is before partition i + 1. ``range_no`` is that
+    partition and ``place`` the place in it, from 0."""
     order = ["url_key", "captured_at", "page_id", "file", "at"]
-    return runs.repartitionByRange(*order).sortWithinPartitions("file", *order[:3], "at").mapInArrow(_merger, CAPTURE)
+    ranges = common.blocks_for(runs.count(), RANGE_ROWS)
+    return runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", *order[:3], "at").mapInArrow(_merger, INDEX)
+
+
+def ranked(index: DataFrame) -> DataFrame:
+    """A written ``capture_index`` with ``capture_rank``: the place of a capture in the whole order, from 1."""
+    before = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range.
+    starts = index.groupBy(F.col("range_no").alias("no")).agg(F.count(F.lit(1)).alias("there")).select("no", F.coalesce(F.sum("there").over(before), F.lit(0)).alias("start"))
+    return index.join(starts, F.col("range_no") == F.col("no")).withColumn("capture_rank", F.col("start") + F.col("place") + 1).drop("no", "start", "range_no", "place")
 
 
 def _reader(folder: str):
@@ -229,7 +249,7 @@ def _reader(folder: str):
         name, source = None, None
         for batch in batches:
             rows = []
-            for file, at, size in zip(*(batch.column(n).to_pylist() for n in ("file", "at", "size"))):
+            for file, at, size, rank in zip(*(batch.column(n).to_pylist() for n in ("file", "at", "size", "capture_rank"))):
                 if file != name:
                     if source is not None:
                         source.close()
@@ -239,9 +259,9 @@ def _reader(folder: str):
                 kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 if kind == "response" and base32_sha1(payload) != digest:
                     raise ValueError(f"{file} at {at}: the payload has another digest than {digest}")
-                rows.append((page and int(page), headers["WARC-Target-URI"], int(http["Content-Length"]), digest, kind, refers and int(refers), payload if kind == "response" else None))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+                rows.append((page and int(page), headers["WARC-Target-URI"], int(http["Content-Length"]), digest, kind, refers and int(refers), payload if kind == "response" else None, rank))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
+            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "capture_rank"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
     return run
@@ -249,8 +269,8 @@ def _reader(folder: str):
 
 def read_archives(captures: DataFrame, folder: str) -> DataFrame:
     """The records that ``captures`` name, read from the archives in ``folder``; payload is null for revisits."""
-    ordered = captures.select("file", "at", "size").repartition("file").sortWithinPartitions("file", "at")
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    ordered = captures.select("file", "at", "size", "capture_rank").repartition("file").sortWithinPartitions("file", "at")
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, capture_rank long"
     return ordered.mapInArrow(_reader(folder), schema)
 
 
@@ -264,21 +284,33 @@ def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """
     seconds = F.col(time_col).cast("long") if time_col else F.lit(_EPOCH) + F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(1 << 31)), F.lit(0))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), seconds.alias("seconds"), F.col(html_col).alias("payload"))
-    index = common.written(capture_index(write_archives(rows, folder, least)), "captures")
+    index = common.written(ranked(common.written(capture_index(write_archives(rows, folder, least)), "captures")), "index")
     return read_archives(index, folder), index
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     records, _ = archive_pages(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), common.work_path(spark, "warc"))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank")
 
 
-# DuckDB has SHA-1 but no base 32: five bits at a time, through the hexadecimal digest's 40 digits.
-ORACLE_SQL = """
+# DuckDB has SHA-1 but no base 32: five bits at a time, through the hexadecimal digest's 40 digits. The key of a URL as in ``url_key``.
+ORACLE_SQL = r"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS body FROM pages
+  SELECT page_id, coalesce(html, '') AS body,
+    split_part(regexp_replace(lower(regexp_replace(coalesce(url, ''), '^\s+|\s+$', '', 'g')), '^[a-z][a-z0-9+.-]*://', ''), '#', 1) AS rest
+  FROM pages
+), u AS (
+  SELECT *, regexp_extract(rest, '(?s)^(?:[^/?@]*@)?([^/?:]*)(:\d+)?(.*)', 1) AS host, regexp_extract(rest, '(?s)^(?:[^/?@]*@)?([^/?:]*)(:\d+)?(.*)', 2) AS port,
+    regexp_extract(rest, '(?s)^(?:[^/?@]*@)?([^/?:]*)(:\d+)?(.*)', 3) AS path
+  FROM p
+), k AS (
+  SELECT page_id, body,
+    CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(regexp_replace(host, '^www[.]', ''), '.')), ',') || port || ')' || CASE WHEN path = '' THEN '/' ELSE path END END AS url_key
+  FROM u
 ), d AS (
-  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS keeper FROM p
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS keeper,
+    row_number() OVER (ORDER BY url_key, page_id % 2147483648, page_id) AS capture_rank
+  FROM k
 ), b AS (
   SELECT *,
     list_reduce(list_transform(range(0, 40), lambda i: lpad(bin(strpos('0123456789abcdef', substr(h, CAST(i + 1 AS BIGINT), 1)) - 1), 4, '0')), lambda x, y: x || y) AS bits
@@ -289,6 +321,6 @@ SELECT page_id, payload_bytes,
     1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS BIGINT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS BIGINT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS BIGINT)
       + 2 * CAST(substr(bits, 5 * i + 4, 1) AS BIGINT) + CAST(substr(bits, 5 * i + 5, 1) AS BIGINT), 1)), lambda x, y: x || y) AS payload_digest,
   CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to, capture_rank
 FROM b
 """
