@@ -187,21 +187,31 @@ def sorted_suffixes(block: pd.DataFrame, k: int, split: Callable, symbols: Calla
     left = lengths[owner] - offset
     if not len(owner):
         return owner, offset, copy, left, left
-    # Symbols as ranks within the block, so that a suffix is a short run of bytes.
+    # Suffixes sort by their first ``k`` symbols (a number each) and then by what follows; symbols as ranks within the block are a few bytes.
     ranks = (np.unique(whole, return_inverse=True)[1] + 1).astype(f">u{unit}") if unit > 1 else np.frombuffer(b"".join(map(bytes, block["piece"])), dtype=np.uint8)
-    wide = int(left.max()) * unit
-    buffer = np.concatenate((ranks.view(np.uint8), np.zeros(wide, dtype=np.uint8)))
-    rows = np.lib.stride_tricks.sliding_window_view(buffer, wide)[(base[owner] + offset) * unit]
-    rows[np.arange(wide) >= (left * unit)[:, None]] = 0
+    wide = int((left - k).max()) * unit
+    buffer = np.concatenate((ranks.view(np.uint8), np.zeros(wide + 1, dtype=np.uint8)))
+    rows = np.empty((len(owner), 4 + wide), dtype=np.uint8)
+    rows[:, :4] = (inverse[listed] + 1).astype(">u4").view(np.uint8).reshape(-1, 4)
+    tails = np.lib.stride_tricks.sliding_window_view(buffer, max(wide, 1))
+    at = (base[owner] + offset) * unit
+    for a in range(0, len(rows), 1 << 15):
+        part = slice(a, a + (1 << 15))
+        if wide:
+            rows[part, 4:] = tails[at[part] + k * unit]
+            rows[part, 4:][np.arange(wide) >= ((left[part] - k) * unit)[:, None]] = 0
     # Stable: equal suffixes stay in the order of their places.
-    order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
-    rows, owner, offset, copy, left = rows[order], owner[order], offset[order], copy[order], left[order]
+    order = np.argsort(rows.view(f"S{4 + wide}").ravel(), kind="stable")
+    owner, offset, copy, left, at = owner[order], offset[order], copy[order], left[order], at[order]
     prefix = np.zeros(len(rows), dtype=np.int64)
-    for a in range(1, len(rows), 1 << 15):
-        b = min(a + (1 << 15), len(rows))
-        differ = rows[a:b] != rows[a - 1 : b - 1]
-        same = np.where(differ.any(axis=1), differ.argmax(axis=1), wide) // unit
-        prefix[a:b] = np.minimum(same, np.minimum(left[a:b], left[a - 1 : b - 1]))
+    heads = np.lib.stride_tricks.sliding_window_view(buffer, k * unit)
+    for a in range(1, len(rows), 1 << 14):
+        b = min(a + (1 << 14), len(rows))
+        differ = rows[order[a:b]] != rows[order[a - 1 : b - 1]]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), 4 + wide) - 4
+        # The first symbols are compared themselves, not by their numbers.
+        equal = (same >= 0) & (heads[at[a:b]] == heads[at[a - 1 : b - 1]]).all(axis=1)
+        prefix[a:b] = np.where(equal, np.minimum(k + same // unit, np.minimum(left[a:b], left[a - 1 : b - 1])), 0)
     return owner, offset, copy, left, prefix
 
 
@@ -219,26 +229,22 @@ def joined_spans(owner: np.ndarray, copy: np.ndarray, offset: np.ndarray, length
 
 
 def _windows_of(spec: Spec):
-    """(h1, h2, start, anchor, phrase, doc, span) of the windows of class texts; ``start`` counts in the document."""
+    """(h1, h2, start, doc, span) of the windows of class texts; ``start`` counts in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, phrase, doc, span, text in zip(*(batch[c].to_pylist() for c in ("anchor", "phrase", "doc", "span", "piece"))):
+            for doc, span, text in zip(*(batch[c].to_pylist() for c in ("doc", "span", "piece"))):
                 symbols = spec.symbols(spec.split(text))
                 a, b = (anchors.window_hashes(symbols, spec.k, base) for base in (0, 1))
                 if len(a):
-                    same = [pa.array(np.full(len(a), x)) for x in (anchor, phrase, doc, span)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((span >> LOW) + np.arange(len(a))), *same],
-                        names=["h1", "h2", "start", "anchor", "phrase", "doc", "span"],
-                    )
+                    same = [pa.array(np.full(len(a), x)) for x in (doc, span)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((span >> LOW) + np.arange(len(a))), *same], names=["h1", "h2", "start", "doc", "span"])
 
     return run
 
 
 def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame:
-    some = pieces.filter("hot").select("anchor", "phrase", "doc", "span", "piece")
-    return some.mapInArrow(_windows_of(spec), "h1 long, h2 long, start long, anchor long, phrase long, doc long, span long")
+    return pieces.filter("hot").select("doc", "span", "piece").mapInArrow(_windows_of(spec), "h1 long, h2 long, start long, doc long, span long")
 
 
 def blocked(pieces: DataFrame, spec: Spec, rows: int) -> DataFrame:
@@ -267,7 +273,7 @@ def fetched(docs: DataFrame, kept: DataFrame, spec: Spec) -> DataFrame:
     return texts.mapInArrow(_pieces_of(spec), _PIECES)
 
 
-def _hot_found(pieces: DataFrame, spec: Spec) -> DataFrame:
+def _hot_found(kept: DataFrame, pieces: DataFrame, spec: Spec) -> DataFrame:
     """What repeats in the classes of crowded anchors: windows that stand earlier, and all of every copy."""
     windows = common.written(hot_windows(pieces, spec), "windows")
     lead = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("many"))
@@ -275,12 +281,12 @@ def _hot_found(pieces: DataFrame, spec: Spec) -> DataFrame:
     later = F.col("doc") > F.col("f.doc")
     if not spec.across_docs:
         later = later | ((F.col("doc") == F.col("f.doc")) & (F.col("start") > F.col("f.start")))
-    key = ["anchor", "phrase", "doc", "span"]
+    key = ["doc", "span"]
     repeat = F.shiftleft(F.col("start") - F.shiftright("span", LOW), LONG).bitwiseOR(F.lit(spec.k).cast("long"))
     own = common.spread_join(windows, lead, ["h1", "h2"], "many").filter(later).groupBy(*key).agg(F.collect_list(repeat).alias("own"))
     whole = F.array(F.col("span").bitwiseAND((1 << LOW) - 1) + (spec.k - 1))
     empty = F.array().cast("array<long>")
-    return pieces.filter("hot").drop("piece").join(own, key, "left").select(*key, "n", F.coalesce("own", empty).alias("own"), F.when(F.col("again"), whole).otherwise(empty).alias("later"))
+    return kept.filter("hot").join(own, key, "left").select("anchor", "phrase", *key, "n", F.coalesce("own", empty).alias("own"), F.when(F.col("again"), whole).otherwise(empty).alias("later"))
 
 
 def spans(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -293,7 +299,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     pieces = fetched(docs, kept, spec)
     told = blocked(pieces, spec, sizes.get(False, 0)).groupBy("block").applyInPandas(_block(spec), FOUND)
     if sizes.get(True):
-        told = told.unionByName(_hot_found(pieces, spec))
+        told = told.unionByName(_hot_found(kept, pieces, spec))
     told = common.written(told.withColumnsRenamed({"doc": "f_doc", "span": "f_span"}), "repeats")
     common.discard(kept)
     first = F.col("doc") == F.col("f_doc")

@@ -102,7 +102,7 @@ def _kernel(block: pd.DataFrame, k: int) -> dict[int, tuple[list, list]]:
     return repeats.joined_spans(owner, copy, at, length)
 
 
-def spec(k: int = K, block_rows: int = 6_000, hot_variants: int = 6_000) -> repeats.Spec:
+def spec(k: int = K, block_rows: int = 6_000, hot_variants: int = 20_000) -> repeats.Spec:
     q = max(1, min(6, k // 4))
     return repeats.Spec(k, q, words, word_symbols, cut_words, _kernel, True, True, block_rows, hot_variants)
 

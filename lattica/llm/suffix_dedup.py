@@ -182,7 +182,7 @@ def repeat_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
-def spec(k: int = K, block_rows: int = 8_000, hot_variants: int = 8_000) -> repeats.Spec:
+def spec(k: int = K, block_rows: int = 8_000, hot_variants: int = 20_000) -> repeats.Spec:
     q = max(1, min(24, k // 4))
     return repeats.Spec(k, q, no_split, byte_symbols, cut_bytes, _kernel, False, False, block_rows, hot_variants)
 
