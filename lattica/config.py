@@ -23,12 +23,12 @@ STATIC_PATTERNS = (
 
 def defaults() -> dict[str, Any]:
     extraction = {"min_exchange_length": 20, "max_entities": 15, "confidence_threshold": 0.5, "predicate_thresholds": {}}
-    extraction |= {"canonical_predicates": list(CANONICAL_PREDICATES), "predicate_ttl_days": {"feels": 30, "eats": 14, "weighs": 7}}
+    extraction |= {"canonical_predicates": list(CANONICAL_PREDICATES), "predicate_ttl_days": {"feels": 30, "eats": 14, "weighs": 7}, "recogniser": None}
     return {
         "agent_aliases": {},
         "extraction": extraction,
         "retrieval": {"max_hops": 2, "max_results": 20, "min_shared": 1, "cooccurrence_boost": 0.1, "hop_decay": 0.7, "min_confidence": 0.6},
-        "patterns": {"max_active": 12, "min_yield": 3, "max_overlap": 0.9, "max_fanout": 50, "max_length": 3, "static": [list(p) + [w] for p, w in STATIC_PATTERNS]},
+        "patterns": {"max_active": 12, "min_yield": 3, "max_overlap": 0.9, "max_fanout": 50, "max_length": 3, "every_hours": 24, "static": [list(p) + [w] for p, w in STATIC_PATTERNS]},
         "context": {"max_lines": 5, "min_confidence": 0.6, "min_mentions": 2, "exclude": ["related_to"]},
         "storage": {"half_life_days": 90},
         "resolution": {"method": "conversational", "assume": 0.8, "ask": 0.4, "pending_max_age_days": 30, "recency_days": 7, "cooccurrence_min": 2, "seeds": []},

@@ -1,18 +1,20 @@
 """From exchanges to mentions, triples and pairs.
 
-Exchanges are (exchange_id, text). Statistical recognition of names is pluggable: ``recognise`` maps exchanges to
-(exchange_id, pos, name, entity_type), found before what patterns find. There is none by default, as its results would
-depend on a model that is not part of this library.
+Exchanges are (exchange_id, text). Recognition of names is pluggable: ``recognise`` maps exchanges to
+(exchange_id, pos, name, entity_type), found before what patterns find. ``names.named_things`` goes by rules and ``lexicon`` by a list;
+a statistical one would depend on a model that is not part of this library.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import short_list
+from ..session import let_workers_import
 from . import text as tx
 
 MOST = 15
@@ -26,14 +28,65 @@ def exchange_texts(messages: DataFrame, least: int = 20, least_message: int = 10
     return joined.select("exchange_id", F.array_join(F.transform("m", lambda x: x["clean"]), "\n\n").alias("text")).filter(F.length("text") >= least)
 
 
+def matcher(names: list[str]) -> Callable[[str], list[int]]:
+    """Which of the (lower-case) names a lower-case text holds as parts, in one pass over the text where the automaton is there."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [i for i, n in enumerate(names) if n in text]
+    machine, by_name = ahocorasick.Automaton(), {}
+    for i, n in enumerate(names):
+        by_name.setdefault(n, []).append(i)
+    for n, own in by_name.items():
+        machine.add_word(n, own)
+    machine.make_automaton()
+
+    def run(text: str) -> list[int]:
+        found = {own[0]: own for _, own in machine.iter(text)}
+        return sorted(i for own in found.values() for i in own)
+
+    return run
+
+
+def holding(texts: DataFrame, text: str, known: DataFrame, most: int = 10_000) -> DataFrame:
+    """``texts`` joined with each row of ``known`` (name, ...) whose name is part of the text, whatever the case. ``known`` has up to ``most`` rows
+    and no empty name; where both have an ``agent_id``, only names of the text's agent count."""
+    rows = known.withColumn("__low", F.lower("name")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"this list is to have at most {most} rows")
+    short = F.broadcast(known.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], T.StructType([T.StructField("__n", T.IntegerType()), *known.schema.fields, T.StructField("__low", T.StringType())])).drop("__low"))
+    keyed = "agent_id" in known.columns and "agent_id" in texts.columns
+    lists: dict[str | None, list[tuple[int, str]]] = {}
+    for i, r in enumerate(rows):
+        lists.setdefault(r["agent_id"] if keyed else None, []).append((i, r["__low"]))
+    let_workers_import(texts.sparkSession)
+
+    def run(low: pa.Array, agent: pa.Array) -> pa.Array:
+        machines = {}
+        out = []
+        for x, a in zip(low.to_pylist(), agent.to_pylist()):
+            own = lists.get(a)
+            if x is None or own is None:
+                out.append([])
+                continue
+            if a not in machines:
+                machines[a] = matcher([n for _, n in own])
+            out.append([own[j][0] for j in machines[a](x)])
+        return pa.array(out, type=pa.list_(pa.int32()))
+
+    agent = F.col("agent_id") if keyed else F.lit(None).cast("string")
+    hits = F.arrow_udf(run, "array<int>")(F.lower(text), agent)
+    return texts.withColumn("__n", F.explode(hits)).join(short.drop("agent_id") if keyed else short, "__n").drop("__n")
+
+
 def lexicon(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A recogniser of listed names (name, entity_type) as whole words; the list is broadcast, and more than 10,000 names raise."""
 
     def recognise(texts: DataFrame) -> DataFrame:
-        short = short_list(names.select("name", "entity_type"))
-        at = F.locate(F.lower("name"), F.lower("text"))
-        hit = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\W+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(F.lower("name"), r"\W+", " "), F.lit(" ")))
-        return texts.join(short, hit).select("exchange_id", (at - (1 << 30)).alias("pos"), "name", "entity_type")
+        words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"\W+", " ")), F.lit(" "))
+        spaced = names.select(words("name").alias("name"), F.col("name").alias("shown"), "entity_type").filter(F.length("name") > 2)
+        hit = holding(texts.withColumn("__words", words("text")), "__words", spaced)
+        return hit.select("exchange_id", (F.locate(F.lower("shown"), F.lower("text")) - (1 << 30)).alias("pos"), F.col("shown").alias("name"), "entity_type")
 
     return recognise
 
@@ -52,8 +105,9 @@ def entities(texts: DataFrame, known: DataFrame | None = None, recognise: Callab
     order = Window.partitionBy("exchange_id").orderBy("pos")
     kept = once.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
     if known is not None:
-        short = short_list(known.select(F.col("canonical_name").alias("name"), "entity_type").filter(F.length("name") >= 3))
-        hits = texts.join(short, F.contains(F.lower("text"), F.lower("name"))).select("exchange_id", F.lower("name").alias("key"), F.lit(1 << 20).alias("pos"), "name", "entity_type")
+        own = [c for c in known.columns if c == "agent_id"]
+        short = known.select(F.col("canonical_name").alias("name"), "entity_type", *own).filter(F.length("name") >= 3)
+        hits = holding(texts, "text", short).select("exchange_id", F.lower("name").alias("key"), F.lit(1 << 20).alias("pos"), "name", "entity_type")
         new = hits.join(kept.select("exchange_id", "key"), ["exchange_id", "key"], "left_anti")
         new = new.groupBy("exchange_id", "key").agg(F.min(F.struct("pos", "name", "entity_type")).alias("e")).select("exchange_id", "key", "e.*")
         kept = kept.unionByName(new).withColumn("pos", F.row_number().over(Window.partitionBy("exchange_id").orderBy("pos", "name")))

@@ -95,7 +95,8 @@ def with_retries(call: Callable[[str], str], attempts: int = 3, wait: float = 2.
         for n in range(attempts):
             try:
                 return call(text)
-            except (TimeoutError, ConnectionError):
+            except (TimeoutError, ConnectionError) as e:
+                e.retries = n
                 if n == attempts - 1:
                     raise
                 sleep(wait * 2**n)
@@ -105,26 +106,27 @@ def with_retries(call: Callable[[str], str], attempts: int = 3, wait: float = 2.
 
 
 def answers(exchanges: DataFrame, call: Callable[[str], str]) -> DataFrame:
-    """(exchange_id, raw, error) of exchanges (exchange_id, user_text, agent_text): one call each, on the executors."""
+    """(exchange_id, raw, error, retries) of exchanges (exchange_id, user_text, agent_text): one call each, on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, user, agent in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    rows.append((key, call(prompt(user, agent)), None))
+                    rows.append((key, call(prompt(user, agent)), None, 0))
                 except Exception as e:  # noqa: BLE001 - what failed goes to the dead letters with its reason
-                    rows.append((key, None, f"{type(e).__name__}: {e}"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["exchange_id", "raw", "error"])
+                    rows.append((key, None, f"{type(e).__name__}: {e}", getattr(e, "retries", 0)))
+            types = (*[pa.string()] * 3, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["exchange_id", "raw", "error", "retries"])
 
     let_workers_import(exchanges.sparkSession)
-    return exchanges.select(F.col("exchange_id").cast("string"), "user_text", "agent_text").mapInArrow(run, "exchange_id string, raw string, error string")
+    return exchanges.select(F.col("exchange_id").cast("string"), "user_text", "agent_text").mapInArrow(run, "exchange_id string, raw string, error string, retries int")
 
 
 def dead_letters(exchanges: DataFrame, answered: DataFrame, as_of: str) -> DataFrame:
     """(exchange_id, date, failed_at, error, retries, preview) of the calls that failed."""
-    failed = answered.filter("error IS NOT NULL").select("exchange_id", "error")
-    return exchanges.join(failed, "exchange_id").select("exchange_id", "date", F.lit(as_of).cast("timestamp").alias("failed_at"), "error", F.lit(0).alias("retries"), F.substring("user_text", 1, PREVIEW).alias("preview"))
+    failed = answered.filter("error IS NOT NULL").select("exchange_id", "error", "retries")
+    return exchanges.join(failed, "exchange_id").select("exchange_id", "date", F.lit(as_of).cast("timestamp").alias("failed_at"), "error", "retries", F.substring("user_text", 1, PREVIEW).alias("preview"))
 
 
 def without(queue: DataFrame, done: DataFrame) -> DataFrame:
@@ -138,18 +140,21 @@ def queued(queue: DataFrame, per_run: int = 3, most: int = 50) -> DataFrame:
 
 def enrichment(relationships: DataFrame, tiers: DataFrame, threshold: float = 0.7, thresholds: Mapping[str, float] | None = None, boost: float = 0.1) -> DataFrame:
     """``relationships`` worth writing: confidence raised by ``boost``, at least the threshold, pending where an end is to be
-    resolved later. ``tiers`` is (mention, tier)."""
+    resolved later. ``tiers`` is (mention, tier), or (exchange_id, mention, tier) where relationships have an ``exchange_id``."""
     sure = F.least(F.col("confidence") + boost, F.lit(1.0))
     floor = F.lit(float(threshold))
     for p, v in sorted((thresholds or {}).items()):
         floor = F.when(F.col("predicate") == p, float(v)).otherwise(floor)
-    later = tiers.filter("tier = 'defer'").select("mention").distinct().withColumn("later", F.lit(True))
-    s, o = later.toDF("subject", "s_later"), later.toDF("object", "o_later")
+    keys = [c for c in ("exchange_id",) if c in tiers.columns]
+    later = tiers.filter("tier = 'defer'").select(*keys, "mention").distinct().withColumn("later", F.lit(True))
+    s, o = later.toDF(*keys, "subject", "s_later"), later.toDF(*keys, "object", "o_later")
     kept = relationships.withColumn("confidence", sure).filter(F.round("confidence", 9) >= floor)
-    return kept.join(s, "subject", "left").join(o, "object", "left").withColumn("pending", F.coalesce("s_later", "o_later", F.lit(False))).drop("s_later", "o_later").select(*relationships.columns, "pending")
+    out = kept.join(s, [*keys, "subject"], "left").join(o, [*keys, "object"], "left").withColumn("pending", F.coalesce("s_later", "o_later", F.lit(False)))
+    return out.drop("s_later", "o_later").select(*relationships.columns, "pending")
 
 
 def with_aliases(entities: DataFrame, found: DataFrame) -> DataFrame:
-    """``entities`` with the aliases of ``found`` (id, aliases) added."""
-    new = found.select("id", F.explode("aliases").alias("a")).groupBy("id").agg(F.array_sort(F.collect_set("a")).alias("more"))
-    return entities.join(new, "id", "left").withColumn("aliases", F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))).drop("more").select(*entities.columns)
+    """``entities`` with the aliases of ``found`` (id, aliases; and agent_id, where it has that) added."""
+    keys = [c for c in ("agent_id",) if c in found.columns]
+    new = found.select(*keys, "id", F.explode("aliases").alias("a")).groupBy(*keys, "id").agg(F.array_sort(F.collect_set("a")).alias("more"))
+    return entities.join(new, [*keys, "id"], "left").withColumn("aliases", F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))).drop("more").select(*entities.columns)

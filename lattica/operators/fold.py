@@ -50,6 +50,31 @@ def as_log(triples: DataFrame) -> DataFrame:
     return triples.withColumns({"seq": F.col("last_seq"), "ts": F.col("updated_at")}).drop("last_seq", "updated_at")
 
 
+def onto_triples(triples: DataFrame, log: DataFrame) -> DataFrame:
+    """The snapshot ``triples`` after the later writes of ``log``. Slots that it does not write to stay as they are, whatever upkeep has
+    made of them; the others are folded on from what stands in them."""
+    slot = ["agent_id", "subject", "predicate"]
+    new = log.withColumns({"first_seq": F.col("seq"), "created_at": F.col("ts")})
+    touched = log.select("agent_id", entity_id(F.col("subject")).alias("subject"), "predicate").distinct()
+    there = as_log(triples.join(touched, slot, "left_semi")).select(*new.columns)
+    folded = fold_triples(there.unionByName(new))
+    return triples.join(touched, slot, "left_anti").unionByName(folded.select(*triples.columns))
+
+
+def onto_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """The registry ``entities`` after later mentions, folded in ``new``: names, types and aliases stay, mentions add up."""
+    both = entities.withColumn("__late", F.lit(0)).unionByName(new.select(*entities.columns).withColumn("__late", F.lit(1)))
+    first = lambda c: F.min_by(c, "__late").alias(c)
+    return both.groupBy("agent_id", "id").agg(
+        first("canonical_name"), first("entity_type"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("mention_count").alias("mention_count"), first("aliases")
+    ).select(*entities.columns)
+
+
+def onto_cooccurrences(pairs: DataFrame, new: DataFrame) -> DataFrame:
+    both = pairs.unionByName(new.select(*pairs.columns))
+    return both.groupBy("agent_id", "entity_a", "entity_b").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen")).select(*pairs.columns)
+
+
 def fold_entities(mentions: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """The registry: name and type of the first mention, times of first and last, number of mentions."""
     rows = mentions.withColumn("id", entity_id(F.col("name")))
@@ -63,7 +88,7 @@ def fold_entities(mentions: DataFrame, extra_keys: tuple[str, ...] = ()) -> Data
 def pairs_of(mentions: DataFrame) -> DataFrame:
     """(agent_id, exchange_id, entity_a, entity_b, ts): each pair of different entities of an exchange, once.
 
-    The pairs of an exchange are its result (at most 15 entities are kept of one), so the join is on the exchange.
+    The pairs of an exchange are its result (at most 15 names are kept of one, and of the known names those of the 200 newest), so the join is on the exchange.
     """
     own = mentions.select("agent_id", "exchange_id", entity_id(F.col("name")).alias("id"), "ts").groupBy("agent_id", "exchange_id", "id").agg(F.max("ts").alias("ts"))
     a, b = own.withColumnRenamed("id", "entity_a"), own.withColumnsRenamed({"id": "entity_b", "ts": "ts_b"})

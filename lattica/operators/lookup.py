@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import entity_id
@@ -81,6 +81,12 @@ def recent_entities(entities: DataFrame, agent: str, limit: int = 200) -> DataFr
     return entities.filter(F.col("agent_id") == agent).orderBy(F.desc("last_seen"), "id").limit(limit)
 
 
+def recent_by_agent(entities: DataFrame, limit: int = 200) -> DataFrame:
+    """The ``limit`` newest entities of each agent."""
+    order = Window.partitionBy("agent_id").orderBy(F.desc("last_seen"), "id")
+    return entities.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= limit).drop("__rank")
+
+
 def predicate_stats(triples: DataFrame, agent: str) -> DataFrame:
     own = triples.filter(F.col("agent_id") == agent)
     return own.groupBy("predicate").agg(

@@ -6,33 +6,39 @@ batch reads one snapshot of the registry.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import entity_id, stripped
+from ..session import short_list
 from . import lookup
 from .maintenance import days_between, moment
 
 
-def candidates(mentions: DataFrame, entities: DataFrame, agent: str, prefix_limit: int = 10, recent: int = 200) -> DataFrame:
-    """(mention_id, mention, id, canonical_name, entity_type, mention_count, last_seen) of what a mention may be.
+def candidates(mentions: DataFrame, entities: DataFrame, agent: str | None, prefix_limit: int = 10, recent: int = 200) -> DataFrame:
+    """(mention_id, mention, id, canonical_name, entity_type, mention_count, last_seen) of what a mention may be. Without an ``agent``
+    mentions have an ``agent_id`` each, as the result then has, and meet the registry of that agent.
 
     Names with the mention's first 60 % (three letters at least) as prefix, and of the ``recent`` newest entities those whose name or alias holds
     the mention or is held by it. The prefix search joins on the first letters, not on a comparison of all pairs.
     """
-    own = entities.filter(F.col("agent_id") == agent)
+    keys = [] if agent is not None else ["agent_id"]
+    own = entities if agent is None else entities.filter(F.col("agent_id") == agent)
     m = mentions.withColumn("low", stripped(F.lower("mention")))
     m = m.withColumn("prefix", F.substring("low", F.lit(1), F.greatest(F.lit(3), F.ceil(F.length("low") * 0.6).cast("int"))))
     m = m.withColumn("key", F.substring("prefix", 1, 3))
     info = ["id", "canonical_name", "entity_type", "mention_count", "last_seen"]
     keyed = own.withColumn("lname", F.lower("canonical_name"))
     keyed = keyed.withColumn("key", F.explode(F.array_distinct(F.array(*[F.substring("lname", 1, n) for n in (1, 2, 3)])))).filter(F.length("key") > 0)
-    hits = m.join(keyed, "key").filter(F.col("lname").startswith(F.col("prefix"))).select("mention_id", "mention", *info).distinct()
+    hits = m.join(keyed, [*keys, "key"]).filter(F.col("lname").startswith(F.col("prefix"))).select(*keys, "mention_id", "mention", *info).distinct()
     order = Window.partitionBy("mention_id").orderBy("canonical_name", "id")
     hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= prefix_limit).drop("rank")
-    newest = F.broadcast(lookup.recent_entities(entities, agent, recent))  # at most ``recent`` rows
+    newest = F.broadcast(lookup.recent_entities(entities, agent, recent)) if agent is not None else short_list(lookup.recent_by_agent(entities, recent))  # at most ``recent`` rows an agent
     meets = lambda x: F.contains(x, F.col("low")) | F.contains(F.col("low"), x)
-    held = m.join(newest, meets(F.lower("canonical_name")) | F.exists("aliases", lambda a: meets(F.lower(a)))).select("mention_id", "mention", *info)
+    met = meets(F.lower("canonical_name")) | F.exists("aliases", lambda a: meets(F.lower(a)))
+    held = (m.join(newest, met) if agent is not None else m.join(newest, "agent_id").filter(met)).select(*keys, "mention_id", "mention", *info)
     return hits.unionByName(held).dropDuplicates(["mention_id", "id"])
 
 
@@ -73,14 +79,16 @@ def recency(days) -> F.Column:
     return F.when(days < 7, "recent").when(days < 30, F.concat(days.cast("string"), F.lit("d ago"))).otherwise("not seen recently")
 
 
-def tiers(mentions: DataFrame, scored: DataFrame, entities: DataFrame, assume: float = 0.8, ask: float = 0.4, recency_days: int = 7) -> DataFrame:
-    """(mention_id, mention, tier, confidence, id, options): exact, new, assume, ask or defer.
+def tiers(mentions: DataFrame, scored: DataFrame, entities: DataFrame, assume: float = 0.8, ask: float = 0.4, recency_days: int = 7, by_agent: bool = False) -> DataFrame:
+    """(mention_id, mention, tier, confidence, id, options): exact, new, assume, ask or defer. ``by_agent``: mentions have an ``agent_id``.
 
     ``options``: up to three candidates of an ``ask``, best first; candidates of one score are in order of id.
     """
     m = mentions.withColumn("own", entity_id(F.col("mention")))
-    exact = m.join(entities.select(F.col("id").alias("own")).distinct(), "own", "left_semi")
-    open_ = m.join(entities.select(F.col("id").alias("own")).distinct(), "own", "left_anti").drop("own")
+    keys = ["agent_id"] * by_agent
+    known = entities.select(*keys, F.col("id").alias("own")).distinct()
+    exact = m.join(known, [*keys, "own"], "left_semi")
+    open_ = m.join(known, [*keys, "own"], "left_anti").drop("own")
     one = F.struct((-F.round("score", 9)).alias("k"), "id", "canonical_name", "entity_type", "mention_count", "days", "score")
     best = scored.groupBy("mention_id").agg(F.array_sort(F.collect_list(one)).alias("c"))  # bounded by the candidates of a mention
     j = open_.join(best, "mention_id", "left")
@@ -96,8 +104,26 @@ def tiers(mentions: DataFrame, scored: DataFrame, entities: DataFrame, assume: f
         "mention_id", "mention", "tier", "confidence", F.when(F.col("tier").isin("assume", "defer"), first["id"]).alias("id"),
         F.when(asked, F.slice("c", 1, 3)).alias("options"),
     )
-    known = exact.select("mention_id", "mention", F.lit("exact").alias("tier"), F.lit(1.0).alias("confidence"), F.col("own").alias("id"))
-    return out.unionByName(known, allowMissingColumns=True)
+    sure = exact.select("mention_id", "mention", F.lit("exact").alias("tier"), F.lit(1.0).alias("confidence"), F.col("own").alias("id"))
+    return out.unionByName(sure, allowMissingColumns=True)
+
+
+def resolved_tiers(mentions: DataFrame, contexts: DataFrame, entities: DataFrame, pairs: DataFrame, as_of: str, config: Mapping) -> DataFrame:
+    """``tiers`` of mentions (agent_id, mention_id, mention), each by the registry of its agent."""
+    found = candidates(mentions, entities, None)
+    scored = scores(found, contexts, pairs, as_of, config["recency_days"], config["cooccurrence_min"])
+    return tiers(mentions, scored, entities, config["assume"], config["ask"], config["recency_days"], by_agent=True)
+
+
+def resolved_names(named: DataFrame, contexts: DataFrame, entities: DataFrame, pairs: DataFrame, as_of: str, config: Mapping) -> DataFrame:
+    """(agent_id, exchange_id, name, canonical_name) of the names (agent_id, exchange_id, name) that are exact or assumed. ``contexts``: the names
+    (agent_id, exchange_id, context) of the same exchanges."""
+    key = F.concat_ws("\u0001", "agent_id", "exchange_id", "name")
+    mentions = named.select("agent_id", "exchange_id", key.alias("mention_id"), F.col("name").alias("mention"))
+    around = mentions.join(contexts, ["agent_id", "exchange_id"]).select("mention_id", "context")
+    found = resolved_tiers(mentions.drop("exchange_id"), around, entities, pairs, as_of, config).filter(F.col("tier").isin("exact", "assume"))
+    chosen = mentions.join(found.select("mention_id", "id"), "mention_id").join(entities.select("agent_id", "id", "canonical_name"), ["agent_id", "id"])
+    return chosen.select("agent_id", "exchange_id", F.col("mention").alias("name"), "canonical_name")
 
 
 def notes(resolved: DataFrame) -> DataFrame:

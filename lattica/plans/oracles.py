@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import text_oracles
+
 AS_OF = "2024-01-31 00:00:00"
 SEEDS = ("user_3", "user_8")
 
@@ -391,18 +393,20 @@ SQL["strip_context"] = r"""
 SELECT k, out FROM (VALUES ('a', 'Hello'), ('b', ''), ('c', 'Before'), ('d', 'x [OTHER] y')) t(k, out)
 UNION ALL SELECT 'd' || doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) FROM documents
 """
-SQL["strip_markdown"] = """
-SELECT * FROM (VALUES ('**Name**', 'Name'), ('*Name*', 'Name'), ('[Name](url)', 'Name'), ('- [ ] Name', 'Name'), ('- [X] Name', 'Name'), ('- Name', 'Name'), ('• Name', 'Name'), ('| Name', 'Name'), ('Name |', 'Name'),
-  ('Name**', 'Name'), ('`Name`', 'Name'), ('a_b_c', 'abc'), ('plain name', 'plain name')) t(name, out)
-"""
-SQL["valid_entity_name"] = """
-SELECT * FROM (VALUES ('AI', true), ('Dan Brown', true), ('a', false), ('42', false), ('the team', false), ('Daniel + Markus', false), ('notes.pdf', false), ('shop.de', true), ('x=1', false), ('one two three four five', false),
-  ('Ab', false), ('abc', false), ('abcd', false), ('abcdef', true), ('(x', false), ('a_b_c_d_e_f', true), ('beim Arzt', false), ('Skip this', false), ('Function', false), ('Rust', true)) t(name, valid)
-"""
 SQL["cooccurrence_pairs"] = _with("SELECT exch AS exchange_id, a.id AS name_a, b.id AS name_b FROM inex a JOIN inex b USING (exch) WHERE a.id < b.id")
-SQL["enrichment_filter"] = """
-SELECT * FROM (VALUES ('Ann', 'knows', 'Bob', 0.9::DOUBLE, false), ('Ann', 'uses', 'Rust', 0.7::DOUBLE, true), ('Bob', 'likes', 'Tea', 1.0::DOUBLE, false)) t(subject, predicate, object, confidence, pending)
-"""
+SQL["enrichment_filter"] = _with(
+    """SELECT subject, predicate, object, round(confidence, 6) AS confidence, pending FROM (
+      SELECT t.subject, t.predicate, t.object, least(t.confidence + 0.1, 1.0) AS confidence, s.mention_count % 3 = 0 OR coalesce(o.mention_count % 3 = 0, false) AS pending
+      FROM triples t JOIN entities s ON s.id = t.subject LEFT JOIN entities o ON o.id = t.object)
+    WHERE round(confidence, 9) >= CASE predicate WHEN 'uses' THEN 0.9 WHEN 'knows' THEN 0.75 ELSE 0.7 END"""
+)
+# What a model says of suppliers: named, typed and related in ways that answers are, some malformed.
 SQL["parse_model_response"] = """
-SELECT * FROM (VALUES (1, 'entity', 'Ann', 'PERSON', NULL, NULL::DOUBLE), (1, 'entity', 'Berlin', 'PLACE', NULL, NULL), (1, 'relation', 'Ann', 'has_property', 'Berlin', 1.0), (1, 'relation', 'Bob', 'knows', 'Ann', 0.8)) t(n, part, a, b, c, d)
+WITH s AS (
+  SELECT s_suppkey AS n, s_name, n_name, s_suppkey % 4 AS form, s_suppkey % 7 AS kind, (s_suppkey % 13) / 10.0 AS sure FROM supplier JOIN nation ON s_nationkey = n_nationkey
+)
+SELECT n, 'entity' AS part, s_name AS a, CASE kind WHEN 0 THEN 'ORGANIZATION' WHEN 1 THEN 'PLACE' WHEN 2 THEN 'EVENT' WHEN 3 THEN 'THING' ELSE 'CONCEPT' END AS b, NULL AS c, NULL::DOUBLE AS d FROM s WHERE form < 3
+UNION ALL SELECT n, 'entity', n_name, 'PLACE', NULL, NULL FROM s WHERE form < 3
+UNION ALL SELECT n, 'relation', s_name, CASE WHEN kind % 2 = 0 THEN 'knows' ELSE 'has_property' END, n_name, CASE WHEN form = 1 THEN 0.8 ELSE least(sure, 1.0) END FROM s WHERE form < 3
 """
+SQL.update(text_oracles.SQL)

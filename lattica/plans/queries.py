@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STATIC_PATTERNS
-from ..functions import extract, model
+from ..functions import extract, model, names
 from ..functions import text as tx
 from ..functions.ids import entity_id
 from ..operators import context, fold, lookup, maintenance, mining, resolve, traverse
@@ -57,9 +57,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---- storage and lookups ----
-on_graph("triple_fold")(lambda g: shown(g.triples, "agent_id", _stamp("created_at"), "first_seq", "last_seq"))
-on_graph("entity_registry")(lambda g: g.entities.select("agent_id", "id", "canonical_name", "entity_type", _stamp("first_seen"), _stamp("last_seen"), "mention_count"))
-on_graph("cooccurrence_counts")(lambda g: g.cooccurrences.select("entity_a", "entity_b", "count", _stamp("last_seen")))
+on_graph("triple_fold")(lambda g: shown(g.folded("triples"), "agent_id", _stamp("created_at"), "first_seq", "last_seq"))
+on_graph("entity_registry")(lambda g: g.folded("entities").select("agent_id", "id", "canonical_name", "entity_type", _stamp("first_seen"), _stamp("last_seen"), "mention_count"))
+on_graph("cooccurrence_counts")(lambda g: g.folded("cooccurrences").select("entity_a", "entity_b", "count", _stamp("last_seen")))
 on_graph("entity_lookup")(lambda g: lookup.entity(g.entities, "user_8").select("id", "canonical_name", "entity_type", "mention_count"))
 on_graph("entity_prefix")(lambda g: lookup.entities_by_prefix(g.entities, "uSer 1", AGENT).select("id", "canonical_name"))
 on_graph("triples_for_entity")(lambda g: shown(lookup.triples_for(g.triples, "User 8", AGENT)))
@@ -270,8 +270,8 @@ def _gazetteer(g):
     turns = table(g.spark, g.sf_dir, "conversations").select(F.concat_ws("_", F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("turn").cast("string")), "text")
     e = table(g.spark, g.sf_dir, "events")
     said = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")), F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" saw ITEM "), F.get_json_object("props", "$.k")))
-    known = lookup.recent_entities(g.entities, AGENT, 200).filter(F.length("canonical_name") >= 3).select("canonical_name", "entity_type")  # at most 200 rows
-    return docs.union(turns).union(said).join(F.broadcast(known), F.contains(F.lower("text"), F.lower("canonical_name"))).select("k", "canonical_name", "entity_type")
+    known = lookup.recent_entities(g.entities, AGENT, 200).filter(F.length("canonical_name") >= 3).select(F.col("canonical_name").alias("name"), "entity_type")
+    return extract.holding(docs.union(turns).union(said), "text", known).select("k", F.col("name").alias("canonical_name"), "entity_type")
 
 
 @query("strip_context")
@@ -281,16 +281,20 @@ def _strip_context(spark, sf_dir):
     return spark.createDataFrame(rows, "k string, text string").union(docs).select("k", tx.strip_context(F.col("text")).alias("out"))
 
 
-@query("strip_markdown")
-def _strip_markdown(spark, sf_dir):
-    names = ["**Name**", "*Name*", "[Name](url)", "- [ ] Name", "- [X] Name", "- Name", "• Name", "| Name", "Name |", "Name**", "`Name`", "a_b_c", "plain name"]
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", tx.strip_markdown(F.col("name")).alias("out"))
+def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as people and models write them: marked up, plain, and single words of texts."""
+    n, k = F.col("p_name"), F.col("p_partkey")
+    forms = [
+        F.concat(F.lit("**"), n, F.lit("**")), F.concat(F.lit("*"), n, F.lit("*")), F.concat(F.lit("["), n, F.lit("](https://part.example/"), k.cast("string"), F.lit(")")), F.concat(F.lit("- [ ] "), n),
+        F.concat(F.lit("- [X] "), n), F.concat(F.lit("• "), n), F.concat(F.lit("| "), n, F.lit(" |")), F.concat(F.lit("`"), n, F.lit("`")), F.replace(n, F.lit(" "), F.lit("_")),
+    ]
+    marked = table(spark, sf_dir, "part").select(F.element_at(F.array(*forms), (k % 9 + 1).cast("int")).alias("name"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("name"))
+    return marked.union(table(spark, sf_dir, "customer").select("c_name")).union(words).distinct()
 
 
-@query("valid_entity_name")
-def _valid(spark, sf_dir):
-    names = "AI|Dan Brown|a|42|the team|Daniel + Markus|notes.pdf|shop.de|x=1|one two three four five|Ab|abc|abcd|abcdef|(x|a_b_c_d_e_f|beim Arzt|Skip this|Function|Rust".split("|")
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", tx.valid_entity_name(F.col("name")).alias("valid"))
+query("strip_markdown")(lambda spark, d: _decorated(spark, d).select("name", tx.strip_markdown(F.col("name")).alias("out")))
+query("valid_entity_name")(lambda spark, d: _decorated(spark, d).select("name", tx.valid_entity_name(F.col("name")).alias("valid")))
 
 
 @on_graph("cooccurrence_pairs")
@@ -299,43 +303,55 @@ def _pairs(g):
     return pairs.select("exchange_id", F.col("entity_a").alias("name_a"), F.col("entity_b").alias("name_b"))
 
 
-def _conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter("role <> 'system'")
-    return extract.exchange_texts(c.select(F.col("conv_id").cast("string").alias("exchange_id"), F.col("turn").alias("pos"), F.col("text").alias("content")))
+def _exchange_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, and what was said about each part: with people, places, organisations, dates and addresses."""
+    c = table(spark, sf_dir, "conversations").filter("role <> 'system'").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("exchange_id"), F.col("turn").alias("pos"), F.col("text").alias("content"))
+    k, name = F.col("p_partkey").cast("string"), F.initcap("p_name")
+    asked = F.concat(F.lit("Ask @part_"), k, F.lit(" and Prof. "), name, F.lit(" in Port "), F.initcap(F.element_at(F.split("p_name", " "), -1)), F.lit(" about it on 2024-01-"), F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0"), F.lit("."))
+    told = F.concat(name, F.lit(" Labs uses Engine"), k, F.lit(", see https://part.example/"), k, F.lit(" or mail p"), k, F.lit("@part.example; If Anna works on "), name, F.lit(" for both."))
+    sides = F.posexplode(F.array(asked, told)).alias("pos", "content")
+    return extract.exchange_texts(c.unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("exchange_id"), sides)))
 
 
 @query("extract_relationships")
 def _relationships(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("exchange_id"), "text")
-    rows = [("l1", "If Ann created Rust tools in Berlin, and Bob likes tea."), ("l2", "Cara works on Engine for both; Dan lives in Oslo because of it")]
-    return tx.relationships(docs.union(spark.createDataFrame(rows, "exchange_id string, text string")))
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "text")
+    where = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("s_suppkey").cast("string")
+    told = F.concat("s_name", F.lit(" lives in "), "n_name", F.lit(" and it knows "), "r_name", F.lit("; so it works on Order "), key, F.lit(" for both."))
+    return tx.relationships(docs.union(turns).union(where.select(F.concat(F.lit("s"), key), told)))
 
 
 @query("exchange_extraction")
 def _extraction(spark, sf_dir):
-    found, triples, pairs = extract.extract(_conversation_texts(spark, sf_dir))
+    found, triples, pairs = extract.extract(_exchange_texts(spark, sf_dir), recognise=names.named_things)
     a = found.select("exchange_id", F.lit("entity").alias("part"), F.col("name").alias("a"), F.col("entity_type").alias("b"), F.lit(None).cast("string").alias("c"))
     b = triples.select("exchange_id", F.lit("triple").alias("part"), "subject", "predicate", "object")
     return a.union(b).union(pairs.select("exchange_id", F.lit("pair"), "name_a", "name_b", F.lit(None).cast("string")))
 
 
-ANSWER = """Here: ```json
-{"entities": [{"id": "Ann", "type": "Person", "aliases": ["A"]}, {"name": "Berlin", "type": "location"}, {"name": "x"},],
- "relationships": [{"source": "Ann", "predicate": "zzz", "target": "Berlin", "confidence": 3}, {"from": "Bob", "predicate": "knows", "to": "Ann"}, {"subject": "Ann", "predicate": "knows", "object": "ann"}]}
-```"""
-
-
 @query("parse_model_response")
 def _parse(spark, sf_dir):
-    rows = spark.createDataFrame([(1, ANSWER), (2, "no answer at all"), (3, None)], "n int, raw string").withColumn("p", model.parsed(F.col("raw")))
+    """Answers about suppliers: fenced, with trailing commas, in single quotes, or none."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    n, kind = F.col("s_suppkey"), F.col("s_suppkey") % 7
+    said = F.element_at(F.array(*[F.lit(x) for x in ("Organization", "location", "activity", "object", "idea", "CONCEPT", "")]), (kind + 1).cast("int"))
+    verb = F.when(kind % 2 == 0, "knows").otherwise("zzz")
+    sure = F.when(n % 4 == 1, '"high"').otherwise(((n % 13) / 10.0).cast("string"))
+    body = F.concat(
+        F.lit('{"entities": [{"id": "'), "s_name", F.lit('", "type": "'), said, F.lit('", "aliases": ["S"]}, {"name": "'), "n_name", F.lit('", "type": "PLACE"}, {"name": "x"},], "relationships": [{"source": "'), "s_name",
+        F.lit('", "predicate": "'), verb, F.lit('", "to": "'), "n_name", F.lit('", "confidence": '), sure, F.lit('}, {"subject": "'), "n_name", F.lit('", "predicate": "knows", "object": "'), F.lower("n_name"), F.lit('"}]}'),
+    )
+    raw = F.when(n % 4 == 0, F.concat(F.lit("Here: ```json\n"), body, F.lit("\n```"))).when(n % 4 == 1, body).when(n % 4 == 2, F.concat(F.lit("Sure. "), F.replace(body, F.lit('"'), F.lit("'")))).otherwise("no answer at all")
+    rows = s.select(n.alias("n"), raw.alias("raw")).withColumn("p", model.parsed(F.col("raw")))
     none = F.lit(None).cast("string").alias("c")
     a = rows.select("n", F.explode("p.entities").alias("x")).select("n", F.lit("entity").alias("part"), F.col("x.name").alias("a"), F.col("x.type").alias("b"), none, F.lit(None).cast("double").alias("d"))
     return a.union(rows.select("n", F.explode("p.relationships").alias("x")).select("n", F.lit("relation"), "x.subject", "x.predicate", "x.object", "x.confidence"))
 
 
-@query("enrichment_filter")
-def _enrichment(spark, sf_dir):
-    rows = [("Ann", "knows", "Bob", 0.8), ("Ann", "uses", "Rust", 0.6), ("Bob", "likes", "Tea", 0.95), ("Bob", "fears", "Rain", 0.55)]
-    found = spark.createDataFrame(rows, "subject string, predicate string, object string, confidence double")
-    tiers = spark.createDataFrame([("Rust", "defer"), ("Ann", "exact")], "mention string, tier string")
-    return model.enrichment(found, tiers).withColumn("confidence", F.round("confidence", 6))
+@on_graph("enrichment_filter")
+def _enrichment(g):
+    found = g.triples.select("subject", "predicate", "object", "confidence").join(g.entities.select(F.col("id").alias("subject")), "subject").select("subject", "predicate", "object", "confidence")
+    tiers = g.entities.select(F.col("id").alias("mention"), F.when(F.col("mention_count") % 3 == 0, "defer").otherwise("exact").alias("tier"))
+    return model.enrichment(found, tiers, thresholds={"uses": 0.9, "knows": 0.75}).withColumn("confidence", F.round("confidence", 6))

@@ -39,6 +39,11 @@ def pair_exchanges(messages: DataFrame, key: str = "date", order: str = "pos") -
     return numbered.groupBy(key, "exchange_no").agg(side("user").alias("user_text"), side("agent").alias("agent_text"))
 
 
+def moment_of(date: Column, number: Column) -> Column:
+    """When an exchange of a day is taken to be: its number in seconds after midnight, so that exchanges of a day keep their order and spread over its minutes."""
+    return F.to_timestamp(date) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), number.cast("decimal(18,6)"))
+
+
 def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

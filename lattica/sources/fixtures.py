@@ -1,11 +1,12 @@
 """A knowledge graph derived from the ``events`` table, for queries, benchmarks and tests.
 
 Every event is one statement about its user; a static part says which items and projects belong where. Arrival order
-is the event id. All names are written with a space (``User 8``), so ids come from normalisation (``user_8``).
+is the event id. As in a store, logs are folded once a session and queries read the written snapshots. All names are written with a space (``User 8``), so ids come from normalisation (``user_8``).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fold
+from ..session import shared_dir
 
 AGENT = "main"
 KINDS = {"User": "PERSON", "Item": "THING", "Project": "CONCEPT", "Category": "CONCEPT", "Topic": "CONCEPT"}
@@ -62,9 +64,13 @@ def mention_log(log: DataFrame) -> DataFrame:
     return both.select("agent_id", "seq", "ts", "name", kind.alias("entity_type"), "exchange_id")
 
 
+#: Paths of the snapshots written in this process, by application, source and name.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 @dataclass(frozen=True)
 class Graph:
-    """Snapshots derived from the logs; each is planned when first asked for."""
+    """Logs, their folds as plans, and the snapshots that queries read."""
 
     spark: SparkSession
     sf_dir: str
@@ -77,14 +83,29 @@ class Graph:
     def mentions(self) -> DataFrame:
         return mention_log(self.log)
 
+    def folded(self, name: str) -> DataFrame:
+        if name == "triples":
+            return fold.fold_triples(self.log)
+        if name == "entities":
+            return fold.fold_entities(self.mentions)
+        return fold.fold_cooccurrences(fold.pairs_of(self.mentions.filter("exchange_id IS NOT NULL")))
+
+    def _snapshot(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            path = f"{shared_dir(self.spark)}/graph-{uuid.uuid4().hex}/{name}"
+            self.folded(name).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
     @cached_property
     def triples(self) -> DataFrame:
-        return fold.fold_triples(self.log)
+        return self._snapshot("triples")
 
     @cached_property
     def entities(self) -> DataFrame:
-        return fold.fold_entities(self.mentions)
+        return self._snapshot("entities")
 
     @cached_property
     def cooccurrences(self) -> DataFrame:
-        return fold.fold_cooccurrences(fold.pairs_of(self.mentions.filter("exchange_id IS NOT NULL")))
+        return self._snapshot("cooccurrences")

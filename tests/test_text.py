@@ -147,3 +147,127 @@ def test_stream(spark, tmp_path):
 def test_schemas_are_read_back(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "g"))
     assert store.read("triples").schema == schema.TRIPLES and store.read_log("triple_log").schema == schema.TRIPLE_LOG
+
+
+def exchange(i, agent, user, day=1):
+    return (f"e{agent}{i}", agent, f"2024-01-{day:02d} 10:00:{i:02d}", user, None)
+
+
+def exchanges(spark, rows):
+    return spark.createDataFrame(rows, "exchange_id string, agent_id string, ts string, user_text string, agent_text string").withColumn("ts", F.to_timestamp("ts"))
+
+
+def held(engine, agent="main"):
+    return {(r.subject, r.predicate, r.object): r for r in engine.store.read("triples").filter(F.col("agent_id") == agent).collect()}
+
+
+def test_upkeep_outlives_the_next_batches(spark, tmp_path):
+    engine = GraphEngine(spark, str(tmp_path / "graph"), {"extraction": {"predicate_ttl_days": {"created": 7}}})
+    first = [exchange(1, "main", "Cora uses Rust. Ask @cora_k and @corinna_b about it"), exchange(2, "main", "Dan created Engine. Ask @daniel_w about it"), exchange(3, "main", "Dan works on Fenrir. Ask @daniel_w about it")]
+    ingest.ingest_batch(engine.store, exchanges(spark, first), 1)
+    engine.decay(as_of="2025-01-01 00:00:00")
+    engine.cleanup_expired_triples(as_of="2024-03-01 00:00:00")
+    engine.merge_entities("cora_k", "corinna_b", as_of="2024-03-01 00:00:00")
+    engine.store.write("triples", engine.store.read("triples").withColumn("pending", F.lit(False)))
+    before = engine.store.state()
+    ingest.ingest_batch(engine.store, exchanges(spark, [exchange(4, "main", "Eve uses Python. Ask @eve_q about it", 9)]), 2)
+    now = held(engine)
+    assert now["cora", "uses", "rust"].confidence == 0.35 and ("dan", "created", "engine") not in now and now["dan", "works_on", "fenrir"].confidence == 0.35
+    assert now["eve", "uses", "python"].confidence == 0.7
+    people = {r.id: r for r in engine.store.read("entities").collect()}
+    assert people["cora_k"].aliases == ["corinna_b"] and people["cora_k"].mention_count == 2 and "corinna_b" not in people and people["daniel_w"].mention_count == 2
+    # A write to a decayed slot goes on from what stands there.
+    ingest.ingest_batch(engine.store, exchanges(spark, [exchange(5, "main", "Cora uses Rust. Ask @cora_k about it", 10)]), 3)
+    assert held(engine)["cora", "uses", "rust"].confidence == 0.7 and held(engine)["cora", "uses", "rust"].source_exchange_id == "emain1"
+    # The last batch runs again onto the state before it; an older one, which other changes followed, is left as it is.
+    ingest.ingest_batch(engine.store, exchanges(spark, [exchange(5, "main", "Cora uses Rust. Ask @cora_k about it", 10)]), 3)
+    assert {r.id: r.mention_count for r in engine.store.read("entities").collect()}["cora_k"] == 3
+    ingest.ingest_batch(engine.store, exchanges(spark, first), 1)
+    assert held(engine).keys() == {("cora", "uses", "rust"), ("dan", "works_on", "fenrir"), ("eve", "uses", "python")}
+    assert engine.store.state().seq > before.seq and engine.store.state().applied == [[1, 3]]
+
+
+def test_a_batch_reads_no_older_log(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    ingest.ingest_batch(store, exchanges(spark, [exchange(1, "main", "Cora uses Rust. Ask @cora_k about it")]), 1)
+    for name in ("triple_log", "mention_log"):
+        path, fs = store._files()
+        fs.delete(path(f"{store.root}/{name}/batch=1"), True)
+    ingest.ingest_batch(store, exchanges(spark, [exchange(2, "main", "Dan knows Eve. Ask @cora_k about it", 2)]), 2)
+    assert store.read("triples").count() == 2 and store.read("entities").first().mention_count == 2
+
+
+def test_agents_are_reset_and_rebuilt_alone(spark, archives, tmp_path):
+    engine = GraphEngine(spark, str(tmp_path / "graph"))
+    none = spark.createDataFrame([], "date string")
+    engine.backfill(archives, none, batch=1)
+    engine.backfill(archives, none, batch=2, agent="helper")
+    both = {r.agent_id: (r.triples, r.entities) for r in engine.list_agents().collect()}
+    assert both == {"main": (2, 2), "helper": (2, 2)}
+    assert engine.reset("helper") == {"triples": 2, "entities": 2}
+    assert {r.agent_id for r in engine.list_agents().collect()} == {"main"} and engine.store.read("cooccurrences").count() == 1
+    assert engine.rebuild(archives, agent="helper").count() == 2
+    assert held(engine).keys() == held(engine, "helper").keys() == {("cora", "created", "rocket"), ("dan", "knows", "cora")}
+    answer = json.dumps({"entities": [{"name": "Cora", "type": "person"}], "relationships": [{"subject": "Cora", "predicate": "owns", "object": "Shop"}]})
+    engine.rebuild(archives, call=lambda _: answer, agent="helper")
+    assert held(engine, "helper").keys() == {("cora", "owns", "shop")} and len(held(engine)) == 2
+    queue = engine.enrichment_queue(archives, spark.createDataFrame([("2024-01-01",), ("2024-01-02",)], "date string"), limit=1)
+    assert [(r.exchange_id, r.date, "Engine" in r.user_text) for r in queue.collect()] == [("exchange_2024-01-01_0", "2024-01-01", True)]
+
+
+def test_live_names_become_those_of_the_registry(spark, tmp_path):
+    engine = GraphEngine(spark, str(tmp_path / "graph"))
+    engine.ingest(exchanges(spark, [exchange(i, a, "Ask @Cora_Kay about it, Dan knows her") for i in range(1, 4) for a in ("main", "other")]), 1)
+    engine.ingest(exchanges(spark, [exchange(5, "main", "Cora uses Rust. So ask @cora_kay about it", 2), exchange(5, "third", "Cora uses Rust. So ask @cora_x about it", 2)]), 2)
+    people = {(r.agent_id, r.id): (r.canonical_name, r.mention_count) for r in engine.store.read("entities").collect()}
+    assert people["main", "cora_kay"] == ("Cora_Kay", 4) and people["other", "cora_kay"][1] == 3
+    assert ("cora_kay", "uses", "rust") in held(engine) and ("cora", "uses", "rust") in held(engine, "third")
+
+
+def test_enrichment_boosts_filters_and_defers(spark, tmp_path):
+    engine = GraphEngine(spark, str(tmp_path / "graph"), {"extraction": {"predicate_thresholds": {"likes": 0.9}}})
+    ingest.ingest_batch(engine.store, exchanges(spark, [exchange(1, "main", "Ask @rustam_b about it, he is there", 1)]), 1)
+    answer = json.dumps(
+        {"entities": [{"name": "Ann", "type": "person", "aliases": ["Annie", "An"]}], "relationships": [{"subject": "Ann", "predicate": "uses", "object": "Rustam", "confidence": 0.6}, {"subject": "Ann", "predicate": "likes", "object": "Tea", "confidence": 0.7}]}
+    )
+    queue = spark.createDataFrame([("q1", "2024-02-05", "u", "a", 1)], "exchange_id string, date string, user_text string, agent_text string, queued_at int")
+    assert engine.enrich(queue, lambda _: answer, batch=2).count() == 0
+    [(key, row)] = held(engine).items()
+    # Seen 35 days before: found, but not sure enough.
+    assert key == ("ann", "uses", "rustam") and round(row.confidence, 6) == 0.7 and row.pending
+    assert {r.id: r.aliases for r in engine.store.read("entities").collect()}["ann"] == ["An", "Annie"]
+
+    def down(_):
+        raise ConnectionError("down")
+
+    letters = model.dead_letters(queue, model.answers(queue, model.with_retries(down, sleep=lambda s: None)), "2024-02-05 00:00:00")
+    assert [(r.retries, r.error) for r in letters.collect()] == [(2, "ConnectionError: down")]
+
+
+def test_nightly(spark, archives, tmp_path):
+    engine = GraphEngine(spark, str(tmp_path / "graph"))
+    none = spark.createDataFrame([], "date string")
+    queue = spark.createDataFrame([(f"q{i}", "2024-01-05", "u", "a", i) for i in range(4)], "exchange_id string, date string, user_text string, agent_text string, queued_at int")
+    answer = json.dumps({"entities": [], "relationships": [{"subject": "Cora", "predicate": "owns", "object": "Shop"}]})
+    out = engine.nightly(archives, none, 1, as_of="2024-01-06 00:00:00", days=1, queue=queue, call=lambda _: answer, discovered_at="2024-01-05 12:00:00")
+    assert out["more"] and "patterns" not in out and ("cora", "owns", "shop") in held(engine) and out["letters"].count() == 0
+    done = spark.createDataFrame([("2024-01-01",)], "date string")
+    out = engine.nightly(archives, done, 3, as_of="2024-01-07 00:00:00", discovered_at="2024-01-05 12:00:00")
+    assert not out["more"] and out["discovered_at"] == "2024-01-07 00:00:00" and [r.date for r in out["dates"].collect()] == ["2024-01-02"]
+
+
+def test_rules_find_names(spark):
+    from lattica.functions import names
+
+    rows = spark.createDataFrame([("1", "Prof. Ada Byron in New York met Acme Widget Labs. But Small things near Oslo; Élan Vital"), ("2", None)], "exchange_id string, text string")
+    got = [(r.name, r.entity_type) for r in extract.entities(rows, recognise=names.named_things).orderBy("pos").collect()]
+    assert got == [("Ada Byron", "PERSON"), ("New York", "PLACE"), ("Oslo", "PLACE"), ("Acme Widget Labs", "ORGANIZATION")]
+
+
+def test_holding_by_agent(spark):
+    texts = spark.createDataFrame([("1", "a", "Cora met DAN"), ("2", "b", "cora met dan"), ("3", "c", "cora"), ("4", "a", None)], "exchange_id string, agent_id string, text string")
+    known = spark.createDataFrame([("Cora", "a"), ("Dan", "b"), ("or", "a"), ("Cora", "b")], "name string, agent_id string")
+    got = sorted((r.exchange_id, r.name) for r in extract.holding(texts, "text", known).collect())
+    assert got == [("1", "Cora"), ("1", "or"), ("2", "Cora"), ("2", "Dan")]
+    with pytest.raises(ValueError):
+        extract.holding(texts, "text", known, most=3)
