@@ -6,8 +6,8 @@ rows; a cell is stored in blocks of bounded size, so a cell that holds a third o
 
 A query first meets the sample: its ``k``-th best product there is a floor, as whatever scores less is not among the ``k`` best. Cells are probed in order of their
 potential, the product with the centroid and ``LEAN`` standard deviations of what residuals add to it, which favours cells of long or scattered vectors as inner products do. How
-many are probed is measured when the index is built: as many as hold the share ``AIM`` of the true neighbours of sample rows within the sample. Cells whose bound is below the
-floor are left out.
+many are probed is measured when the index is built: as many as hold the share ``AIM`` of the true neighbours among sample rows that the centroids were not fitted on. Cells whose
+bound is below the floor are left out.
 
 In each block a table of the query's products with all codewords gives asymmetric scores by look-up. For a query without a floor the ``rerank`` best are scored exactly in double
 precision, which gives one; then so is every row whose score could reach it, given the error of its codes. So what the probed
@@ -30,9 +30,9 @@ EVERY = 20
 SAMPLE = 20_000
 #: Rows of a cell; the number of cells follows the number of rows, up to what the sample can fit.
 CELL_ROWS, FEWEST, MOST_CELLS = 128, 8, 1024
-AIM, LEAN = 0.94, 2.0
-#: Sample rows that ask in order to measure how many cells to probe.
-TRIALS = 512
+AIM, LEAN = 0.93, 2.0
+#: The share of the sample that is not fitted on, and the rows that ask in order to measure how many cells to probe.
+HELD, TRIALS = 0.25, 1024
 PARTS = 16
 CODES = 256
 RERANK = 40
@@ -67,12 +67,18 @@ def fit(sample: np.ndarray, cells: int = 64, parts: int = PARTS, codes: int = CO
     centres = k_means(sample, cells)
     # An empty cell would use up a probe.
     centres = centres[np.unique(nearest(sample, centres))]
-    own = nearest(sample, centres)
-    residual = sample - centres[own]
-    spread = np.sqrt(np.bincount(own, weights=(residual**2).sum(axis=1), minlength=len(centres)) / np.maximum(np.bincount(own, minlength=len(centres)), 1) / max(1, sample.shape[1]))
+    residual = sample - centres[nearest(sample, centres)]
     runs = np.array_split(np.arange(sample.shape[1]), min(parts, sample.shape[1]))
     books = [k_means(residual[:, r], codes, rounds=5) for r in runs]
-    return {"centres": centres, "spread": spread, "runs": runs, "books": books}
+    return {"centres": centres, "spread": spread(sample, centres), "runs": runs, "books": books}
+
+
+def spread(sample: np.ndarray, centres: np.ndarray, prior: float = 4.0) -> np.ndarray:
+    """The standard deviation of the residuals of each cell along a direction; ``prior`` rows of the whole stand in for what few rows cannot tell."""
+    own = nearest(sample, centres)
+    square = ((sample - centres[own]) ** 2).sum(axis=1) / max(1, sample.shape[1])
+    count = np.bincount(own, minlength=len(centres))
+    return np.sqrt((np.bincount(own, weights=square, minlength=len(centres)) + prior * square.mean()) / (count + prior))
 
 
 def potential(model: dict, q: np.ndarray) -> np.ndarray:
@@ -80,21 +86,19 @@ def potential(model: dict, q: np.ndarray) -> np.ndarray:
     return q @ model["centres"].T + LEAN * np.linalg.norm(q, axis=1)[:, None] * model["spread"][None, :]
 
 
-def probes_for(model: dict, sample: np.ndarray, k: int, aim: float = AIM) -> int:
-    """How many cells hold the share ``aim`` of the ``k`` nearest of sample rows within the sample."""
+def probes_for(model: dict, asking: np.ndarray, held: np.ndarray, near: int, aim: float = AIM) -> int:
+    """How many cells hold the share ``aim`` of the ``near`` nearest of ``held`` of each row of ``asking``, none of which is in ``held``."""
     cells = len(model["centres"])
-    if len(sample) <= k + 1 or cells == 1:
+    if len(held) < 50 or not len(asking) or cells == 1:
         return cells
-    own = nearest(sample, model["centres"])
+    own = nearest(held, model["centres"])
     places = []
-    for at in range(0, min(TRIALS, len(sample)), 128):
-        asked = sample[at : at + 128]
-        scores = asked @ sample.T
-        scores[np.arange(len(asked)), at + np.arange(len(asked))] = -np.inf
-        near = np.argpartition(-scores, k, axis=1)[:, :k]
-        rank = np.empty((len(asked), cells), dtype=np.int64)
-        np.put_along_axis(rank, np.argsort(-potential(model, asked), axis=1), np.broadcast_to(np.arange(cells), rank.shape), axis=1)
-        places.append(np.take_along_axis(rank, own[near], axis=1).ravel())
+    for at in range(0, len(asking), 128):
+        some = asking[at : at + 128]
+        top = np.argpartition(-(some @ held.T), near - 1, axis=1)[:, :near]
+        rank = np.empty((len(some), cells), dtype=np.int64)
+        np.put_along_axis(rank, np.argsort(-potential(model, some), axis=1), np.broadcast_to(np.arange(cells), rank.shape), axis=1)
+        places.append(np.take_along_axis(rank, own[top], axis=1).ravel())
     return int(np.ceil(np.quantile(np.concatenate(places), aim))) + 1
 
 
@@ -246,16 +250,20 @@ def build(rows: DataFrame, dims: int, k: int = K, sample: int = SAMPLE, cells: i
     # At most ``sample`` vectors, those with the smallest hash of their id, reach the driver.
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow().combine_chunks()
     x = vectors.matrix(taken["v"].combine_chunks(), dims)
-    total = rows.count() if cells is None else 0
-    model = fit(x, cells or min(MOST_CELLS, max(FEWEST, total // CELL_ROWS)))
+    total = rows.count()
+    # The sample is in the order of a hash. Rows that were not fitted on stand for all others; of so few, the share of the ``k`` nearest that is among them.
+    held_rows = x[: int(len(x) * HELD)]
+    model = fit(x[len(held_rows) :], cells or min(MOST_CELLS, max(FEWEST, total // CELL_ROWS)))
+    model["spread"] = spread(x, model["centres"])
     count = len(model["centres"])
-    wanted = min(probes or probes_for(model, x, k), count)
+    near = int(min(k, max(1, round(k * len(held_rows) / max(1, total)))))
+    wanted = min(probes or probes_for(model, x[len(held_rows) :][:TRIALS], held_rows, near), count)
     held = spark.sparkContext.broadcast(model)
     coded = common.written(rows.mapInArrow(_encoder(held, dims), "id long, cell int, codes binary, error double, vector binary, far double"), "coded")
     facts = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
     # Rows of a large cell spread over as many tasks as it has blocks.
-    spread = F.element_at(F.create_map(*[F.lit(y) for r in facts for y in (r["cell"], common.blocks_for(r["n"], BLOCK))]), F.col("cell"))
-    salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), spread.cast("long")))
+    tasks = F.element_at(F.create_map(*[F.lit(y) for r in facts for y in (r["cell"], common.blocks_for(r["n"], BLOCK))]), F.col("cell"))
+    salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), tasks.cast("long")))
     index = salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id").select("id", "cell", "codes", "error", "vector").mapInArrow(_blocker, INDEX)
     index = common.written(index, "cells")
     common.discard(coded)
@@ -308,7 +316,7 @@ def _asker(held, dims: int, k: int):
     return run
 
 
-def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, cells: int | None = None, probes: int | None = None, rerank: int = RERANK, query_block: int = vectors.QUERY_BLOCK) -> DataFrame:
+def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, cells: int | None = None, probes: int | None = None, rerank: int = RERANK, query_block: int = vectors.QUERY_BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest that the probed cells and the sample hold of every query, by inner product, ties to
     the smaller id. ``rerank`` rows a block are scored exactly first; it is no cut, and results do not depend on it. ``cells`` follows the rows
     and ``probes`` what the sample needs, unless given.
@@ -323,7 +331,7 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str
     dims = vectors.width(rows)
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, held = build(rows, dims, k, cells=cells, probes=probes)
+    index, held = build(rows, dims, k, sample, cells, probes)
     queries, parts = vectors.query_table(rows, every, query_block)
     asked = common.written(queries.mapInArrow(_asker(held, dims, k), ASKED), "asked")
 
