@@ -47,18 +47,40 @@ def weight(as_of: Column, half: float = 90.0) -> Column:
     return 1.0 / (1.0 + days / half)
 
 
+def first_sources(edges: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
+    """(predicates, src): the first ``most`` nodes in order from which a whole path of each of ``patterns`` (two or three predicates) begins."""
+    # The nodes from which the last 1, 2 and 3 steps of a pattern can be taken.
+    able, out = None, None
+    for left in (1, 2, 3):
+        step = patterns.filter(F.size("predicates") >= left).select("predicates", F.element_at("predicates", -left).alias("label"))
+        there = edges.join(F.broadcast(step), F.col("predicate") == F.col("label")).select("predicates", F.col("subject").alias("src"), F.col("object").alias("at"))
+        if able is not None:
+            there = there.join(able.withColumnRenamed("src", "at"), ["predicates", "at"], "left_semi")
+        able = there.select("predicates", "src").distinct()
+        if left > 1:
+            ended = able.filter(F.size("predicates") == left)
+            out = ended if out is None else out.unionByName(ended)
+    rank = F.row_number().over(Window.partitionBy("predicates").orderBy("src"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
 def evaluate(triples: DataFrame, patterns: DataFrame, agent: str, as_of: str, min_yield: int = 3, paths: int = PATHS) -> DataFrame:
     """(pattern, yield, overlap, avg_confidence) of ``patterns`` (predicates) that yield enough.
 
     A path is a distinct (source, target, confidence); a pattern's first ``paths`` in that order count. Overlap is the share
     with a direct edge, whatever its predicate. ``pattern`` is the predicates joined by ``>``.
+
+    Every source that begins a path has one at least, so the first ``paths`` sources of a pattern have all that can count. They are found backwards,
+    as sets of nodes, and only their paths are listed; hubs in between do not multiply.
     """
     now = F.lit(as_of).cast("timestamp")
     own = triples.filter(F.col("agent_id") == agent).select("subject", "predicate", "object", "confidence", weight(now).alias("w"))
-    wanted = patterns.filter(F.size("predicates").isin(2, 3)).select("predicates").distinct()
+    wanted = F.broadcast(patterns.filter(F.size("predicates").isin(2, 3)).select("predicates").distinct())  # one row a combination of the vocabulary
+    sources = first_sources(own, wanted, paths)
     front = own.join(wanted, F.col("predicate") == F.col("predicates")[0]).select(
         "predicates", F.col("subject").alias("src"), F.col("object").alias("at"), F.col("confidence").alias("c"), F.array("w").alias("ws")
     )
+    front = front.join(sources, ["predicates", "src"], "left_semi")
     done = None
     for step in (1, 2):
         edge = own.toDF("here", "label", "there", "more", "w2")
