@@ -6,7 +6,8 @@ rows; a cell is stored in blocks of bounded size, so a cell that holds a third o
 
 A query first meets the sample: its ``k``-th best product there is a floor, as whatever scores less is not among the ``k`` best. Cells are probed in order of their
 potential, the product with the centroid and ``LEAN`` standard deviations of what residuals add to it, which favours cells of long or scattered vectors as inner products do. How
-many are probed is measured when the index is built: as many as hold the share ``AIM`` of the true neighbours among sample rows that the centroids were not fitted on. Cells whose
+many are probed is measured when the index is built: as many as hold the share ``AIM`` of the true neighbours among sample rows that the centroids were not fitted on. The
+longest rows, the share ``LONGEST``, are near to many queries by inner product, whatever their direction; they are a cell of their own that every query probes. Cells whose
 bound is below the floor are left out.
 
 In each block a table of the query's products with all codewords gives asymmetric scores by look-up. For a query without a floor the ``rerank`` best are scored exactly in double
@@ -30,7 +31,7 @@ EVERY = 20
 SAMPLE = 20_000
 #: Rows of a cell; the number of cells follows the number of rows, up to what the sample can fit.
 CELL_ROWS, FEWEST, MOST_CELLS = 128, 8, 1024
-AIM, LEAN = 0.93, 2.0
+AIM, LEAN, LONGEST = 0.92, 2.0, 0.03
 #: The share of the sample that is not fitted on, and the rows that ask in order to measure how many cells to probe.
 HELD, TRIALS = 0.25, 1024
 PARTS = 16
@@ -70,7 +71,24 @@ def fit(sample: np.ndarray, cells: int = 64, parts: int = PARTS, codes: int = CO
     residual = sample - centres[nearest(sample, centres)]
     runs = np.array_split(np.arange(sample.shape[1]), min(parts, sample.shape[1]))
     books = [k_means(residual[:, r], codes, rounds=5) for r in runs]
-    return {"centres": centres, "spread": spread(sample, centres), "runs": runs, "books": books}
+    return {"centres": centres, "spread": spread(sample, centres), "runs": runs, "books": books, "long": np.inf}
+
+
+def with_long(model: dict, sample: np.ndarray, share: float = LONGEST) -> dict:
+    """``model`` with a last cell for rows longer than all but the ``share`` of ``sample``; none where no row is."""
+    length = np.linalg.norm(sample, axis=1)
+    limit = float(np.quantile(length, 1 - share)) if len(length) else np.inf
+    longer = sample[length > limit]
+    if not len(longer):
+        return model
+    return {**model, "long": limit, "centres": np.concatenate((model["centres"], longer.mean(axis=0, keepdims=True))), "spread": np.append(model["spread"], 0.0)}
+
+
+def cells_of(model: dict, x: np.ndarray) -> np.ndarray:
+    """The cell of each row: the last one of long rows, the nearest of others."""
+    usual = len(model["centres"]) - (model["long"] < np.inf)
+    own = nearest(x, model["centres"][:usual])
+    return np.where(np.linalg.norm(x, axis=1) > model["long"], len(model["centres"]) - 1, own)
 
 
 def spread(sample: np.ndarray, centres: np.ndarray, prior: float = 4.0) -> np.ndarray:
@@ -82,8 +100,11 @@ def spread(sample: np.ndarray, centres: np.ndarray, prior: float = 4.0) -> np.nd
 
 
 def potential(model: dict, q: np.ndarray) -> np.ndarray:
-    """(queries, cells): by what cells are ordered for probing."""
-    return q @ model["centres"].T + LEAN * np.linalg.norm(q, axis=1)[:, None] * model["spread"][None, :]
+    """(queries, cells): by what cells are ordered for probing; that of long rows comes first."""
+    found = q @ model["centres"].T + LEAN * np.linalg.norm(q, axis=1)[:, None] * model["spread"][None, :]
+    if model["long"] < np.inf:
+        found[:, -1] = np.inf
+    return found
 
 
 def probes_for(model: dict, asking: np.ndarray, held: np.ndarray, near: int, aim: float = AIM) -> int:
@@ -91,7 +112,7 @@ def probes_for(model: dict, asking: np.ndarray, held: np.ndarray, near: int, aim
     cells = len(model["centres"])
     if len(held) < 50 or not len(asking) or cells == 1:
         return cells
-    own = nearest(held, model["centres"])
+    own = cells_of(model, held)
     places = []
     for at in range(0, len(asking), 128):
         some = asking[at : at + 128]
@@ -104,7 +125,7 @@ def probes_for(model: dict, asking: np.ndarray, held: np.ndarray, near: int, aim
 
 def encode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, codes, length of the residual that the codes leave out) of the rows of ``x``."""
-    cell = nearest(x, model["centres"])
+    cell = cells_of(model, x)
     residual = x - model["centres"][cell]
     codes = np.stack([nearest(residual[:, r], b).astype(np.uint8) for r, b in zip(model["runs"], model["books"])], axis=1)
     left = np.sqrt(sum(((residual[:, r] - b[codes[:, i]]) ** 2).sum(axis=1) for i, (r, b) in enumerate(zip(model["runs"], model["books"]))))
@@ -254,7 +275,7 @@ def build(rows: DataFrame, dims: int, k: int = K, sample: int = SAMPLE, cells: i
     # The sample is in the order of a hash. Rows that were not fitted on stand for all others; of so few, the share of the ``k`` nearest that is among them.
     held_rows = x[: int(len(x) * HELD)]
     model = fit(x[len(held_rows) :], cells or min(MOST_CELLS, max(FEWEST, total // CELL_ROWS)))
-    model["spread"] = spread(x, model["centres"])
+    model = with_long({**model, "spread": spread(x, model["centres"])}, x)
     count = len(model["centres"])
     near = int(min(k, max(1, round(k * len(held_rows) / max(1, total)))))
     wanted = min(probes or probes_for(model, x[len(held_rows) :][:TRIALS], held_rows, near), count)
@@ -271,7 +292,7 @@ def build(rows: DataFrame, dims: int, k: int = K, sample: int = SAMPLE, cells: i
     far = np.zeros(count)
     for r in facts:
         far[r["cell"]] = r["far"]
-    return index, spark.sparkContext.broadcast({**model, "far": far, "probes": wanted, "ids": taken["id"].to_numpy(), "sample": x, "own": nearest(x, model["centres"])})
+    return index, spark.sparkContext.broadcast({**model, "far": far, "probes": wanted, "ids": taken["id"].to_numpy(), "sample": x, "own": cells_of(model, x)})
 
 
 ASKED = "id long, v array<double>, part int, cells binary, floor double, ids array<long>, scores array<double>"
