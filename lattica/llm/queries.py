@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op4_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
     "op6_chat_formatting": chat.ORACLE_SQL,
     "op8_exact_top_k": topk.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,

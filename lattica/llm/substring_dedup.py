@@ -151,3 +151,28 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = rlz_dedup(docs, with_text=False)
     return out.select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.n_spans", "dedup.kept_sha256")
+
+
+# Windows as text, each with the smallest document it stands in.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i + 49], ' '))) AS win FROM d WHERE len(w) >= 50
+), f AS (
+  SELECT win, min(doc_id) AS first FROM s GROUP BY win
+), dup AS (
+  SELECT doc_id, p FROM s JOIN f USING (win) WHERE first < doc_id
+), word AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d
+), cov AS (
+  SELECT doc_id, word.p AS p, x, coalesce(max(CASE WHEN dup.p IS NOT NULL THEN 1 END) OVER (PARTITION BY doc_id ORDER BY word.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM word LEFT JOIN dup USING (doc_id, p)
+), told AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (WHERE gone = 0), '') AS kept FROM cov GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS n_spans FROM (SELECT doc_id, gone, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM cov) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""

@@ -228,3 +228,30 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup(docs, with_text=False)
     return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", "dedup.kept_sha256")
+
+
+# Bytes as hexadecimal digits, which SQL can cut; strings of 100 bytes by their MD5 digest, each with its earliest place.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), h AS (
+  SELECT doc_id, octet_length(b) AS n, hex(b) AS h FROM d
+), parts AS (
+  SELECT doc_id, c, n, substr(h, 2 * c + 1, 698) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n - 99, 250)) AS c FROM h WHERE n >= 100)
+), s AS (
+  SELECT doc_id, c + unnest(range(1, least(251, n - c - 98))) AS p, unnest(list_transform(range(1, least(251, n - c - 98)), lambda i: md5(substr(h, 2 * i - 1, 200)))) AS win FROM parts
+), f AS (
+  SELECT win, min(struct_pack(d := doc_id, p := p)) AS first FROM s GROUP BY win HAVING count(*) > 1
+), dup AS (
+  SELECT doc_id, p FROM s JOIN f USING (win) WHERE first.d < doc_id OR first.p < p
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM dup)) GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since FROM runs
+), told AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS rest, list(struct_pack(x := since, y := a) ORDER BY a) AS kept FROM gaps GROUP BY doc_id
+)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(array_to_string(list_transform(kept, lambda k: substr(h, 2 * k.x - 1, 2 * (k.y - k.x))), ''), '') || substr(h, 2 * coalesce(rest, 1) - 1))) AS kept_sha256
+FROM h LEFT JOIN told USING (doc_id)
+"""

@@ -9,6 +9,8 @@ from lattica.llm import anchors, repeats, simhash, substring_dedup, suffix_dedup
 from . import brute
 
 DOCS = "doc_id long, text string, spans string, __lt_extra int"
+#: Names that helper columns have or had.
+CLASHES = ["__id_0", "__spans_0", "__row_0", "__score_0", "__lt_id", "__lt_spans", "__lt_row", "__lt_score", "dedup", "doc", "d", "h", "n", "anchor", "fp", "size"]
 
 
 def corpus(seed=3, n=60):
@@ -83,6 +85,97 @@ def test_interval_tree_gives_all_occurrences():
     assert all(len({texts[d][s : s + n] for d, s in places}) == 1 for n, places in found)
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """Every join with hot keys, down to keys of two rows, gives what it gives without."""
+    from lattica.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "MOST_HOT", 1 << 40)
+    rows = corpus(7, 40)
+    got = {(r.doc_id, r.dedup.n_removed, r.dedup.kept_sha256) for r in substring_dedup.rlz_dedup(frame(spark, rows), k=8, hot_variants=3).collect()}
+    want = brute.substring(rows, 8)
+    assert got == {(i, n, sha) for i, (_, n, sha) in want.items()}
+    got = {r.doc_id: r.dedup.n_removed for r in suffix_dedup.suffix_dedup(frame(spark, rows), k=20, hot_variants=3).collect()}
+    assert all(got[i] == x[1] for i, x in brute.suffix(rows, 20).items())
+
+
+def test_spread_join_with_any_sizes(spark, monkeypatch):
+    from lattica.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i % 3, i) for i in range(100)] + [(7, 1)], "k long, v long")
+    facts = common.written(spark.createDataFrame([(0, 34, "a"), (1, 33, "b"), (5, 2, "c")], "k long, n long, f string"), "facts")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.spread_join(rows, facts, ["k"], "n", how=how).select("k", "v", "f").collect()), key=repr)
+        assert got == sorted(map(tuple, rows.join(facts, "k", how).select("k", "v", "f").collect()), key=repr)
+    many = spark.createDataFrame([(0, "x"), (0, "y"), (1, "z")], "k long, p string")
+    assert common.spread_join(rows, many, ["k"], "n", facts).count() == 2 * 34 + 33
+
+
+def test_all_copies_of_a_hot_passage_go(spark):
+    """A passage in a third of all documents, each with neighbours of its own."""
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, " ".join(f"x{r.randrange(10**6)}" for _ in range(60)) + (f" {passage} " if i % 3 == 0 else " ") + " ".join(f"y{r.randrange(10**6)}" for _ in range(60))) for i in range(300)]
+    for sizes in ({}, {"hot_variants": 20}):
+        out = {x.doc_id: x.dedup.n_removed for x in substring_dedup.rlz_dedup(frame(spark, rows), **sizes).collect()}
+        assert out[0] == 0 and {n for i, n in out.items() if i % 3 == 0 and i} == {70} and {n for i, n in out.items() if i % 3} == {0}
+    out = {x.doc_id: x.dedup for x in suffix_dedup.suffix_dedup(frame(spark, rows), hot_variants=20).collect()}
+    want = brute.suffix(rows, 100)
+    assert all((d.n_removed, d.n_spans) == want[i][1:3] for i, d in out.items())
+
+
+def test_clashing_names_pass(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"w{i}" for i in range(60))), (3, "some other text"), (3, "a third")]
+    table = frame(spark, rows).withColumns({c: F.lit(c) for c in CLASHES if c != "dedup"}).withColumn("dedup", F.lit("old"))
+    for out in (substring_dedup.rlz_dedup(table), suffix_dedup.suffix_dedup(table)):
+        assert sorted(out.columns) == sorted(table.columns) and out.count() == 4
+        assert all(r[c] == c for r in out.collect() for c in CLASHES if c != "dedup")
+    for out in (simhash.near_dedup(table), simhash.near_dedup(table.unionByName(table))):
+        assert out.columns == table.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+        assert all(r[c] == c for r in out.collect() for c in CLASHES if c != "dedup")
+
+
+def test_very_long_texts(spark):
+    """Texts of several parts (over 131,072 words), one a copy but for a word."""
+    w = [f"w{i % 4099}x{i % 977}" for i in range(140_000)]
+    other = [*w[:70_000], "changed", *w[70_000:]]
+    rows = [(1, " ".join(w)), (2, " ".join(other)), (3, "short")]
+    got = {r.doc_id: (r.dedup.n_removed, r.dedup.kept) for r in substring_dedup.rlz_dedup(frame(spark, rows)).collect()}
+    assert got == {1: (0, " ".join(w)), 2: (140_000, "changed"), 3: (0, "short")}
+    prints = {r.doc_id: r.fingerprint for r in simhash.simhash_groups(frame(spark, rows)).collect()}
+    assert prints == {i: f"{brute.fingerprint(t):016x}" for i, t in rows}
+
+
+def test_factors_are_the_longest():
+    """The first document with a window is not the one with the longest copy."""
+    texts = ("a b c d e x", "a b c d e f g", "z a b c d e f g h")
+    block = pd.DataFrame({"doc": [1, 2, 3], "span": [0 << repeats.LOW | 1] * 3, "piece": [x.encode() for x in texts]})
+    assert list(substring_dedup.factors(block, 4)) == [(2, 0, 5, 1, 0), (3, 1, 7, 2, 0)]
+
+
+def test_spans_come_from_left_maximal_groups():
+    """A group further left covers what is not left-maximal, so leaving that out loses nothing."""
+    r = random.Random(2)
+    for _ in range(30):
+        texts = ["".join(r.choice("ab") for _ in range(r.randint(8, 30))).encode() for _ in range(4)]
+        block = pd.DataFrame({"doc": range(4), "span": [0 << repeats.LOW | 1] * 4, "piece": texts, "again": [r.random() < 0.3 for _ in texts]})
+        found = suffix_dedup._kernel(block, 5)
+        want = brute.suffix([(i, t.decode()) for i, t in enumerate(texts)], 5)
+        assert [sum(n for _, n in found.get(i, ([], []))[0]) for i in range(4)] == [want[i][1] for i in range(4)]
+        assert all(found[i][1] == [(0, len(texts[i]))] for i in range(4) if block["again"][i])
+
+
+def test_no_share_comes_from_hashes_alone(spark, sf_dir, monkeypatch):
+    """Without its kernel neither operator removes anything."""
+    from dataclasses import replace
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for module in (substring_dedup, suffix_dedup):
+        own = module.spec()
+        assert repeats.spans(docs, replace(own, kernel=lambda block, k: {})).count() == 0 < repeats.spans(docs, own).count()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert substring_dedup.rlz_dedup(none).count() == suffix_dedup.suffix_dedup(none).count() == simhash.simhash_groups(none).count() == simhash.near_dedup(none).count() == 0

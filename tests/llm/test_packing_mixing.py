@@ -217,6 +217,20 @@ def test_the_tree_has_many_shards_on_the_test_table(spark, sf_dir):
     assert len({r.mix_shard for r in mixing.mix(docs).select("mix_shard").distinct().collect()}) > 3
 
 
+def test_mixing_of_clashing_names_and_very_long_texts(spark):
+    long = "word " * 200_000
+    rows = [(1, long, "a", 5), (2, "b " * 1000, "b", 6), (3, None, "b", 7), (3, "c d", None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __id_0 int").selectExpr("*", "1 AS __row_0", "2 AS mix_shard", "3 AS mix_order", "4 AS tie", "5 AS copy", "6 AS pass", "7 AS __lt_id", "8 AS __lt_row")
+    out = mixing.mix(docs.unionByName(docs.filter("doc_id = 2")))
+    assert sorted(out.columns) == sorted(docs.columns) and {r["__id_0"] for r in out.collect()} <= {5, 6, 8}
+    got = Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+        assert (r["__row_0"], r.tie, r.copy, r["pass"], r["__lt_id"], r["__lt_row"]) == (1, 4, 5, 6, 7, 8)
+    goal = brute.targets({"a": 200_000, "b": 2000, None: 2})
+    assert all(abs(got[s] - goal[s]) <= 1 for s in goal)
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([1000, 0, 7, 123456])
     out = mixing.split_quotas(quotas, 13, 1)

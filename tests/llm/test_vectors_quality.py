@@ -95,6 +95,68 @@ def test_ann_on_the_test_table(spark, sf_dir):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def shaped(kind, n=6000, dims=32, seed=2):
+    r = np.random.Generator(np.random.PCG64(seed))
+    if kind == "clusters":
+        return r.standard_normal((100, dims))[r.integers(0, 100, n)] + 0.5 * r.standard_normal((n, dims))
+    x = r.standard_normal((n, dims))
+    return x * np.exp(r.standard_normal(n) * 0.5)[:, None] if kind == "skewed" else x
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clusters", "skewed"])
+def test_ann_recall_on_vectors_of_any_shape(spark, tmp_path, kind):
+    """The sample is a quarter of the rows, so most neighbours are outside of it."""
+    import pyarrow.parquet as pq
+
+    x = shaped(kind)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "v.parquet")
+    table = spark.read.parquet(str(tmp_path / "v.parquet"))
+    found = {}
+    for r in ann.nearest_neighbours(table, sample=1500).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+        assert len(found[q]) == 20
+    assert hit / (20 * len(found)) >= 0.9
+
+
+@pytest.mark.parametrize("search", [topk.exact_top_k, ann.nearest_neighbours])
+def test_one_part_of_the_queries_is_gathered_at_a_time(spark, monkeypatch, search):
+    from lattica.llm import common
+
+    told = []
+    gathered, written = vectors.gathered, common.written
+    monkeypatch.setattr(vectors, "gathered", lambda part: told.append("gathered") or gathered(part))
+    monkeypatch.setattr(common, "written", lambda df, tag: [written(df, tag), told.append(tag)][0])
+    table = spark.createDataFrame([(*x, "") for x in rows_of(1500)], SCHEMA)
+    whole = sorted(map(tuple, search(table, k=5).collect()))
+    told.clear()
+    assert sorted(map(tuple, search(table, k=5, query_block=20).collect())) == whole
+    steps = [x for x in told if x in ("gathered", "found")]
+    assert len(steps) > 6 and steps == ["gathered", "found"] * (len(steps) // 2)
+
+
+def test_exact_top_k_of_components_beyond_a_long(spark):
+    big = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [3e7, 1e8]), (20, [1e9, 1e9]), (21, [1e300, -1e300]), (22, [1.0, 1.0])]
+    table = spark.createDataFrame([(*x, "") for x in big], "vec_id long, embedding array<double>, score string")
+    got = sorted(map(tuple, topk.exact_top_k(table).collect()))
+    whole = {i: [math.floor(64 * c) for c in v] if max(map(abs, v)) < 1e200 else [64 * int(c) for c in v] for i, v in big}
+    want = []
+    for q in (0, 20):
+        score = {i: min(max(sum(a * b for a, b in zip(whole[q], v)), -(1 << 63)), (1 << 63) - 1) for i, v in whole.items() if i != q}
+        want += [(q, n + 1, i, s) for n, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0])))]
+    assert got == want
+
+
+def test_clashing_names_of_vectors(spark):
+    rows = [(i, [float(i), 1.0], "x", 0, "y") for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int, cell string")
+    assert ann.nearest_neighbours(table, k=3).count() == topk.exact_top_k(table, k=3).count() == 6
+
+
 class Held:
     def __init__(self, value):
         self.value = value
@@ -196,6 +258,37 @@ def test_quality_votes_well_and_reads_no_held_out_label(spark):
     assert np.mean([i in kept for i in range(400) if i % 4]) > 0.98 and np.mean([i in kept for i in range(0, 400, 4)]) < 0.2
 
 
+def test_votes_equal_a_plain_neighbour_vote(spark):
+    """Every score against all cosines, sorted, one document at a time."""
+    docs, labels = quality_rows(3)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    texts = [t for _, t in docs]
+    got = quality.score_texts(model, [None if t is None else t.encode() for t in texts])
+    for text, score in zip(texts, got):
+        at, value = quality.features(None if text is None else text.encode())
+        v = value @ model["project"][at] if len(at) else np.zeros(model["project"].shape[1])
+        v = v / max(float(np.linalg.norm(v)), 1e-12)
+        cosine = sorted(((float(v @ u), float(y)) for u, y in zip(model["vectors"], model["labels"])), reverse=True)
+        kth = cosine[quality.NEIGHBOURS - 1][0]
+        near = [(max(c, 0.0) ** quality.SHARPNESS, y) for c, y in cosine if c > kth + 1e-6]
+        edge = [(max(c, 0.0) ** quality.SHARPNESS, y) for c, y in cosine if abs(c - kth) <= 1e-6]
+        if sum(w for w, _ in near + edge) < 1e-9:
+            assert abs(score - float(np.mean(model["labels"]))) < 1e-6
+            continue
+        # Which of equally near neighbours vote is open.
+        room = quality.NEIGHBOURS - len(near)
+        votes = [sum(w * y for w, y in near + part) / sum(w for w, _ in near + part) for part in (sorted(edge, key=lambda x: x[1])[:room], sorted(edge, key=lambda x: -x[1])[:room])]
+        assert min(votes) - 1e-4 <= score <= max(votes) + 1e-4
+
+
+def test_keep_good_leaves_columns_alone(spark):
+    docs, labels = quality_rows(2, 60)
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS __score_0", "2 AS quality", "3 AS own_id", "4 AS i", "5 AS quality_score")
+    out = quality.keep_good(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert out.columns == d.columns and all((r["__score_0"], r.quality, r.own_id, r.i, r.quality_score) == (1, 2, 3, 4, 5) for r in out.collect())
+
+
 def test_quality_without_labels_or_documents(spark):
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -52,6 +52,29 @@ def test_index_is_in_global_order(spark):
     assert len(flat) == 300 and flat == sorted(flat)
 
 
+def test_ranks_are_the_global_order(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    rows = pages()
+    table = spark.createDataFrame([(*x, "") for x in rows], SCHEMA).repartition(5)
+    records, index = warc.archive_pages(table, common.work_path(spark, "warc"))
+    found = sorted((r.capture_rank, warc._place((r.url_key, r.captured_at, r.page_id, r.file, r.at))) for r in index.collect())
+    assert [n for n, _ in found] == list(range(1, len(rows) + 1)) and [p for _, p in found] == sorted(p for _, p in found)
+    assert sorted(r.capture_rank for r in records.collect()) == list(range(1, len(rows) + 1))
+
+
+def test_hot_payloads_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    table = spark.createDataFrame([(i, f"http://a/{i}", "" if i % 3 else f"<p>{i % 5}", "", 0, "x") for i in range(90)], SCHEMA + ", capture_rank int, file string").repartition(4)
+    records, _ = warc.archive_pages(table, common.work_path(spark, "warc"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in records.collect()}
+    last = {}
+    for i in range(90):
+        last["" if i % 3 else i % 5] = i
+    want = {i: ("response", None) if last["" if i % 3 else i % 5] == i else ("revisit", last["" if i % 3 else i % 5]) for i in range(90)}
+    assert got == want
+
+
 def test_least_bytes_and_nothing(spark):
     table = spark.createDataFrame([(1, "u", "ab", ""), (2, "u", "ab", ""), (3, "u", "abc", ""), (4, "u", "abc", "")], SCHEMA)
     records, _ = warc.archive_pages(table, common.work_path(spark, "warc"), least=3)
@@ -110,6 +133,13 @@ def test_every_participant_is_the_assistant_once(spark):
         assert all(text[a - 1] == "\n" and text[:a].endswith("assistant\n") and text[a:b].endswith("<|im_end|>") for a, b in mask)
 
 
+def test_a_hot_conversation_is_spread(spark, monkeypatch):
+    table = spark.createDataFrame([(*x, 1, "p") for x in turns()], "conv_id long, turn long, role string, text string, key int, part string")
+    want = sorted(map(repr, chat.rotate(table).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(repr, chat.rotate(table).collect())) == want
+
+
 def test_crowded_parts_are_cut(spark):
     rows = [(1, 5, "user" if i % 2 else "assistant", f"t{i}") for i in range(100)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
