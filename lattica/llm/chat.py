@@ -2,8 +2,8 @@
 
 Every participant of a conversation is the assistant once: in its rendering the turns of that participant are the
 assistant's and carry the loss mask, and all others are users named after their participant. System turns are
-instructions in the rendering of every participant and no participant. They stand where their turn number has them: in a
-conversation of more than ``part_turns`` turns in one part only, so its other parts have no instructions, nor what was said before.
+instructions in the rendering of every participant and no participant. They stand where their turn number has them. With ``carry`` each
+part also begins with the instruction in force, the last system turn of the parts before it: one turn a part, however many there are.
 
 A rendering is cut into parts of ``part_turns`` turns, as a training example has to end somewhere and a conversation
 may hold any share of all rows: a turn's number gives its part. The turns of a crowded part (many rows with one number) are
@@ -67,11 +67,25 @@ def _pieces(t: DataFrame, crowd: int) -> list[DataFrame]:
     return [calm, placed.select(*t.columns, F.col("piece").cast("int").alias("piece"))]
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS, crowd: int = CROWD) -> DataFrame:
+def carried(t: DataFrame) -> DataFrame:
+    """The rows that ``carry`` adds to turns (conv_id, turn, role, text, part, key, none). They have no turn number, so they come first."""
+    where = ["key", "none", "conv_id", "part"]
+    said = t.filter(F.col("role") == SYSTEM).groupBy(*where).agg(F.max(F.struct("turn", "text")).alias("last"))
+    # One row a part, so the order within a conversation is over parts and not over turns.
+    parts = t.groupBy(*where).agg(F.count(F.lit(1)).alias("there")).join(said.drop("conv_id"), ["key", "none", "part"], "left")
+    before = Window.partitionBy("key", "none").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    found = parts.withColumn("force", F.last("last", ignorenulls=True).over(before)).filter("force IS NOT NULL")
+    return found.select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit(SYSTEM).alias("role"), F.col("force.text").alias("text"), "part", "key", "none")
+
+
+def rotate(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS, crowd: int = CROWD, carry: bool = False
+) -> DataFrame:
     """(conv_id, perspective, part, piece, n_turns, n_assistant, text, mask) for every participant and part.
 
     A part of more than ``crowd`` turns is several rows: ``piece`` 0, 1 and so on are its runs of ``crowd`` turns in order, the last
     one shorter; their texts in order are the part's, and each mask counts from the start of its piece. Other parts are piece 0.
+    ``carry``: a part begins with the last system turn of the parts before it.
     ``text`` joins the turns as ``<|im_start|>role name=who`` newline text ``<|im_end|>`` newline; ``mask`` is an array of
     (start, end) character ranges of ``text`` that the assistant speaks, end marker included. Turns are in order of
     turn number (null first), then role and text (null first), so ties have one order; repeated rows stay. Null text: an
@@ -79,10 +93,12 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     turns alone has no participant and no row. Markers inside a text are broken with a zero-width space, so no text can
     end a turn. An empty table gives an empty one. Extra columns are not carried.
     """
-    return reduce(DataFrame.unionByName, _rotated(turns, conv_col, turn_col, role_col, text_col, part_turns, crowd))
+    return reduce(DataFrame.unionByName, _rotated(turns, conv_col, turn_col, role_col, text_col, part_turns, crowd, carry))
 
 
-def _rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS, crowd: int = CROWD) -> list[DataFrame]:
+def _rotated(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS, crowd: int = CROWD, carry: bool = False
+) -> list[DataFrame]:
     """``rotate`` in two tables: other parts and, where there are any, crowded ones."""
     t = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.col(text_col).alias("text")
@@ -91,6 +107,8 @@ def _rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     # A null conversation is a key like any other.
     t = t.withColumns({"key": F.coalesce("conv_id", F.lit(0)), "none": F.col("conv_id").isNull()})
     key = ["key", "none"]
+    if carry:
+        t = t.unionByName(carried(t))
     people = t.filter(F.col("role") != SYSTEM).select(*key, F.col("role").alias("perspective")).distinct()
     turns_of = common.written(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "conversations")
     # One row a turn and participant: no more than turns x participants.
@@ -147,15 +165,22 @@ def whole_parts(pieces: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The renderings, one row a part of any size, their masks as text: start-end ranges joined by commas."""
-    calm, *crowded = _rotated(common.table(spark, sf_dir, "conversations"))
+    calm, *crowded = _rotated(common.table(spark, sf_dir, "conversations"), carry=True)
     out = reduce(DataFrame.unionByName, map(whole_parts, crowded), calm.drop("piece"))
     told = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.withColumn("mask", told)
 
 
 ORACLE_SQL = """
-WITH t AS (
+WITH own AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, text AS raw, coalesce(text, '') AS text, CAST(coalesce(floor(turn / 64.0), -1) AS BIGINT) AS part FROM conversations
+), told AS (
+  SELECT conv_id, part, raw FROM own WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id, part ORDER BY turn DESC NULLS LAST, raw DESC NULLS LAST) = 1
+), force AS (
+  SELECT o.conv_id, o.part, told.raw FROM (SELECT DISTINCT conv_id, part FROM own) o JOIN told ON o.conv_id IS NOT DISTINCT FROM told.conv_id AND told.part < o.part
+  QUALIFY row_number() OVER (PARTITION BY o.conv_id, o.part ORDER BY told.part DESC) = 1
+), t AS (
+  SELECT * FROM own UNION ALL SELECT conv_id, NULL, 'system', raw, coalesce(raw, ''), part FROM force
 ), p AS (
   SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
 ), w AS (

@@ -173,6 +173,24 @@ def test_pieces_of_a_crowded_part_are_runs_of_the_dialogue(spark, monkeypatch):
     assert joined == want
 
 
+def test_later_parts_carry_the_instruction_in_force(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, i, "system" if i in (0, 70, 71) else "user" if i % 2 else "Bob B", f"t{i}") for i in range(300)]
+    rows += [(2, i, "user", f"u{i}") for i in range(130)] + [(None, t, r, x) for t, r, x in ((None, "system", None), (3, "user", "a"), (70, "user", "b"), (700, "system", "late"), (800, "user", "c"))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(table, carry=True).collect()}
+    first = {p: out[1, "user", p].text.split("\n")[1] for p in range(5)}
+    assert first == {0: "t0<|im_end|>", 1: "t0<|im_end|>", 2: "t71<|im_end|>", 3: "t71<|im_end|>", 4: "t71<|im_end|>"}
+    assert [out[1, "user", p].n_turns for p in range(5)] == [64, 65, 65, 65, 45] and out[2, "user", 1].n_turns == 64
+    assert out[None, "user", 12].text.startswith("<|im_start|>system\nlate") and out[None, "user", 1].text.startswith("<|im_start|>system\n<|im_end|>")
+    assert [r.n_turns for k, r in sorted(((r.part, r) for r in chat.rotate(table).collect() if r.conv_id == 1 and r.perspective == "user"), key=lambda x: x[0])] == [64, 64, 64, 64, 44]
+    table.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, chat.query(spark, str(tmp_path)).collect()), key=repr) == sorted(db.execute(chat.ORACLE_SQL).fetchall(), key=repr)
+
+
 def test_a_crowded_part_is_what_the_sql_says(spark, tmp_path):
     import duckdb
 
