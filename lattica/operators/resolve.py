@@ -22,19 +22,21 @@ def candidates(mentions: DataFrame, entities: DataFrame, agent: str | None, pref
     mentions have an ``agent_id`` each, as the result then has, and meet the registry of that agent.
 
     Names with the mention's first 60 % (three letters at least) as prefix, and of the ``recent`` newest entities those whose name or alias holds
-    the mention or is held by it. The prefix search joins on the first letters, not on a comparison of all pairs.
+    the mention or is held by it. The prefix search joins on the prefix itself, so it meets no more than ``prefix_limit`` names a mention.
     """
     keys = [] if agent is not None else ["agent_id"]
     own = entities if agent is None else entities.filter(F.col("agent_id") == agent)
     m = mentions.withColumn("low", stripped(F.lower("mention")))
     m = m.withColumn("prefix", F.substring("low", F.lit(1), F.greatest(F.lit(3), F.ceil(F.length("low") * 0.6).cast("int"))))
-    m = m.withColumn("key", F.substring("prefix", 1, 3))
     info = ["id", "canonical_name", "entity_type", "mention_count", "last_seen"]
-    keyed = own.withColumn("lname", F.lower("canonical_name"))
-    keyed = keyed.withColumn("key", F.explode(F.array_distinct(F.array(*[F.substring("lname", 1, n) for n in (1, 2, 3)])))).filter(F.length("key") > 0)
-    hits = m.join(keyed, [*keys, "key"]).filter(F.col("lname").startswith(F.col("prefix"))).select(*keys, "mention_id", "mention", *info).distinct()
-    order = Window.partitionBy("mention_id").orderBy("canonical_name", "id")
-    hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= prefix_limit).drop("rank")
+    # Names by those of their prefixes that are asked for, the first in order of each: a prefix of half the registry costs no more than another.
+    asked = m.select(*keys, "prefix").filter(F.length("prefix") > 0).distinct()
+    lower = own.withColumn("lname", F.lower("canonical_name")).filter(F.length("lname") > 0)
+    starts = F.transform(F.sequence(F.lit(1), F.length("lname")), lambda n: F.substring("lname", F.lit(1), n))
+    keyed = lower.select(*keys, *info, F.explode(starts).alias("prefix")).join(asked, [*keys, "prefix"], "left_semi")
+    order = Window.partitionBy(*keys, "prefix").orderBy("canonical_name", "id")
+    first = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= prefix_limit).drop("rank")
+    hits = m.join(first, [*keys, "prefix"]).select(*keys, "mention_id", "mention", *info)
     newest = F.broadcast(lookup.recent_entities(entities, agent, recent)) if agent is not None else short_list(lookup.recent_by_agent(entities, recent))  # at most ``recent`` rows an agent
     meets = lambda x: F.contains(x, F.col("low")) | F.contains(F.col("low"), x)
     met = meets(F.lower("canonical_name")) | F.exists("aliases", lambda a: meets(F.lower(a)))
