@@ -134,6 +134,16 @@ class GraphStore:
         fields = [df[f.name].cast(f.dataType).alias(f.name) for f in LOGS[name]]
         df.select(*fields).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
 
+    def staged(self, name: str, batch: int, df: DataFrame) -> DataFrame:
+        """What a batch's statements are before names are resolved, written once as they are read several times; ``unstage`` deletes it."""
+        path = f"{self.root}/staged/{name}-{batch}"
+        df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in LOGS[name]]).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(LOGS[name]).parquet(path)
+
+    def unstage(self) -> None:
+        path, fs = self._files()
+        fs.delete(path(f"{self.root}/staged"), True)
+
     def batches(self, name: str) -> list[int]:
         return self._numbered(name, "batch=")
 

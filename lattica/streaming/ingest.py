@@ -72,8 +72,10 @@ def ingest_batch(store: GraphStore, batch: DataFrame, number: int, config: Mappi
     if resolution and base.tables:
         latest = batch.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")).first()[0]
         if latest:
+            mentions, triples = store.staged("mention_log", number, mentions), store.staged("triple_log", number, triples)
             mentions, triples = canonical(mentions, triples, entities, store.read("cooccurrences", state=base), latest, resolution)
     write_statements(store, number, base, mentions, triples)
+    store.unstage()
 
 
 def write_statements(store: GraphStore, number: int, base: State, mentions: DataFrame, triples: DataFrame, aliases: DataFrame | None = None) -> None:
