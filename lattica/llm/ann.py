@@ -365,7 +365,9 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str
 
     # The kernel needs no sample rows.
     small = spark.sparkContext.broadcast({name: held.value[name] for name in ("centres", "runs", "books")})
-    return vectors.search(index, asked, parts, k, _kernel(small, dims, rerank), "double", prepare, beside)
+    found = vectors.search(index, asked, parts, k, _kernel(small, dims, rerank), "double", prepare, beside)
+    common.discard(index, asked)
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:

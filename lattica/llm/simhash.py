@@ -118,10 +118,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks a node to the smallest root around it and then follows that root one step further (pointer
     jumping), so chains halve and the rounds grow with the logarithm of the longest chain. Each round is a written
-    table; groups pre-aggregate by ``min``.
+    table, which the next one deletes; groups pre-aggregate by ``min``.
     """
     both = common.written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    state = common.written(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    state = last = common.written(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     while True:
         around = both.join(state.toDF("b", "m"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("m").alias("m"))
         hooked = state.join(around, "fp").select("fp", F.least("root", "m").alias("now"), F.col("root").alias("old"))
@@ -129,8 +129,10 @@ def components(edges: DataFrame) -> DataFrame:
         new = F.least("now", F.coalesce("far", "now"))
         moved = hooked.join(jump.toDF("now", "far"), "now", "left").select("fp", new.alias("root"), (new < F.col("old")).alias("moved"))
         step = common.written(moved, "roots")
-        state = step.select("fp", "root")
+        common.discard(last)
+        last, state = step, step.select("fp", "root")
         if step.filter("moved").limit(1).count() == 0:
+            common.discard(both)
             return state
 
 

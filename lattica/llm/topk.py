@@ -167,7 +167,9 @@ def exact_top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     dims = max(1, vectors.width(rows))
     index = common.written(rows.mapInArrow(_indexer(dims, scale), INDEX), "impacts")
     queries, parts = vectors.query_table(rows, every, query_block)
-    return vectors.search(index, queries, parts, k, _kernel(dims, k), "long", lambda t: (quantised(vectors.matrix(t["v"].combine_chunks(), dims), scale), None))
+    found = vectors.search(index, queries, parts, k, _kernel(dims, k), "long", lambda t: (quantised(vectors.matrix(t["v"].combine_chunks(), dims), scale), None))
+    common.discard(index)
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:

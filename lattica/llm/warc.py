@@ -284,7 +284,10 @@ def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """
     seconds = F.col(time_col).cast("long") if time_col else F.lit(_EPOCH) + F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(1 << 31)), F.lit(0))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), seconds.alias("seconds"), F.col(html_col).alias("payload"))
-    index = common.written(ranked(common.written(capture_index(write_archives(rows, folder, least)), "captures")), "index")
+    runs = write_archives(rows, folder, least)
+    merged = common.written(capture_index(runs), "captures")
+    index = common.written(ranked(merged), "index")
+    common.discard(runs, merged)
     return read_archives(index, folder), index
 
 
