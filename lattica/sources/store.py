@@ -20,6 +20,10 @@ SNAPSHOTS = {"triples": schema.TRIPLES, "entities": schema.ENTITIES, "cooccurren
 LOGS = {"triple_log": schema.TRIPLE_LOG, "mention_log": schema.MENTION_LOG}
 
 
+#: Older states are deleted.
+STATES = 100
+
+
 @dataclass(frozen=True)
 class State:
     """Versions of tables that belong together, the batches they have taken in (as runs [first, last]), the batch taken in
@@ -93,11 +97,12 @@ class GraphStore:
 
     def base_for(self, batch: int) -> State | None:
         """The state that a batch is to be taken into: the last one, or, if it was the last to be taken in and runs again, the one before it. None where it
-        was taken in and other changes followed: it is in force then."""
+        was taken in and other changes followed (or the versions before it are deleted): it is in force then."""
         now = self.state()
         if not now.has(batch):
             return now
-        return self.state(now.onto) if now.batch == batch and now.onto is not None else None
+        base = self.state(now.onto) if now.batch == batch and now.onto is not None else None
+        return base if base and all(v in self._numbered(name, "v=") for name, v in base.tables.items()) else None
 
     def version(self, name: str) -> int | None:
         return self.state().tables.get(name)
@@ -124,6 +129,7 @@ class GraphStore:
         stream = fs.create(path(f"{self.root}/states/{new.number}.json"), True)
         stream.write(bytearray(json.dumps(asdict(new)).encode()))
         stream.close()
+        fs.delete(path(f"{self.root}/states/{new.number - STATES}.json"), False)
         return new
 
     def write(self, name: str, df: DataFrame) -> int:

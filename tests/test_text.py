@@ -187,6 +187,16 @@ def test_upkeep_outlives_the_next_batches(spark, tmp_path):
     assert engine.store.state().seq > before.seq and engine.store.state().applied == [[1, 3]]
 
 
+def test_a_rerun_without_its_base_is_left_as_it_is(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    for n in (1, 2):
+        ingest.ingest_batch(store, exchanges(spark, [exchange(n, "main", "Ask @cora_kay about it, please", n)]), n)
+    for name in ("triples", "entities", "cooccurrences"):
+        store.vacuum(name, 1)
+    ingest.ingest_batch(store, exchanges(spark, [exchange(2, "main", "Ask @cora_kay about it, please", 2)]), 2)
+    assert store.state().number == 2 and store.read("entities").first().mention_count == 2
+
+
 def test_a_batch_reads_no_older_log(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "graph"))
     ingest.ingest_batch(store, exchanges(spark, [exchange(1, "main", "Cora uses Rust. Ask @cora_k about it")]), 1)
