@@ -6,6 +6,7 @@ is the event id. As in a store, logs are folded once a session and queries read
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from dataclasses import dataclass
 from functools import cached_property
@@ -68,6 +69,15 @@ def mention_log(log: DataFrame) -> DataFrame:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def _clear(spark: SparkSession) -> None:
+    """Delete the snapshots at the end; a session that ended before has no file system to ask, and own folders go by themselves."""
+    if spark.sparkContext._jsc is None:
+        return
+    for path in _WRITTEN.values():
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @dataclass(frozen=True)
 class Graph:
     """Logs, their folds as plans, and the snapshots that queries read."""
@@ -95,6 +105,8 @@ class Graph:
         if key not in _WRITTEN:
             path = f"{shared_dir(self.spark)}/graph-{uuid.uuid4().hex}/{name}"
             self.folded(name).write.parquet(path)
+            if not _WRITTEN:
+                atexit.register(_clear, self.spark)
             _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
 
