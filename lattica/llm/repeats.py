@@ -11,7 +11,8 @@
 
 An anchor with more classes than ``hot_variants`` does not fit in a block. The texts of its classes are cut again,
 into single windows, which are classes of their own: 128-bit hashes with the first place of each by a pre-aggregating
-``min``. That is exact too and has no group in any one task. Joins on keys that may be hot are spread (``common.spread_join``).
+``min``. That is exact too and has no group in any one task. Their texts come with the same fetch, spread over all blocks, which
+pass them on: a second fetch would move all documents again. Joins on keys that may be hot are spread (``common.spread_join``).
 
 Positions are counted in symbols (words or bytes) from 0.
 """
@@ -33,7 +34,7 @@ from . import anchors, common
 LOW = 18
 #: A repeat is packed as start * 2**31 + length.
 LONG = 31
-FOUND = "anchor long, phrase long, doc long, span long, n long, own array<long>, later array<long>"
+FOUND = "anchor long, phrase long, doc long, span long, n long, own array<long>, later array<long>, piece binary"
 _PIECES = "anchor long, phrase long, doc long, span long, n long, again boolean, hot boolean, piece binary"
 
 
@@ -148,12 +149,16 @@ def packed(spans: list[tuple[int, int]]) -> list[int]:
 
 def _block(spec: Spec):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        crowded, pdf = pdf[pdf["hot"]], pdf[~pdf["hot"]]
         # A class is here once, but for rows of one id with different texts.
         pdf = pdf.sort_values(["doc", "span", "anchor", "phrase"], kind="stable").drop_duplicates(["anchor", "phrase"]).reset_index(drop=True)
-        found = spec.kernel(pdf, spec.k)
+        found = spec.kernel(pdf, spec.k) if len(pdf) else {}
         out = pdf.loc[list(found), ["anchor", "phrase", "doc", "span", "n"]].copy()
         for i, name in enumerate(("own", "later")):
             out[name] = pd.Series([packed(x[i]) for x in found.values()], index=out.index, dtype=object)
+        out["piece"] = None
+        if len(crowded):
+            out = pd.concat([out, crowded[["anchor", "phrase", "doc", "span", "n", "piece"]].assign(own=None, later=None)[list(out.columns)]])
         return out
 
     return run
@@ -244,12 +249,14 @@ def _windows_of(spec: Spec):
 
 
 def hot_windows(pieces: DataFrame, spec: Spec) -> DataFrame:
-    return pieces.filter("hot").select("doc", "span", "piece").mapInArrow(_windows_of(spec), "h1 long, h2 long, start long, doc long, span long")
+    """The windows of the texts ``pieces`` of crowded anchors' classes."""
+    return pieces.select("doc", "span", "piece").mapInArrow(_windows_of(spec), "h1 long, h2 long, start long, doc long, span long")
 
 
 def blocked(pieces: DataFrame, spec: Spec, rows: int) -> DataFrame:
-    """The classes that are not hot, by reference block: ``block`` follows from the anchor."""
-    return pieces.filter("NOT hot").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(common.blocks_for(rows, spec.block_rows))))
+    """The classes by reference block: ``block`` follows from the anchor; those that are hot go to all blocks alike."""
+    route = F.when(F.col("hot"), F.xxhash64("anchor", "phrase")).otherwise(F.xxhash64("anchor"))
+    return pieces.withColumn("block", F.pmod(route, F.lit(common.blocks_for(rows, spec.block_rows))))
 
 
 def class_table(found: DataFrame, spec: Spec) -> tuple[DataFrame, dict[bool, int]]:
@@ -274,7 +281,7 @@ def fetched(docs: DataFrame, kept: DataFrame, spec: Spec) -> DataFrame:
 
 
 def _hot_found(kept: DataFrame, pieces: DataFrame, spec: Spec) -> DataFrame:
-    """What repeats in the classes of crowded anchors: windows that stand earlier, and all of every copy."""
+    """A written table of what repeats in the classes of crowded anchors: windows that stand earlier, and all of every copy."""
     windows = common.written(hot_windows(pieces, spec), "windows")
     lead = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("many"))
     lead = common.written(lead.filter("many > 1"), "leads")
@@ -286,7 +293,10 @@ def _hot_found(kept: DataFrame, pieces: DataFrame, spec: Spec) -> DataFrame:
     own = common.spread_join(windows, lead, ["h1", "h2"], "many").filter(later).groupBy(*key).agg(F.collect_list(repeat).alias("own"))
     whole = F.array(F.col("span").bitwiseAND((1 << LOW) - 1) + (spec.k - 1))
     empty = F.array().cast("array<long>")
-    return kept.filter("hot").join(own, key, "left").select("anchor", "phrase", *key, "n", F.coalesce("own", empty).alias("own"), F.when(F.col("again"), whole).otherwise(empty).alias("later"))
+    out = kept.filter("hot").join(own, key, "left").select("anchor", "phrase", *key, "n", F.coalesce("own", empty).alias("own"), F.when(F.col("again"), whole).otherwise(empty).alias("later"))
+    out = common.written(out, "hot-repeats")
+    common.discard(windows, lead)
+    return out
 
 
 def spans(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -296,11 +306,12 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     docs = one_row_each(docs.toDF("doc", "text"))
     found = candidates(docs, spec)
     kept, sizes = class_table(found, spec)
-    pieces = fetched(docs, kept, spec)
-    told = blocked(pieces, spec, sizes.get(False, 0)).groupBy("block").applyInPandas(_block(spec), FOUND)
+    read = [common.written(blocked(fetched(docs, kept, spec), spec, sum(sizes.values())).groupBy("block").applyInPandas(_block(spec), FOUND), "repeats")]
+    told = read[0].filter("piece IS NULL").drop("piece")
     if sizes.get(True):
-        told = told.unionByName(_hot_found(kept, pieces, spec))
-    told = common.written(told.withColumnsRenamed({"doc": "f_doc", "span": "f_span"}), "repeats")
+        read.append(_hot_found(kept, read[0].filter("piece IS NOT NULL"), spec))
+        told = told.unionByName(read[1])
+    told = told.withColumnsRenamed({"doc": "f_doc", "span": "f_span"})
     common.discard(kept)
     first = F.col("doc") == F.col("f_doc")
     if not spec.across_docs:
@@ -309,7 +320,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     some = common.spread_join(found, told, ["anchor", "phrase"], "n").select("doc", at.alias("at"), F.when(first, F.col("own")).otherwise(F.col("later")).alias("s"))
     some = some.filter(F.size("s") > 0).select("doc", F.transform("s", lambda x: x + F.col("at")).alias("s"))
     out = common.written(some.groupBy(F.col("doc").alias("d")).agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
-    common.discard(found, told)
+    common.discard(found, *read)
     return out
 
 

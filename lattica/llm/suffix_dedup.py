@@ -164,7 +164,7 @@ def repeat_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     pieces = repeats.fetched(rows, kept, own)
     if n.get(False):
-        tree = repeats.blocked(pieces, own, n[False]).groupBy("block").applyInPandas(_tree(k), "group long, parent long, length long, maximal boolean, anchor long, phrase long, offset long")
+        tree = repeats.blocked(pieces.filter("NOT hot"), own, n[False]).groupBy("block").applyInPandas(_tree(k), "group long, parent long, length long, maximal boolean, anchor long, phrase long, offset long")
         # Each class stands for its copies, which hold the same occurrence at the same offset.
         tree = tree.join(places.select("anchor", "phrase", "doc", "span"), ["anchor", "phrase"], "left")
         out = out.unionByName(
@@ -173,7 +173,7 @@ def repeat_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
         )
     if n.get(True):
-        windows = common.written(repeats.hot_windows(pieces, own), "windows")
+        windows = common.written(repeats.hot_windows(pieces.filter("hot"), own), "windows")
         again = common.written(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "again")
         hot = common.spread_join(windows, again, ["h1", "h2"], "many")
         out = out.unionByName(

@@ -125,6 +125,32 @@ def test_all_copies_of_a_hot_passage_go(spark):
     assert all((d.n_removed, d.n_spans) == want[i][1:3] for i, d in out.items())
 
 
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_texts_are_fetched_once(spark, monkeypatch, tmp_path, module):
+    """Crowded anchors do not make the documents move again: each class is cut from its document once."""
+    from dataclasses import replace
+
+    r = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"x{r.randrange(10**6)} {passage} y{r.randrange(10**6)}" if i % 3 == 0 else " ".join(f"z{j}" for j in range(i, i + 60))) for i in range(120)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    log = str(tmp_path / "cuts")
+    own = module.spec()
+
+    def cut(units, start, end):
+        with open(log, "ab") as f:
+            f.write(b".")
+        return own.cut(units, start, end)
+
+    sizes = []
+    table = repeats.class_table
+    monkeypatch.setattr(repeats, "class_table", lambda *x: sizes.append((out := table(*x))[1]) or out)
+    told = [sorted((x.d, repeats.merged(x.spans)) for x in repeats.spans(docs, replace(own, cut=cut, hot_variants=n)).collect()) for n in (20, 10**6)]
+    assert told[0] == told[1] and len(told[0]) > 70
+    assert sizes[0].get(True) and sizes[0].get(False) and not sizes[1].get(True)
+    assert (tmp_path / "cuts").stat().st_size == sum(sum(x.values()) for x in sizes)
+
+
 def test_clashing_names_pass(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"w{i}" for i in range(60))), (3, "some other text"), (3, "a third")]
     table = frame(spark, rows).withColumns({c: F.lit(c) for c in CLASHES if c != "dedup"}).withColumn("dedup", F.lit("old"))
