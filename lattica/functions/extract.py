@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,9 @@ MOST = 15
 def exchange_texts(messages: DataFrame, least: int = 20, least_message: int = 10) -> DataFrame:
     """(exchange_id, text) from (exchange_id, pos, content): cleaned messages of more than ``least_message`` letters,
     a blank line between them; exchanges shorter than ``least`` are left out."""
-    cleaned = messages.withColumn("clean", tx.strip_context(tx.message_text(F.col("content")))).filter(F.length("clean") > least_message)
+    clean = tx.strip_context(tx.message_text(F.col("content"))).alias("clean")
+    # Inside a generator a message is cleaned once; a filter would clean it again.
+    cleaned = messages.select("exchange_id", F.inline(F.filter(F.array(F.struct("pos", clean)), lambda m: F.length(m["clean"]) > least_message)))
     joined = cleaned.groupBy("exchange_id").agg(F.array_sort(F.collect_list(F.struct("pos", "clean"))).alias("m"))
     return joined.select("exchange_id", F.array_join(F.transform("m", lambda x: x["clean"]), "\n\n").alias("text")).filter(F.length("text") >= least)
 
@@ -114,6 +116,42 @@ def entities(texts: DataFrame, known: DataFrame | None = None, recognise: Callab
     return kept.select("exchange_id", F.col("pos").cast("int").alias("pos"), "name", "entity_type")
 
 
+def first_names(raw: Column, most: int = MOST) -> Column:
+    """array<struct<name, entity_type>>: the first ``most`` valid names of ``raw`` (array<struct<name, type>>), each once, whatever its case.
+    What comes after them is not looked at, so a long text costs no more than its names up to there."""
+
+    def taken(own: Column, x: Column) -> Column:
+        def with_name(name: Column) -> Column:
+            new = tx.bound(F.lower(name), lambda low: ~F.array_contains(own["key"], low) & ~low.isin(*sorted(tx.NOISE)))
+            one = F.struct(F.lower(name).alias("key"), name.alias("name"), x["type"].alias("entity_type"))
+            return F.when((F.length(name) >= 2) & new & tx.valid_entity_name(name), F.concat(own, F.array(one))).otherwise(own)
+
+        return F.when(F.size(own) >= most, own).otherwise(tx.bound(tx.clean_name(x["name"]), with_name))
+
+    start = F.array().cast("array<struct<key:string,name:string,entity_type:string>>")
+    return F.transform(F.aggregate(raw, start, taken), lambda x: F.struct(x["name"].alias("name"), x["entity_type"].alias("entity_type")))
+
+
+def mined(texts: DataFrame, raw_names: Callable[[Column], Column] | None = None, most: int = MOST, predicates: tuple[str, ...] | None = None) -> DataFrame:
+    """(exchange_id, names, relations) of exchanges with one text an id: what ``entities`` and ``triples`` find without known names and associations,
+    as array<struct<name, entity_type>> and array<struct<subject, predicate, object>>.
+
+    A text is read once and by itself, so nothing is shuffled or joined. ``raw_names`` is a recogniser as a column function, such as ``names.raw_names``.
+    """
+    let_workers_import(texts.sparkSession)
+    text = F.col("text")
+    raw = F.concat(raw_names(text), tx.raw_entities(text)) if raw_names else tx.raw_entities(text)
+    sound = lambda r: tx.valid_entity_name(r["subject"]) & tx.valid_entity_name(r["object"])
+    wanted = lambda r: r["predicate"].isin(*predicates) & sound(r) if predicates else sound(r)
+    return texts.select("exchange_id", "text", tx.relations(text).alias("r")).select("exchange_id", first_names(raw, most).alias("names"), F.filter("r", wanted).alias("relations"))
+
+
+def pairs_within(names: Column) -> Column:
+    """array<struct<name_a, name_b>> of all ``names`` of an exchange, first before second."""
+    after = lambda x, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda y: F.struct(x["name"].alias("name_a"), y["name"].alias("name_b")))
+    return F.flatten(F.transform(names, after))
+
+
 def pairs(found: DataFrame) -> DataFrame:
     """(exchange_id, name_a, name_b) of all entities of an exchange, first before second."""
     a, b = found.select("exchange_id", F.col("pos").alias("pa"), F.col("name").alias("name_a")), found.select("exchange_id", F.col("pos").alias("pb"), F.col("name").alias("name_b"))

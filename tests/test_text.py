@@ -281,3 +281,36 @@ def test_holding_by_agent(spark):
     assert got == [("1", "Cora"), ("1", "or"), ("2", "Cora"), ("2", "Dan")]
     with pytest.raises(ValueError):
         extract.holding(texts, "text", known, most=3)
+
+
+def test_extraction_reads_each_text_once(spark, sf_dir):
+    """Six times 1 GB was to take 1,722 s: names were found three times, and sorted, ranked and joined to themselves."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["exchange_extraction"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Window", "Sort ", "Sort["))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1
+    assert plan.count("Institute|Labs|Ltd|University") == 1  # the rule of organisations
+    assert plan.count("GROWTH VECTORS") == 1  # messages are cleaned once
+
+
+def test_mined_is_what_extract_finds(spark):
+    from lattica.functions import names
+
+    many = " ".join(f"@Name_{i} @NAME_{i}." for i in range(40))
+    said = [
+        "Prof. Ada Byron in New York met Acme Widget Labs. But so Ada Byron uses Engine tools in Oslo; ada byron USES engine tools. It knows me", f"In {many}", "Mail a.b@c.com or *x_y* on 2024-01-05, 1/2/26 and may 7!",
+        "Cora re-uses Rust. Cora favors Tea, Dan favours tea; Dan would rather sleep, Eve is a component of Unit 7.", "Élan Vital lives in Ghent and is. The Is uses is", "no names here at all", " ", None,
+    ]
+    texts = spark.createDataFrame([(None if i == 4 else str(i), x) for i, x in enumerate(said)], "exchange_id string, text string")
+    for most, predicates in ((15, None), (3, ("uses", "prefers"))):
+        found, triples, pairs = extract.extract(texts, recognise=names.named_things, config={"max_entities": most, "canonical_predicates": predicates or ()})
+        mined = {r.exchange_id: r for r in extract.mined(texts.filter("text is not null"), names.raw_names, most, predicates).withColumn("pairs", extract.pairs_within(F.col("names"))).collect()}
+        assert sorted(((k, i + 1, *n) for k, r in mined.items() for i, n in enumerate(r.names)), key=repr) == sorted(((r.exchange_id, r.pos, r.name, r.entity_type) for r in found.collect()), key=repr)
+        assert sorted(((k, *t) for k, r in mined.items() for t in r.relations), key=repr) == sorted(((r.exchange_id, r.subject, r.predicate, r.object) for r in triples.collect()), key=repr)
+        assert sorted((k, *p) for k, r in mined.items() if k for p in r.pairs) == sorted((r.exchange_id, r.name_a, r.name_b) for r in pairs.collect())
+        assert [n.name for n in mined["1"].names] == [f"Name_{i}" for i in range(most)]
+
+
+def test_first_words_of_verbs():
+    assert tx._first_words("favou?rs? would~rather is~in") == {"favor", "favors", "favour", "favours", "would", "is"}
